@@ -1,0 +1,17 @@
+"""Join helpers with explicit size checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# a side is broadcast only when it is proven to have at most this many rows
+BROADCAST_MAX_ROWS = 100_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only after counting the side (one cheap action on a
+    small input); beyond the bound the plain DataFrame is returned and Spark
+    plans a shuffle join (AQE may still convert it from measured sizes)."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -7,10 +7,15 @@ Python-syntax fixed values, translated to RE2 by ``dialect.to_re2``.
 
 from __future__ import annotations
 
+import os
+
+from ..functions import endpoint as ep
 from ..functions import redact as rd
+from ..functions import template as tp
 from ..functions.dialect import WHITESPACE_CHARS, sql_string, to_re2
 from ..operators import transcript as tr
 from ..sources import fixtures as fx
+from ..sources.templates import BUILTIN_DIR
 
 NL = "chr(10)"
 WS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE_CHARS) + ")"
@@ -236,6 +241,120 @@ SELECT h.session_id, CAST(h.blk - 1 AS BIGINT) AS seg_idx, h.speaker,
 FROM heads h LEFT JOIN bodies bd ON h.session_id = bd.session_id AND h.blk = bd.blk"""
 
 SPEAKER_NAMES = ["Therapist", "Client"]
+RUN_DATE = "2024-06-30"
+
+
+def _templates_values() -> str:
+    rows = []
+    for f in sorted(os.listdir(BUILTIN_DIR)):
+        if f.endswith(".txt"):
+            with open(os.path.join(BUILTIN_DIR, f), encoding="utf-8") as fh:
+                rows.append(f"({sql_string(f[:-4])}, {sql_string(fh.read())})")
+    return "templates(template_id, body) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def _pick(valid: str, other: str) -> str:
+    return f"CASE conv_id % 3 WHEN 1 THEN {valid} WHEN 2 THEN {other} END"
+
+
+SETTINGS_CTE = f"""
+settings AS (
+  SELECT conv_id AS session_id,
+    {_pick("'Client-' || CAST(conv_id AS VARCHAR)", "''")} AS client_name,
+    {_pick("'2024-05-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0')", "''")} AS session_date,
+    {_pick("'Therapist, Client'", "'Dr A,'")} AS speaker_names,
+    {_pick("true", "false")} AS redact,
+    {_pick("'John, Jane Smith'", "CAST(NULL AS VARCHAR)")} AS redact_names,
+    {_pick(sql_string(fx.LOCAL_BASE), sql_string(fx.REMOTE_BASE))} AS base_url,
+    {_pick("false", "conv_id % 2 = 0")} AS allow_remote,
+    {_pick("'llama3.1:8b'", "CAST(NULL AS VARCHAR)")} AS model,
+    ([{", ".join(sql_string(t) for t in fx.TEMPLATE_IDS)}])[conv_id % {len(fx.TEMPLATE_IDS)} + 1] AS template_id
+  FROM (SELECT DISTINCT conv_id FROM conversations) s
+)"""
+
+
+def substitute_sql(body: str, values: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN tok IN ('${k}', '${{{k}}}') THEN {v}" for k, v in values.items())
+    return (f"array_to_string(list_transform(regexp_extract_all({body}, {sql_string(tp.TOKEN)}), "
+            f"lambda tok: CASE WHEN tok = '$$' THEN '$' {cases} ELSE tok END), '')")
+
+
+PROMPT_CTES = FIXTURE_CTES + "," + SETTINGS_CTE + ",\n" + _templates_values() + f""",
+rseg AS (SELECT session_id, seg_idx, speaker, {redact_text('text', fx.NAMES)} AS text, start_s, end_s
+         FROM seg),
+vals AS (
+  SELECT session_id, string_agg({line_sql(True)}, {NL} || {NL} ORDER BY seg_idx) AS transcript,
+         array_to_string(list_sort(list(DISTINCT speaker)), ', ') AS speakers,
+         {duration('max(end_s) - min(start_s)')} AS duration
+  FROM rseg GROUP BY session_id
+),
+pv AS (
+  SELECT st.session_id, st.template_id, t.body, v.transcript, v.speakers, v.duration,
+         coalesce(nullif(st.session_date, ''), {sql_string(RUN_DATE)}) AS dt,
+         coalesce(nullif(st.client_name, ''), {sql_string(tp.DEFAULT_CLIENT)}) AS cn
+  FROM settings st JOIN vals v ON st.session_id = v.session_id
+  JOIN templates t ON st.template_id = t.template_id
+),
+prompts AS (
+  SELECT session_id, template_id,
+         {substitute_sql("body", dict(transcript="transcript", speakers="speakers", date="dt",
+                                      duration="duration", client_name="cn"))} AS prompt
+  FROM pv
+)"""
+
+HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)"
+
+
+def is_local_sql(e: str) -> str:
+    host = f"replace(replace(lower(regexp_extract({e}, {sql_string(HOST_RE)}, 1)), '[', ''), ']', '')"
+    return f"coalesce({host} IN ({', '.join(sql_string(h) for h in ep.LOCAL_HOSTS)}), false)"
+
+
+def gate_sql(base: str, allow: str) -> str:
+    return (f"CASE WHEN {is_local_sql(base)} THEN 'ok' WHEN coalesce({allow}, false) "
+            f"THEN 'remote_allowed' ELSE 'refused' END")
+
+
+def url_sql(base: str) -> str:
+    return f"regexp_replace({base}, '/+$', '') || {sql_string(ep.COMPLETIONS_PATH)}"
+
+
+def est_sql(e: str) -> str:
+    return f"CAST(length({e}) // {ep.CHARS_PER_TOKEN} AS BIGINT)"
+
+
+GATE_TARGETS = r"""
+tg AS (
+  SELECT page_id,
+    CASE page_id % 5
+      WHEN 0 THEN url
+      WHEN 1 THEN 'http://localhost:11434' || regexp_extract(url, '^[a-z]+://[^/]+(/.*)?$', 1)
+      WHEN 2 THEN 'http://[::1]:8080' || regexp_extract(url, '^[a-z]+://[^/]+(/.*)?$', 1)
+      WHEN 3 THEN 'HTTP://127.0.0.1' || regexp_extract(url, '^[a-z]+://[^/]+(/.*)?$', 1)
+      ELSE 'no url ' || url END AS base_url,
+    page_id % 2 = 0 AS allow_remote
+  FROM pages
+)"""
+
+RESPONSES_CTE = """
+resp AS (
+  SELECT conv_id AS session_id, turn,
+    CASE WHEN turn % 5 = 3 THEN 500 ELSE 200 END AS status,
+    CASE turn % 5
+      WHEN 0 THEN json_object('choices', [json_object('message',
+                    json_object('role', 'assistant', 'content', text))])::VARCHAR
+      WHEN 1 THEN '{"choices":[]}'
+      WHEN 2 THEN json_object('choices', [json_object('text', text)])::VARCHAR
+      WHEN 3 THEN 'internal error'
+      ELSE '<html>' || text END AS body
+  FROM conversations
+),
+parsed AS (
+  SELECT session_id, turn, status, body,
+         CASE WHEN status < 400 AND json_valid(body)
+              THEN json_extract_string(body, '$.choices[0].message.content') END AS content
+  FROM resp
+)"""
 
 ORACLE: dict[str, str] = {
     "redact_documents": f"SELECT doc_id, {redact_patterns('text')} AS text FROM documents",
@@ -260,4 +379,29 @@ FROM seg GROUP BY session_id"""),
 red AS (SELECT session_id, seg_idx, speaker, {redact_text('text', fx.NAMES)} AS text, start_s, end_s
         FROM labeled)""",
         transcript_sql("red", True)),
+    "render_notes": with_(PROMPT_CTES, "SELECT * FROM prompts"),
+    "prompt_budget": with_(PROMPT_CTES, f"""
+SELECT template_id, count(*) AS n_prompts,
+       count_if({est_sql('prompt')} > {ep.TOKEN_WARNING_THRESHOLD}) AS n_too_long,
+       max({est_sql('prompt')}) AS max_tokens
+FROM prompts GROUP BY template_id"""),
+    "chat_requests": with_(PROMPT_CTES, f"""
+SELECT p.session_id, p.template_id,
+       {gate_sql(f"coalesce(nullif(s.base_url, ''), {sql_string(ep.DEFAULT_BASE_URL)})", 's.allow_remote')} AS gate,
+       {est_sql('p.prompt')} AS est_tokens, {est_sql('p.prompt')} > {ep.TOKEN_WARNING_THRESHOLD} AS too_long,
+       {url_sql(f"coalesce(nullif(s.base_url, ''), {sql_string(ep.DEFAULT_BASE_URL)})")} AS url,
+       json_object('model', coalesce(nullif(s.model, ''), {sql_string(ep.DEFAULT_MODEL)}),
+                   'messages', [json_object('role', 'user', 'content', p.prompt)],
+                   'temperature', {ep.TEMPERATURE})::VARCHAR AS request
+FROM prompts p LEFT JOIN settings s ON p.session_id = s.session_id"""),
+    "endpoint_gate": with_(GATE_TARGETS, f"""
+SELECT page_id, base_url, {is_local_sql('base_url')} AS is_local,
+       {gate_sql('base_url', 'allow_remote')} AS gate, {url_sql('base_url')} AS url
+FROM tg"""),
+    "chat_responses": with_(RESPONSES_CTE, f"""
+SELECT session_id, turn, content,
+       CASE WHEN status >= 400 THEN 'LLM request failed: ' || CAST(status AS VARCHAR) || ' ' || body
+            WHEN content IS NULL THEN 'Unexpected LLM response format: ' || left(body, {ep.ERROR_PREFIX_CHARS})
+       END AS error
+FROM parsed"""),
 }

@@ -11,18 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import endpoint as ep
 from ..functions.redact import redact_patterns, redact_text
 from ..operators.align import align, assign_speakers
+from ..operators.notes import (gate_requests, parse_responses, prompt_budget, render_prompts,
+                               session_values)
 from ..operators.speakers import label_speakers
 from ..operators.transcript import (format_transcript, from_editable, session_summary,
                                     to_editable)
 from ..session import read_table
 from ..sources import fixtures as fx
+from ..sources.templates import load_templates
 
 # ---------------------------------------------------------------------------
 # Fixed values used by the queries.
 SPEAKER_NAMES = "Therapist, Client"
 REDACT_NAMES = fx.NAMES
+RUN_DATE = "2024-06-30"  # the "today" default, fixed so results are reproducible
 # ---------------------------------------------------------------------------
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +102,69 @@ def q_transcript_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return format_transcript(segs, timestamps=True)
 
 
+def notes_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 up to the prompt: redact (before anything is rendered) -> session
+    values -> one template per session from the settings (J4/J5)."""
+    segs = fx.segments(spark, sf)
+    segs = segs.withColumn("text", redact_text("text", REDACT_NAMES))
+    vals = session_values(segs)
+    req = fx.settings(spark, sf).select("session_id", "template_id", "client_name", "session_date")
+    return render_prompts(vals, load_templates(spark), req, default_date=RUN_DATE)
+
+
+def q_render_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return notes_prompts(spark, sf)
+
+
+def q_prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return prompt_budget(notes_prompts(spark, sf))
+
+
+def q_chat_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return gate_requests(notes_prompts(spark, sf), fx.settings(spark, sf))
+
+
+def gate_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Endpoint candidates derived from ``pages.url``: the page URL itself,
+    its path on a loopback host, an IPv6 loopback, an upper-case host, and a
+    string that is not a URL."""
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/.*)?$", 1)
+    k = F.col("page_id") % 5
+    base = (F.when(k == 0, F.col("url"))
+            .when(k == 1, F.concat(F.lit("http://localhost:11434"), path))
+            .when(k == 2, F.concat(F.lit("http://[::1]:8080"), path))
+            .when(k == 3, F.concat(F.lit("HTTP://127.0.0.1"), path))
+            .otherwise(F.concat(F.lit("no url "), F.col("url"))))
+    return pages.select("page_id", base.alias("base_url"), (F.col("page_id") % 2 == 0).alias("allow_remote"))
+
+
+def q_endpoint_gate(spark: SparkSession, sf: str) -> DataFrame:
+    t = gate_targets(spark, sf)
+    return t.select("page_id", "base_url", ep.is_local("base_url").alias("is_local"),
+                    ep.gate("base_url", "allow_remote").alias("gate"),
+                    ep.completions_url("base_url").alias("url"))
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Response bodies derived from conversation turns, by ``turn % 5``:
+    good, empty ``choices``, no ``message``, HTTP 500, not JSON."""
+    conv = read_table(spark, sf, "conversations")
+    good = F.to_json(F.struct(F.array(F.struct(F.struct(
+        F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))).alias("choices")))
+    no_msg = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("choices")))
+    k = F.col("turn") % 5
+    body = (F.when(k == 0, good).when(k == 1, F.lit('{"choices":[]}')).when(k == 2, no_msg)
+            .when(k == 3, F.lit("internal error")).otherwise(F.concat(F.lit("<html>"), F.col("text"))))
+    status = F.when(k == 3, F.lit(500)).otherwise(F.lit(200))
+    return conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn"),
+                       status.alias("status"), body.alias("body"))
+
+
+def q_chat_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_responses(responses(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "redact_documents": q_redact_documents,
     "redact_names": q_redact_names,
@@ -109,4 +177,9 @@ QUERIES: dict[str, Query] = {
     "editable_export": q_editable_export,
     "editable_import": q_editable_import,
     "transcript_pipeline": q_transcript_pipeline,
+    "render_notes": q_render_notes,
+    "prompt_budget": q_prompt_budget,
+    "chat_requests": q_chat_requests,
+    "endpoint_gate": q_endpoint_gate,
+    "chat_responses": q_chat_responses,
 }

@@ -92,3 +92,42 @@ def words_from(segs: DataFrame) -> DataFrame:
 def all_fixtures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     segs = segments(spark, sf_dir)
     return {"segments": segs, "turns": turns_from(segs), "words": words_from(segs)}
+
+
+# ---------------------------------------------------------------------------
+# Fixed values of the per-session settings fixture (FIXTURES.md §1, §E).
+TEMPLATE_IDS = ["birp", "cbt-soap", "dap", "informed-consent", "intake",
+                "neuropsychoanalytic", "progress", "psychodynamic", "soap"]
+LOCAL_BASE = "http://localhost:11434/v1/"
+REMOTE_BASE = "https://api.example.com/v1"
+# ---------------------------------------------------------------------------
+
+
+def settings_from(conv: DataFrame) -> DataFrame:
+    """Explicit per-session settings; by ``conv_id % 3``: unset, valid,
+    empty-or-remote. ``template_id`` picks one shipped template per session."""
+    sid = F.col("conv_id")
+    kind = sid % 3
+    sessions = conv.select("conv_id").distinct()
+    ids = F.array(*[F.lit(t) for t in TEMPLATE_IDS])
+    day = F.lpad((sid % 28 + 1).cast("string"), 2, "0")
+
+    def pick(valid, other):
+        return F.when(kind == 1, valid).when(kind == 2, other)
+
+    return sessions.select(
+        sid.alias("session_id"),
+        pick(F.concat(F.lit("Client-"), sid.cast("string")), F.lit("")).alias("client_name"),
+        pick(F.concat(F.lit("2024-05-"), day), F.lit("")).alias("session_date"),
+        pick(F.lit("Therapist, Client"), F.lit("Dr A,")).alias("speaker_names"),
+        pick(F.lit(True), F.lit(False)).alias("redact"),
+        pick(F.lit("John, Jane Smith"), F.lit(None).cast("string")).alias("redact_names"),
+        pick(F.lit(LOCAL_BASE), F.lit(REMOTE_BASE)).alias("base_url"),
+        pick(F.lit(False), (sid % 2 == 0)).alias("allow_remote"),
+        pick(F.lit("llama3.1:8b"), F.lit(None).cast("string")).alias("model"),
+        F.element_at(ids, (sid % len(TEMPLATE_IDS) + 1).cast("int")).alias("template_id"),
+    )
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings_from(read_table(spark, sf_dir, "conversations"))
