@@ -356,6 +356,54 @@ parsed AS (
   FROM resp
 )"""
 
+JSONL_CTES = FIXTURE_CTES + f""",
+jl AS (
+  SELECT session_id, seg_idx, speaker, text, start_s,
+         json_object('speaker', speaker, 'text', text, 'start', start_s, 'end', end_s)::VARCHAR AS line
+  FROM seg
+),
+fl AS (
+  SELECT session_id, seg_idx,
+    CASE (session_id * 31 + seg_idx) % 13
+      WHEN 0 THEN json_object('speaker', speaker, 'text', text, 'start', start_s)::VARCHAR
+      WHEN 1 THEN substring(line, 1, length(line) - 1) || ',"mood":"x"}}'
+      WHEN 2 THEN substring(line, 1, length(line) // 2)
+      WHEN 3 THEN ''
+      WHEN 4 THEN '  ' || chr(9)
+      ELSE line END AS line
+  FROM jl
+),
+docs AS (SELECT session_id, string_agg(line, {NL} ORDER BY seg_idx) AS jsonl FROM fl GROUP BY session_id),
+ln AS (
+  SELECT * FROM (
+    SELECT session_id, UNNEST(string_split(jsonl, {NL})) AS line,
+           UNNEST(range(0, len(string_split(jsonl, {NL})))) AS line_no
+    FROM docs) x
+  WHERE {strip('line')} <> ''
+),
+chk AS (
+  SELECT session_id, line_no, line,
+    CASE WHEN NOT json_valid(line) OR json_type(line) <> 'OBJECT' THEN 'bad_json'
+         WHEN list_sort(json_keys(line)) <> ['end', 'speaker', 'start', 'text'] THEN 'wrong_keys'
+         WHEN json_type(line, '$.speaker') <> 'VARCHAR' OR json_type(line, '$.text') <> 'VARCHAR'
+           OR json_type(line, '$.start') NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT')
+           OR json_type(line, '$.end') NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'bad_value'
+    END AS reason
+  FROM ln
+)"""
+
+ASR_CTE = FIXTURE_CTES + """,
+asr_words AS (
+  SELECT session_id,
+         CAST(row_number() OVER (PARTITION BY session_id ORDER BY seg_idx, p) - 1 AS BIGINT) AS word_idx,
+         ' ' || w AS text, CAST(start_s + p * 0.25 AS DOUBLE) AS start_s,
+         CAST(start_s + p * 0.25 + 0.25 AS DOUBLE) AS end_s
+  FROM (SELECT session_id, seg_idx, start_s,
+               UNNEST(string_split(text, ' ')) AS w,
+               UNNEST(range(0, len(string_split(text, ' ')))) AS p
+        FROM seg WHERE (session_id * 7 + seg_idx) % 9 <> 0) x
+)"""
+
 ORACLE: dict[str, str] = {
     "redact_documents": f"SELECT doc_id, {redact_patterns('text')} AS text FROM documents",
     "redact_names": with_(FIXTURE_CTES,
@@ -404,4 +452,18 @@ SELECT session_id, turn, content,
             WHEN content IS NULL THEN 'Unexpected LLM response format: ' || left(body, {ep.ERROR_PREFIX_CHARS})
        END AS error
 FROM parsed"""),
+    "jsonl_roundtrip": with_(FIXTURE_CTES, """
+SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, text, start_s, end_s FROM seg"""),
+    "jsonl_quarantine": with_(JSONL_CTES, """
+SELECT session_id, CAST(line_no AS BIGINT) AS line_no,
+       CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason,
+       CASE WHEN reason IS NULL THEN CAST(count(*) FILTER (WHERE reason IS NULL) OVER (
+            PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            AS BIGINT) END AS seg_idx,
+       CASE WHEN reason IS NULL THEN json_extract_string(line, '$.speaker') END AS speaker,
+       CASE WHEN reason IS NULL THEN json_extract_string(line, '$.text') END AS text,
+       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.start') AS DOUBLE) END AS start_s,
+       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.end') AS DOUBLE) END AS end_s
+FROM chk"""),
+    "flatten_asr": with_(ASR_CTE, "SELECT * FROM asr_words"),
 }

@@ -21,6 +21,9 @@ from ..operators.transcript import (format_transcript, from_editable, session_su
                                     to_editable)
 from ..session import read_table
 from ..sources import fixtures as fx
+from ..sources.asr import ASR_WORD, flatten_words
+from ..sources.jsonl import from_jsonl, parse_lines, split_lines, to_jsonl, to_jsonl_lines
+from ..operators.scan import ordered_concat
 from ..sources.templates import load_templates
 
 # ---------------------------------------------------------------------------
@@ -165,6 +168,50 @@ def q_chat_responses(spark: SparkSession, sf: str) -> DataFrame:
     return parse_responses(responses(spark, sf))
 
 
+def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    good, _ = from_jsonl(to_jsonl(fx.segments(spark, sf)))
+    return good
+
+
+def faulty_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """JSONL text per session with injected faults, by
+    ``(session_id * 31 + seg_idx) % 13``: a dropped key, an extra key, a line
+    cut in half, an empty line, a whitespace-only line."""
+    segs = fx.segments(spark, sf)
+    lines = to_jsonl_lines(segs).join(segs.select("session_id", "seg_idx", "speaker", "text", "start_s"),
+                                      ["session_id", "seg_idx"])
+    k = (F.col("session_id") * 31 + F.col("seg_idx")) % 13
+    dropped = F.to_json(F.struct("speaker", "text", F.col("start_s").alias("start")))
+    extra = F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(',"mood":"x"}'))
+    cut = F.expr("substring(line, 1, length(line) div 2)")
+    bad = (F.when(k == 0, dropped).when(k == 1, extra).when(k == 2, cut)
+           .when(k == 3, F.lit("")).when(k == 4, F.lit("  \t")).otherwise(F.col("line")))
+    return ordered_concat(lines.select("session_id", "seg_idx", bad.alias("line")),
+                          ["session_id"], "seg_idx", "line", "\n", "jsonl")
+
+
+def q_jsonl_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_lines(split_lines(faulty_jsonl(spark, sf)))
+
+
+def asr_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Recogniser output shape derived from the segments: one row per
+    recognised segment with its timed words; some segments carry no word
+    list (null), as the recogniser may return."""
+    segs = fx.segments(spark, sf)
+    ws = F.transform(F.split("text", " ", -1), lambda w, i: F.struct(
+        F.concat(F.lit(" "), w).alias("word"),
+        (F.col("start_s") + i * fx.WORD_SECONDS).alias("start"),
+        (F.col("start_s") + i * fx.WORD_SECONDS + fx.WORD_SECONDS).alias("end")))
+    no_words = (F.col("session_id") * 7 + F.col("seg_idx")) % 9 == 0
+    return segs.select("session_id", F.col("seg_idx").alias("seg_pos"),
+                       F.when(no_words, F.lit(None).cast(f"array<{ASR_WORD}>")).otherwise(ws).alias("words"))
+
+
+def q_flatten_asr(spark: SparkSession, sf: str) -> DataFrame:
+    return flatten_words(asr_results(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "redact_documents": q_redact_documents,
     "redact_names": q_redact_names,
@@ -182,4 +229,7 @@ QUERIES: dict[str, Query] = {
     "chat_requests": q_chat_requests,
     "endpoint_gate": q_endpoint_gate,
     "chat_responses": q_chat_responses,
+    "jsonl_roundtrip": q_jsonl_roundtrip,
+    "jsonl_quarantine": q_jsonl_quarantine,
+    "flatten_asr": q_flatten_asr,
 }
