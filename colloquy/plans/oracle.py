@@ -404,6 +404,105 @@ asr_words AS (
         FROM seg WHERE (session_id * 7 + seg_idx) % 9 <> 0) x
 )"""
 
+from ..operators import settings as stg  # noqa: E402
+
+CFG_VALID = ('{"transcribe": {"speakers": "Therapist,Client", "num_speakers": 2}, '
+             '"summarize": {"client_name": "Cfg-')
+CFG_VALID_TAIL = ('", "session_date": "2024-07-01", "base_url": "http://127.0.0.1:8000/v1", '
+                  '"model": "cfg-model", "template": "dap", "allow_remote": true}, '
+                  '"redact": {"enabled": true, "names": "John"}}')
+CFG_WRONG = ('{"transcribe": {"num_speakers": "two", "speakers": ["A", "B"]}, '
+             '"summarize": {"client_name": 5, "allow_remote": "yes", "session_date": 20240701}, '
+             '"redact": {"enabled": 0, "names": ["x"]}}')
+CFG_BOOLINT = ('{"transcribe": {"num_speakers": true}, '
+               '"summarize": {"allow_remote": false, "model": null}}')
+
+CONFIG_CTE = f"""
+cfg AS (
+  SELECT conv_id AS session_id,
+    CASE conv_id % 4
+      WHEN 1 THEN {sql_string(CFG_VALID)} || CAST(conv_id AS VARCHAR) || {sql_string(CFG_VALID_TAIL)}
+      WHEN 2 THEN {sql_string(CFG_WRONG)}
+      WHEN 3 THEN {sql_string(CFG_BOOLINT)}
+      ELSE '{{}}' END AS config
+  FROM (SELECT DISTINCT conv_id FROM conversations) s
+)"""
+
+
+def _kind(path: str) -> str:
+    t = f"json_type(config, '$.{path}')"
+    return (f"(CASE WHEN {t} IN ('BIGINT', 'UBIGINT') THEN 'int' WHEN {t} = 'VARCHAR' THEN 'str' "
+            f"WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} = 'DOUBLE' THEN 'float' "
+            f"WHEN {t} = 'ARRAY' THEN 'list' WHEN {t} = 'OBJECT' THEN 'dict' WHEN {t} = 'NULL' THEN 'null' END)")
+
+
+def _truthy(path: str) -> str:
+    k, p = _kind(path), f"'$.{path}'"
+    return (f"coalesce(CASE {k} WHEN 'bool' THEN CAST(json_extract(config, {p}) AS BOOLEAN) "
+            f"WHEN 'int' THEN CAST(json_extract(config, {p}) AS DOUBLE) <> 0 "
+            f"WHEN 'float' THEN CAST(json_extract(config, {p}) AS DOUBLE) <> 0 "
+            f"WHEN 'str' THEN json_extract_string(config, {p}) <> '' "
+            f"WHEN 'list' THEN json_array_length(config, {p}) > 0 "
+            f"WHEN 'dict' THEN CAST(json_extract(config, {p}) AS VARCHAR) <> '{{}}' "
+            f"WHEN 'null' THEN false END, false)")
+
+
+def settings_sql() -> str:
+    cols, ign = ["e.session_id"], []
+    for col, (path, kind) in {**stg.STRING_KEYS, **stg.INT_KEYS}.items():
+        typ = "VARCHAR" if kind == "str" else "BIGINT"
+        given = f"e.{col}" if col != "num_speakers" else "CAST(NULL AS BIGINT)"
+        val = (f"json_extract_string(config, '$.{path}')" if kind == "str"
+               else f"CAST(json_extract(config, '$.{path}') AS BIGINT)")
+        cols.append(f"coalesce(CAST({given} AS {typ}), CASE WHEN {_kind(path)} = '{kind}' THEN {val} END) AS {col}")
+        ign.append(f"CASE WHEN {given} IS NULL AND {_kind(path)} IS NOT NULL AND {_kind(path)} <> '{kind}' "
+                   f"THEN '{path}' END")
+    for col, path in stg.BOOL_KEYS.items():
+        cols.append(f"(coalesce(e.{col}, false) OR {_truthy(path)}) AS {col}")
+    col, path = stg.NAMES_KEY
+    use = f"(e.{col} IS NULL AND {_truthy(path)})"
+    cols.append(f"coalesce(e.{col}, CASE WHEN {use} AND {_kind(path)} = 'str' "
+                f"THEN json_extract_string(config, '$.{path}') END) AS {col}")
+    ign.append(f"CASE WHEN {use} AND {_kind(path)} <> 'str' THEN '{path}' END")
+    cols.append("array_to_string(list_sort(list_filter([" + ", ".join(ign)
+                + "], lambda x: x IS NOT NULL)), ',') AS ignored")
+    return ("SELECT " + ",\n  ".join(cols)
+            + "\nFROM settings e LEFT JOIN cfg c ON e.session_id = c.session_id")
+
+
+BATCH_CTES = FIXTURE_CTES + "," + SETTINGS_CTE + f""",
+sizes AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_bytes FROM conversations GROUP BY conv_id),
+expected0 AS (
+  SELECT conv_id AS session_id, n_bytes FROM sizes
+  UNION ALL
+  SELECT conv_id + 1000000 AS session_id, CAST(NULL AS BIGINT) AS n_bytes FROM sizes WHERE conv_id % 50 = 0
+),
+expected AS (
+  SELECT session_id, 'session-' || lpad(CAST(session_id AS VARCHAR), 7, '0') AS stem, n_bytes FROM expected0
+),
+wc AS (SELECT session_id, count(*) AS n_words FROM words GROUP BY session_id),
+inputs AS (
+  SELECT e.session_id, e.stem,
+    CASE WHEN e.n_bytes IS NULL THEN 'missing' WHEN e.n_bytes = 0 OR w.n_words IS NULL THEN 'empty'
+         ELSE 'ok' END AS input_status
+  FROM expected e LEFT JOIN wc w ON e.session_id = w.session_id
+),
+gates AS (
+  SELECT session_id,
+         {gate_sql(f"coalesce(nullif(base_url, ''), {sql_string(ep.DEFAULT_BASE_URL)})", 'allow_remote')} AS gate
+  FROM settings
+),
+outs AS (
+  SELECT i.session_id, i.stem, i.stem || '.wav' AS input_name,
+    CASE WHEN i.input_status <> 'ok' OR g.gate = 'refused' THEN 'failed' ELSE 'ok' END AS status,
+    CASE WHEN i.input_status <> 'ok' THEN 'input' WHEN g.gate = 'refused' THEN 'summarize' END AS stage,
+    CASE WHEN i.input_status <> 'ok' THEN 'input ' || i.input_status
+         WHEN g.gate = 'refused' THEN 'remote endpoint without allow_remote' END AS reason,
+    CASE WHEN NOT (i.input_status <> 'ok' OR coalesce(g.gate = 'refused', false))
+         THEN i.stem || '.note.txt' END AS file_name
+  FROM inputs i LEFT JOIN gates g ON i.session_id = g.session_id
+)"""
+
 ORACLE: dict[str, str] = {
     "redact_documents": f"SELECT doc_id, {redact_patterns('text')} AS text FROM documents",
     "redact_names": with_(FIXTURE_CTES,
@@ -466,4 +565,11 @@ SELECT session_id, CAST(line_no AS BIGINT) AS line_no,
        CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.end') AS DOUBLE) END AS end_s
 FROM chk"""),
     "flatten_asr": with_(ASR_CTE, "SELECT * FROM asr_words"),
+    "settings_resolution": with_(SETTINGS_CTE + "," + CONFIG_CTE, settings_sql()),
+    "batch_outcomes": with_(BATCH_CTES, "SELECT * FROM outs"),
+    "batch_report": with_(BATCH_CTES,
+                          "SELECT status, stage, count(*) AS n_sessions FROM outs GROUP BY status, stage"),
+    "batch_artifacts": with_(BATCH_CTES + ",\ntx AS (" + transcript_sql("seg", True) + ")", """
+SELECT i.session_id, i.stem || '.txt' AS file_name, t.transcript || chr(10) AS content
+FROM inputs i JOIN tx t ON i.session_id = t.session_id WHERE i.input_status = 'ok'"""),
 }

@@ -21,6 +21,8 @@ from ..operators.transcript import (format_transcript, from_editable, session_su
                                     to_editable)
 from ..session import read_table
 from ..sources import fixtures as fx
+from ..operators import batch as bt
+from ..operators.settings import resolve_settings
 from ..sources.asr import ASR_WORD, flatten_words
 from ..sources.jsonl import from_jsonl, parse_lines, split_lines, to_jsonl, to_jsonl_lines
 from ..operators.scan import ordered_concat
@@ -212,6 +214,44 @@ def q_flatten_asr(spark: SparkSession, sf: str) -> DataFrame:
     return flatten_words(asr_results(spark, sf))
 
 
+def q_settings_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    conv = read_table(spark, sf, "conversations")
+    explicit = fx.settings_from(conv).drop("redact_names").withColumn(
+        "redact_names", F.when(F.col("session_id") % 3 == 1, F.lit("John, Jane Smith")))
+    return resolve_settings(explicit, fx.config_from(conv))
+
+
+def batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 over all expected sessions: input check, then the endpoint gate
+    of each session's resolved settings."""
+    conv = read_table(spark, sf, "conversations")
+    words = fx.words_from(fx.segments_from(conv))
+    inputs = bt.input_status(fx.expected_from(conv), words)
+    st = fx.settings_from(conv)
+    gates = st.select("session_id", ep.gate(F.coalesce(F.when(F.col("base_url") != "", F.col("base_url")),
+                                                       F.lit(ep.DEFAULT_BASE_URL)),
+                                            "allow_remote").alias("gate"))
+    return bt.outcomes(inputs, gates)
+
+
+def q_batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return batch_outcomes(spark, sf)
+
+
+def q_batch_report(spark: SparkSession, sf: str) -> DataFrame:
+    return bt.report(batch_outcomes(spark, sf))
+
+
+def q_batch_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """S9 for a transcript-only batch: ``{stem}.txt`` = timestamped
+    transcript + newline, for every session whose input arrived."""
+    conv = read_table(spark, sf, "conversations")
+    segs = fx.segments_from(conv)
+    inputs = bt.input_status(fx.expected_from(conv), fx.words_from(segs))
+    outs = bt.outcomes(inputs, transcript_only=True)
+    return bt.artifacts(outs, format_transcript(segs, timestamps=True), "transcript")
+
+
 QUERIES: dict[str, Query] = {
     "redact_documents": q_redact_documents,
     "redact_names": q_redact_names,
@@ -232,4 +272,8 @@ QUERIES: dict[str, Query] = {
     "jsonl_roundtrip": q_jsonl_roundtrip,
     "jsonl_quarantine": q_jsonl_quarantine,
     "flatten_asr": q_flatten_asr,
+    "settings_resolution": q_settings_resolution,
+    "batch_outcomes": q_batch_outcomes,
+    "batch_report": q_batch_report,
+    "batch_artifacts": q_batch_artifacts,
 }

@@ -131,3 +131,37 @@ def settings_from(conv: DataFrame) -> DataFrame:
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings_from(read_table(spark, sf_dir, "conversations"))
+
+
+def config_from(conv: DataFrame) -> DataFrame:
+    """A configuration document per session, by ``conv_id % 4``: empty,
+    all valid, wrong kinds, a boolean where an integer is expected."""
+    sid = F.col("conv_id").cast("string")
+    k = F.col("conv_id") % 4
+    valid = F.concat(
+        F.lit('{"transcribe": {"speakers": "Therapist,Client", "num_speakers": 2}, '
+              '"summarize": {"client_name": "Cfg-'), sid,
+        F.lit('", "session_date": "2024-07-01", "base_url": "http://127.0.0.1:8000/v1", '
+              '"model": "cfg-model", "template": "dap", "allow_remote": true}, '
+              '"redact": {"enabled": true, "names": "John"}}'))
+    wrong = F.lit('{"transcribe": {"num_speakers": "two", "speakers": ["A", "B"]}, '
+                  '"summarize": {"client_name": 5, "allow_remote": "yes", "session_date": 20240701}, '
+                  '"redact": {"enabled": 0, "names": ["x"]}}')
+    boolint = F.lit('{"transcribe": {"num_speakers": true}, '
+                    '"summarize": {"allow_remote": false, "model": null}}')
+    doc = F.when(k == 1, valid).when(k == 2, wrong).when(k == 3, boolint).otherwise(F.lit("{}"))
+    return conv.select("conv_id").distinct().select(F.col("conv_id").alias("session_id"),
+                                                    doc.alias("config"))
+
+
+def expected_from(conv: DataFrame) -> DataFrame:
+    """Sessions a batch expects: every conversation (``n_bytes`` = its text
+    size), plus, for every 50th one, a companion whose input never arrived."""
+    sizes = conv.groupBy("conv_id").agg(F.sum(F.length("text")).cast("bigint").alias("n_bytes"))
+    real = sizes.select(F.col("conv_id").alias("session_id"), "n_bytes")
+    ghost = sizes.where(F.col("conv_id") % 50 == 0).select(
+        (F.col("conv_id") + 1_000_000).alias("session_id"), F.lit(None).cast("bigint").alias("n_bytes"))
+    both = real.unionByName(ghost)
+    return both.select("session_id",
+                       F.concat(F.lit("session-"), F.lpad(F.col("session_id").cast("string"), 7, "0"))
+                       .alias("stem"), "n_bytes")
