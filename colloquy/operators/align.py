@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import cut_lineage
 from .scan import BLOCK, block_of
 
 # ---------------------------------------------------------------------------
@@ -150,8 +151,15 @@ def merge_runs(numbered: DataFrame) -> DataFrame:
 
 
 def align(words: DataFrame, turns: DataFrame, bin_seconds: float = BIN_SECONDS,
-          block: int = BLOCK) -> DataFrame:
+          block: int = BLOCK, materialize: bool = True) -> DataFrame:
     """A2: words x turns -> segments for all sessions at once (a session
-    with no words yields no segments)."""
+    with no words yields no segments).
+
+    With ``materialize`` the attributed words are checkpointed once into the
+    session's checkpoint folder: the run numbering reads them twice (block
+    rows and word rows), and the checkpoint also bounds recomputation when
+    an executor is lost."""
     att = attribute_words(words, turns, bin_seconds, block)
+    if materialize:
+        att = cut_lineage(att)
     return merge_runs(number_runs(att, turns))

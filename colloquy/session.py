@@ -15,6 +15,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # rows here are small but CPU-heavy (regex, explode): do not merge small
+    # shuffles below this size, keep them spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
