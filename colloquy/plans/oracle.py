@@ -572,4 +572,8 @@ FROM chk"""),
     "batch_artifacts": with_(BATCH_CTES + ",\ntx AS (" + transcript_sql("seg", True) + ")", """
 SELECT i.session_id, i.stem || '.txt' AS file_name, t.transcript || chr(10) AS content
 FROM inputs i JOIN tx t ON i.session_id = t.session_id WHERE i.input_status = 'ok'"""),
+    "streaming_redact": with_(FIXTURE_CTES, f"""
+SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, {redact_text('text', fx.NAMES)} AS text,
+       start_s, end_s
+FROM seg"""),
 }

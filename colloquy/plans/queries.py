@@ -6,6 +6,7 @@ full; nothing is sampled, capped or filtered to keep a check cheap.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from ..sources.asr import ASR_WORD, flatten_words
 from ..sources.jsonl import from_jsonl, parse_lines, split_lines, to_jsonl, to_jsonl_lines
 from ..operators.scan import ordered_concat
 from ..sources.templates import load_templates
+from ..streaming.incremental import redact_stream, scratch_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values used by the queries.
@@ -252,6 +254,18 @@ def q_batch_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     return bt.artifacts(outs, format_transcript(segs, timestamps=True), "transcript")
 
 
+def q_streaming_redact(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 + R2: the segments are written as one JSONL file per session into
+    a fresh folder under the checkpoint folder; a stream picks the files up,
+    checks, numbers and redacts them and appends to a Parquet table, which
+    is returned. Equals the batch redaction of the same segments."""
+    base = scratch_dir(spark, "stream-redact")
+    in_dir, out_dir = os.path.join(base, "in"), os.path.join(base, "out")
+    to_jsonl(fx.segments(spark, sf)).write.partitionBy("session_id").text(in_dir)
+    redact_stream(spark, in_dir, out_dir, os.path.join(base, "checkpoint"), REDACT_NAMES)
+    return spark.read.parquet(out_dir)
+
+
 QUERIES: dict[str, Query] = {
     "redact_documents": q_redact_documents,
     "redact_names": q_redact_names,
@@ -276,4 +290,5 @@ QUERIES: dict[str, Query] = {
     "batch_outcomes": q_batch_outcomes,
     "batch_report": q_batch_report,
     "batch_artifacts": q_batch_artifacts,
+    "streaming_redact": q_streaming_redact,
 }
