@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import cut_lineage
+from pyspark import StorageLevel
 from .scan import BLOCK, block_of
 
 # ---------------------------------------------------------------------------
@@ -155,11 +155,12 @@ def align(words: DataFrame, turns: DataFrame, bin_seconds: float = BIN_SECONDS,
     """A2: words x turns -> segments for all sessions at once (a session
     with no words yields no segments).
 
-    With ``materialize`` the attributed words are checkpointed once into the
-    session's checkpoint folder: the run numbering reads them twice (block
-    rows and word rows), and the checkpoint also bounds recomputation when
-    an executor is lost."""
+    With ``materialize`` the attributed words are persisted (memory, spilling
+    to disk): the run numbering reads them twice (block rows and word rows).
+    A persisted relation keeps its ``(session_id, block)`` partitioning, so
+    neither reader shuffles again (a checkpoint would lose it); lost blocks
+    are recomputed from lineage."""
     att = attribute_words(words, turns, bin_seconds, block)
     if materialize:
-        att = cut_lineage(att)
+        att = att.persist(StorageLevel.MEMORY_AND_DISK)
     return merge_runs(number_runs(att, turns))
