@@ -27,6 +27,8 @@ their own; columns that clash with results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,67 +100,78 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the normal distribution (the usual five-term formula)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-a * a / 2) / 2.5066282746310002 * poly
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+    def of(a: Column) -> Column:
+        return _let(1 / (1 + 0.2316419 * a), lambda t: F.exp(-a * a / 2) / 2.5066282746310002 * (
+            t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))))
+
+    return _let(z, lambda x: _let(of(F.abs(x)), lambda upper: F.when(x >= 0, upper).otherwise(1 - upper)))
 
 
 def battery(value: Column) -> Column:
     """struct<class,logp,random> of one candidate: its class of encoding and
     length, -log10 of the p-value under the text hypothesis, and whether no
     test rejects randomness."""
-    bare = F.rtrim(value, F.lit("="))
-    fold = F.when(value.rlike("^[0-9A-F]+$"), F.lower(value)).otherwise(bare)
+    def encoded(v: Column) -> Column:
+        chosen = F.struct(F.lit(ENCODINGS[-1][0]).alias("name"), F.lit(ENCODINGS[-1][2]).alias("alphabet"))
+        for name, pattern, alphabet in reversed(ENCODINGS[:-1]):
+            chosen = F.when(v.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"))).otherwise(chosen)
+        bare = F.when(v.rlike("^[0-9A-F]+$"), F.lower(v)).otherwise(F.rtrim(v, F.lit("=")))
+        return _let(F.struct(chosen.alias("e"), bare.alias("s")), lambda x: _tests(x["e"]["name"], x["e"]["alphabet"], x["s"]))
 
-    def pick(i: int) -> Column:
-        chosen = F.lit(ENCODINGS[-1][i])
-        for e in reversed(ENCODINGS[:-1]):
-            chosen = F.when(value.rlike(e[1]), F.lit(e[i])).otherwise(chosen)
-        return chosen
+    return _let(value, encoded)
 
-    return F.transform(
-        F.array(F.struct(pick(0).alias("name"), pick(2).alias("alphabet"), fold.alias("s"))),
-        lambda e: _tests(e["name"], e["alphabet"], e["s"]))[0]
+
+def _count(s: Column, part: Column) -> Column:
+    return (F.length(s) - F.length(F.replace(s, part, F.lit("")))).cast("double")
 
 
 def _tests(name: Column, alphabet: Column, s: Column) -> Column:
-    size = F.length(alphabet).cast("double")
-
-    def with_symbols(x: Column) -> Column:
-        n = F.size(x["v"]).cast("double")
-        squares = F.aggregate(F.array_distinct(F.split(x["s"], "")), F.lit(0.0),
-                              lambda acc, c: acc + F.pow(F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2.0)))
-        chi = F.when(n > 0, size / n * squares - n).otherwise(0.0)
-        free = size - 1
-        # uniformity (Wilson and Hilferty)
-        z_chi = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-        # runs of the halves
-        halves = F.array_join(F.transform(x["v"], lambda v: F.when(v * 2 > size, "1").otherwise("0")), "")
-        ones = (F.length(halves) - F.length(F.replace(halves, F.lit("1"), F.lit("")))).cast("double")
-        changes = sum(((F.length(halves) - F.length(F.replace(halves, F.lit(p), F.lit("")))) / 2 for p in ("01", "10")), F.lit(0.0))
-        mean = 2 * ones * (n - ones) / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        z_runs = F.when((n > 1) & (var > 0), (changes + 1 - mean) / F.sqrt(var)).otherwise(10.0)
-        # serial correlation
-        centre = F.aggregate(x["v"], F.lit(0.0), lambda a, v: a + v) / n
-        power = F.aggregate(x["v"], F.lit(0.0), lambda a, v: a + (v - centre) * (v - centre))
-        lag = F.aggregate(F.zip_with(F.slice(x["v"], 1, F.greatest(F.size(x["v"]) - 1, F.lit(0))), F.slice(x["v"], 2, F.size(x["v"])),
-                                     lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda a, v: a + v)
-        z_lag = F.when(power > 0, (lag / power + 1 / n) * F.sqrt(n)).otherwise(10.0)
-        random = (_tail(z_chi) >= KEEP_P) & (2 * _tail(F.abs(z_runs)) >= KEEP_P) & (2 * _tail(F.abs(z_lag)) >= KEEP_P)
+    symbols = F.transform(F.split(s, ""), lambda c: F.instr(alphabet, c).cast("double"))
+
+    def counts(x: Column) -> Column:
+        """Sums that the three statistics are made of."""
+        halves = F.array_join(F.transform(x["v"], lambda v: F.when(v * 2 > x["size"], "1").otherwise("0")), "")
+        squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0),
+                              lambda acc, c: acc + F.pow(_count(s, c), F.lit(2.0)))
+        return _let(F.struct(x["v"].alias("v"), x["size"].alias("size"), x["n"].alias("n"), squares.alias("squares"),
+                             halves.alias("halves"), (F.aggregate(x["v"], F.lit(0.0), lambda a, v: a + v) / x["n"]).alias("centre")),
+                    statistics)
+
+    def statistics(x: Column) -> Column:
+        n, c = x["n"], x["centre"]
+        ones = _count(x["halves"], F.lit("1"))
+        changes = (_count(x["halves"], F.lit("01")) + _count(x["halves"], F.lit("10"))) / 2
+        power = F.aggregate(x["v"], F.lit(0.0), lambda a, v: a + (v - c) * (v - c))
+        pairs = F.zip_with(F.slice(x["v"], 1, F.greatest(F.size(x["v"]) - 1, F.lit(0))), F.slice(x["v"], 2, F.size(x["v"])),
+                           lambda a, b: (a - c) * (b - c))
+        return _let(F.struct(n.alias("n"), x["size"].alias("size"), (x["size"] / n * x["squares"] - n).alias("chi"),
+                             (2 * ones * (n - ones) / n + 1).alias("mean"), (changes + 1).alias("runs"), power.alias("power"),
+                             F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v).alias("lag"), (x["size"] - 1).alias("free"),
+                             (n * F.greatest(x["size"] * TEXT_AGREES - 1, F.lit(0.0))).alias("shift")), verdict)
+
+    def verdict(x: Column) -> Column:
+        n, free, shift = x["n"], x["free"], x["shift"]
+        # uniformity (Wilson and Hilferty), runs of the halves, serial correlation
+        z_chi = (F.pow(x["chi"] / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        var = (x["mean"] - 1) * (x["mean"] - 2) / (n - 1)
+        z_runs = F.when((n > 1) & (var > 0), F.abs(x["runs"] - x["mean"]) / F.sqrt(var)).otherwise(10.0)
+        z_lag = F.when(x["power"] > 0, F.abs(x["lag"] / x["power"] + 1 / n) * F.sqrt(n)).otherwise(10.0)
+        random = (_tail(z_chi) >= KEEP_P) & (2 * _tail(z_runs) >= KEEP_P) & (2 * _tail(z_lag) >= KEEP_P)
         # under the text hypothesis the statistic is non-central
-        shift = n * F.greatest(size * TEXT_AGREES - 1, F.lit(0.0))
-        z_text = (free + shift - chi) / F.sqrt(2 * (free + 2 * shift))
+        z_text = (free + shift - x["chi"]) / F.sqrt(2 * (free + 2 * shift))
         logp = F.when(shift > 0, -F.log10(F.greatest(_tail(z_text), F.lit(1e-15)))).otherwise(0.0)
         return F.struct(F.concat_ws(":", name, F.floor(F.log2(n)).cast("string")).alias("class"),
                         F.coalesce(logp, F.lit(0.0)).alias("logp"), F.coalesce(random, F.lit(False)).alias("random"))
 
-    symbols = F.transform(F.split(s, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    return F.transform(F.array(F.struct(s.alias("s"), symbols.alias("v"))), with_symbols)[0]
+    return _let(F.struct(symbols.alias("v"), F.length(alphabet).cast("double").alias("size"),
+                         F.greatest(F.length(s), F.lit(1)).cast("double").alias("n")), counts)
 
 
 def _binned(logp: Column) -> Column:
@@ -169,7 +182,8 @@ def cuts(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Least bin of -log10 p that Benjamini-Hochberg accepts, by class."""
     t = F.coalesce(F.col(text), F.lit(""))
     tested = (docs.where(F.col(text).rlike(CANDIDATE))
-              .select(F.explode(candidates(t, base_spans(t))).alias("c"))
+              .withColumn("_base", base_spans(t))
+              .select(F.explode_outer(candidates(t, F.col("_base"))).alias("c")).where(F.col("c").isNotNull())
               .select(battery(F.col("c")["value"]).alias("b")))
     by_bin = tested.groupBy(F.col("b")["class"].alias("class"), _binned(F.col("b")["logp"]).alias("bin")).count()
     one = Window.partitionBy("class")
