@@ -146,3 +146,11 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run ``first:end`` of word hashes."""
+    up, down = _WORDS.get(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:-1], out=total[1:])
+    return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * _STEP)
