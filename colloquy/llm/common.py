@@ -8,12 +8,15 @@ few kilobytes (or one word), which bounds the memory of a task whatever the batc
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
@@ -154,3 +157,18 @@ def run_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[:-1], out=total[1:])
     return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * _STEP)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, whatever their Python path is."""
+    context = spark.sparkContext
+    if getattr(context, "_colloquy_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="colloquy-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*")):
+            if f.suffix in (".py", ".txt"):
+                z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._colloquy_shipped = True

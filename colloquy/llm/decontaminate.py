@@ -27,8 +27,8 @@ rows are reported each.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -273,16 +273,13 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
 _FINDERS: dict[str, Finder] = {}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", rate: float = RATE) -> DataFrame:
-    """``keys`` of ``docs`` with (item_id, start_word, end_word, distance):
-    one row for each item that a document holds. With no keys wanted twice;
-    a document without items gives no row."""
+def _finding(docs: DataFrame, benchmark: DataFrame, text: str, rate: float,
+             report: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """``docs`` through the finder; ``report`` makes rows of a batch and its hits."""
     items = benchmark_items(benchmark)
     groups = classes([x for _, x in items], rate)
     shared = docs.sparkSession.sparkContext.broadcast((items, groups))
-    name = f"{id(shared)}:{len(items)}:{rate}"
-    made = [T.StructField("item_id", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word", "distance"))]
-    schema = T.StructType([*docs.select(*keys).schema.fields, *made])
+    name = f"{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _FINDERS:
@@ -295,10 +292,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: s
                 parts.append(h)
                 bounds.append(own[1:] + bounds[-1][-1])
             hits = finder.find(np.concatenate(parts), np.concatenate(bounds)) if parts else []
-            rows = pa.array([h[0] for h in hits], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(c.take(rows) for c in b.columns[:-1]),
-                 *(pa.array([h[i + 1] for h in hits], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32())))],
-                schema.names)
+            yield report(b, hits)
+
+    kept = [f.name for f in schema.fields if f.name in docs.columns]
+    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", rate: float = RATE) -> DataFrame:
+    """``keys`` of ``docs`` with (item_id, start_word, end_word, distance):
+    one row for each item that a document holds, none for a clean one."""
+    made = [T.StructField("item_id", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word", "distance"))]
+    schema = T.StructType([*docs.select(*keys).schema.fields, *made])
+
+    def report(b: pa.RecordBatch, hits: list[tuple]) -> pa.RecordBatch:
+        rows = pa.array([h[0] for h in hits], pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[:-1]),
+                                           *(pa.array([h[i + 1] for h in hits], t) for i, t in enumerate(kinds))], schema.names)
+
+    return _finding(docs, benchmark, text, rate, report, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item."""
+    schema = docs.schema
+
+    def report(b: pa.RecordBatch, hits: list[tuple]) -> pa.RecordBatch:
+        keep = np.ones(b.num_rows, bool)
+        keep[[h[0] for h in hits]] = False
+        return b.select(schema.names).filter(pa.array(keep))
 
-    return docs.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return _finding(docs, benchmark, text, rate, report, schema)

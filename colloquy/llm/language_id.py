@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 100
@@ -39,6 +39,8 @@ ALPHABET = 61
 CHUNK = 512
 GROUP_CHARS = 4_000_000
 UNKNOWN = "und"
+AMBIGUOUS = 0.01  # a long text below this score has no one language
+LONG_TEXT = 500
 _MARK, _MASK = 1 << 30, (1 << 30) - 1
 
 
@@ -185,10 +187,11 @@ def _parser(samples: dict[str, str]) -> Parser:
     return _PARSERS[key]
 
 
-def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` without its text, with lang_pred and score added."""
+def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score added, without its text unless told
+    to ``keep`` it."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
-    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep or c != text)]
     source = docs.select(*kept, F.col(text).alias("_text"))
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
@@ -212,5 +215,10 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
     return source.mapInArrow(run, schema)
 
 
-def is_held_out(by: str = "doc_id") -> F.col:
+def rejected(pred: str = "lang_pred", score: str = "score", text: str = "text") -> Column:
+    """No language at all, or a long text that two languages explain alike."""
+    return (F.col(pred) == UNKNOWN) | ((F.col(score) < AMBIGUOUS) & (F.length(text) >= LONG_TEXT))
+
+
+def is_held_out(by: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(by).cast("string"), F.lit("")).cast("binary")) % 3 == 1
