@@ -48,7 +48,7 @@ from .components import connected_components
 
 SLICE = 1000  # sets on one side of a task
 PARTS = 64  # of a sketch
-SAMPLE_DOCS = 20_000  # whose n-grams are counted for the order
+SAMPLE_DOCS = 40_000  # whose n-grams are counted for the order
 FREQUENT = 6  # times in the sample
 MOST_FREQUENT = 300_000  # n-grams that are moved to the end; they are broadcast
 
@@ -295,6 +295,14 @@ def _by_group(t: pa.Table) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []
 
 
+def _distinct(told: DataFrame) -> DataFrame:
+    """The groups of ``told(gram, id, component, ...)`` that are of several
+    components, one for all groups with the same members."""
+    groups = told.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("k"),
+                                      F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return told.join(groups.where("lo < hi").groupBy("n", "k").agg(F.min("gram").alias("gram")).select("gram"), "gram")
+
+
 def _dealt(told: DataFrame) -> DataFrame:
     """Rows ``told(gram, id, component, ...)`` of groups, dealt to tasks (group,
     i, j): those outside of a group's largest component as pivots in slice i,
@@ -326,8 +334,11 @@ def similar(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int =
     # groups: nodes that share an element of their prefixes
     one = Window.partitionBy("gram")
     posted = made.where("size > 0").join(heads, "id", "left_semi").select("id", "size", F.explode("prefix").alias("gram"))
-    grouped = saved(posted.withColumn("least", F.min(F.struct("id", "size")).over(one)).withColumn("most", F.max("id").over(one))
-                    .where("least.id < most").select("gram", "id", "size", "least"), "groups")
+    # without a neighbour of fitting size in the order of sizes there is no partner
+    by_size = one.orderBy("size", "id")
+    posted = posted.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
+    posted = posted.where((F.col("size") * numerator <= F.col("below") * denominator) | (F.col("above") * numerator <= F.col("size") * denominator))
+    grouped = saved(posted.withColumn("least", F.min(F.struct("id", "size")).over(one)).select("gram", "id", "size", "least"), "groups")
     sketches = made.select("id", "size", "sketch").groupBy("id", "size").agg(F.min("sketch").alias("sketch"))
 
     # every node meets the least node of its groups
@@ -348,13 +359,11 @@ def similar(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int =
 
     # groups of several components: once for all groups with the same members
     told = grouped.select("gram", "id", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = (told.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("k"),
-                                      F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").groupBy("n", "k").agg(F.min("gram").alias("gram")).select("gram"))
-    told = saved(told.join(open_, "gram"), "open")
+    told = saved(_distinct(told), "open")
     rows = saved(join.survivors(saved(_dealt(told).join(sketches, ["id", "size"]), "dealt")), "survivors")
-    more = saved(_dealt(told.drop("size").join(rows, ["gram", "id"])), "dealt")
-    links = links.union(saved(join.meet(more, join.sets(rows.select("id").distinct())), "links"))
+    left = _distinct(told.drop("size").join(rows, ["gram", "id"]))
+    more = saved(_dealt(left), "dealt")
+    links = links.union(saved(join.meet(more, join.sets(more.select("id").distinct())), "links"))
 
     # equal sets hang together too
     whole = connected_components(links.union(member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
