@@ -44,7 +44,7 @@ from .common import gram_hashes, run_hashes, saved, signed, word_hashes
 WINDOW = 50
 ANCHOR = 16
 SHARD = 2000
-BUNDLE = 20_000
+BUNDLE = 2_000
 
 
 class Automaton:
