@@ -17,10 +17,10 @@ links reach; copies are never expanded into pairs.
    members, once for all groups with the same members. Then any two nodes that
    could link have met or are connected already, so no link is lost.
 
-Before sets meet, their sketches do: the numbers of elements in 64 parts of the
+Before sets meet, their sketches do: the numbers of elements in 256 parts of the
 hash space. Two sets differ in at least as many elements as the sketches do, so
 a pair whose sketches differ too much for the threshold is ruled out exactly,
-at a hundredth of the traffic of the sets.
+at a fraction of the traffic of the sets.
 
 Nodes meet in prefix trees: one side's sets, globally ordered, go into a tree;
 the other side's sets walk it, share the overlap of common prefixes, and leave
@@ -47,7 +47,7 @@ from .common import gram_hashes, mix, saved, signed, word_hashes
 from .components import connected_components
 
 SLICE = 1000  # sets on one side of a task
-PARTS = 64  # of a sketch
+PARTS = 256  # of a sketch
 SAMPLE_DOCS = 40_000  # whose n-grams are counted for the order
 FREQUENT = 6  # times in the sample
 MOST_FREQUENT = 300_000  # n-grams that are moved to the end; they are broadcast
