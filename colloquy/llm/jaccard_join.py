@@ -49,8 +49,8 @@ from .components import connected_components
 SLICE = 1000  # sets on one side of a task
 PARTS = 256  # of a sketch
 SAMPLE_DOCS = 40_000  # whose n-grams are counted for the order
-FREQUENT = 6  # times in the sample
-MOST_FREQUENT = 300_000  # n-grams that are moved to the end; they are broadcast
+FREQUENT = 3  # times in the sample
+MOST_FREQUENT = 500_000  # n-grams that are moved to the end; they are broadcast
 
 
 def gram_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
