@@ -2,7 +2,7 @@
 
 Learning: a bounded sample of labelled text per language becomes one suffix
 automaton per language (letters only, any run of other characters is one
-blank). Prediction: every text is parsed, from its first to its last
+blank, and none before the first letter). Prediction: every text is parsed, from its first to its last
 character, into the longest matches that the automaton offers, greedily; the
 language that needs the fewest phrases explains the text best (the phrase
 count times log length is the cross entropy estimate of Ziv and Merhav).
