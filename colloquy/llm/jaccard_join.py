@@ -5,11 +5,12 @@ The result is one row per document with its set size and the least id that
 links reach; copies are never expanded into pairs.
 
 1. Documents with equal sets are one node, named by the least id.
-2. The elements have one global order: by hash, but elements that are frequent
-   in a sample of the documents come last. Of a set of size s only the first
-   ``s - ceil(t * s) + 1`` elements can be the first common element of a link
-   at threshold t (the prefix principle; it holds for any order, so the sample
-   only saves work). Nodes that share such an element are a group.
+2. The elements have one global order: the rarest first, by the frequency of
+   their bucket in a table of fixed size that counts all documents, then by
+   hash. Of a set of size s only the first ``s - ceil(t * s) + 1`` elements can
+   be the first common element of a link at threshold t (the prefix principle;
+   it holds for any order, so sharing a bucket costs work and no link). Nodes
+   that share such an element are a group.
 3. Every node meets the least node of each of its groups, and the links found
    are joined to components. A group that is one component is settled: a group
    of thousands of near copies costs a link or two each and not all pairs.
@@ -48,9 +49,9 @@ from .components import connected_components
 
 SLICE = 1000  # sets on one side of a task
 PARTS = 256  # of a sketch
-SAMPLE_DOCS = 40_000  # whose n-grams are counted for the order
-FREQUENT = 3  # times in the sample
-MOST_FREQUENT = 500_000  # n-grams that are moved to the end; they are broadcast
+BUCKETS = 1 << 24  # of the table of n-gram frequencies; a byte each is broadcast
+RUN = 1 << 14  # buckets that are summed together
+HELD = 1 << 20  # n-grams that a task holds before it counts them
 
 
 def gram_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -65,12 +66,66 @@ def gram_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield gram_hashes(words[a:b], b - a) if b > a else words[:0]
 
 
-def ordered(grams: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order: the elements of ``last`` at the end."""
-    if not len(last) or not len(grams):
-        return grams
-    late = last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams
-    return np.concatenate([grams[~late], grams[late]])
+def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
+    """How frequent the n-grams of each bucket are in all of ``texts(id, text)``:
+    the logarithm of the number of sets, in steps of an eighth. The table has
+    the same size for any input; tasks count on their own and send what is not
+    zero, and the sums are streamed, a run of buckets after the other."""
+
+    def pack(own: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes]:
+        """Places and counts of what is not zero, or all counts and no places
+        if that is shorter; counts in as many bytes as the largest needs."""
+        narrow = own.astype(np.min_scalar_type(own.max()))
+        if len(at) * (2 + narrow.itemsize) < RUN * narrow.itemsize:
+            return at.astype(np.uint16).tobytes(), narrow[at].tobytes()
+        return b"", narrow.tobytes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(BUCKETS, np.uint32), [np.zeros(0, np.uint32)], 0
+
+        def flush() -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[at] += times.astype(np.uint32)
+
+        for b in batches:
+            for g in gram_sets(b.column(1), n):
+                held.append((g % np.uint64(BUCKETS)).astype(np.uint32))
+                size += len(g)
+                if size >= HELD:
+                    flush()
+                    held, size = [], 0
+        if size:
+            flush()
+        at = np.flatnonzero(counts)
+        ends = np.searchsorted(at, np.arange(0, BUCKETS + 1, RUN))
+        used = np.flatnonzero(np.diff(ends))
+        for some in np.array_split(used, max(1, len(used) // 64)):
+            packed = [pack(counts[k * RUN:(k + 1) * RUN], at[ends[k]:ends[k + 1]] - k * RUN) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x for x, _ in packed], pa.binary()),
+                                              pa.array([x for _, x in packed], pa.binary())], ["run", "place", "times"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, place, times in zip(*(b.column(c).to_pylist() for c in ("run", "place", "times"))):
+                own = sums.setdefault(k, np.zeros(RUN, np.int64))
+                at = np.frombuffer(place, np.uint16) if place else slice(None)
+                own[at] += np.frombuffer(times, f"u{len(times) // (len(place) // 2 or RUN)}")
+        levels = [np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["run", "levels"])
+
+    counted = texts.mapInArrow(count, "run int, place binary, times binary").repartition("run")
+    found = counted.mapInArrow(total, "run int, levels binary").toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    for k, levels in zip(found.column("run").to_pylist(), found.column("levels").to_pylist()):
+        out[k * RUN:(k + 1) * RUN] = np.frombuffer(levels, np.uint8)
+    return out
+
+
+def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: by the level of its bucket, then by hash."""
+    level = levels[(grams % np.uint64(len(levels))).astype(np.int64)]
+    return grams[np.argsort(level, kind="stable")]
 
 
 def prefix_length(size: int, numerator: int, denominator: int) -> int:
@@ -177,25 +232,11 @@ class Join:
 
     def __init__(self, texts: DataFrame, n: int, numerator: int, denominator: int) -> None:
         self.texts, self.n, self.numerator, self.denominator = texts, n, numerator, denominator
-        self.last = texts.sparkSession.sparkContext.broadcast(self._frequent())
-
-    def _frequent(self) -> np.ndarray:
-        """The n-grams that come last in the global order."""
-        n, total = self.n, max(self.texts.count(), 1)
-        drawn = self.texts.where(F.pmod(F.xxhash64("id"), F.lit(total)) < SAMPLE_DOCS)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for g in gram_sets(b.column(1), n):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(g))], ["g"])
-
-        counts = drawn.mapInArrow(run, "g long").groupBy("g").count().where(F.col("count") >= FREQUENT)
-        top = counts.orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).select("g").toArrow()
-        return np.sort(top.column("g").to_numpy().view(np.uint64))
+        self.levels = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, n))
 
     def prefixes(self) -> DataFrame:
         """(id, size, k1, k2, prefix, sketch) of each text; k1 and k2 name its set."""
-        n, numerator, denominator, last = self.n, self.numerator, self.denominator, self.last
+        n, numerator, denominator, levels = self.n, self.numerator, self.denominator, self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -206,7 +247,7 @@ class Join:
                     sums = np.array([mix(g).sum(), np.bitwise_xor.reduce(mix(g + np.uint64(7)))], np.uint64)
                     for k, v in zip((k1, k2), signed(mix(sums)).tolist()):
                         k.append(v)
-                    prefix.append(signed(ordered(g, last.value)[:prefix_length(len(g), numerator, denominator)]) if len(g) else prefix[0])
+                    prefix.append(signed(ordered(g, levels.value)[:prefix_length(len(g), numerator, denominator)]) if len(g) else prefix[0])
                 ends = np.cumsum([len(p) for p in prefix])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(k1, pa.int64()),
@@ -254,11 +295,11 @@ class Join:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, grams) of some nodes."""
-        n, last = self.n, self.last
+        n, levels = self.n, self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [signed(ordered(g, last.value)) for g in gram_sets(b.column(1), n)]
+                found = [signed(ordered(g, levels.value)) for g in gram_sets(b.column(1), n)]
                 ends = np.cumsum([0, *(len(g) for g in found)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["id", "grams"])
