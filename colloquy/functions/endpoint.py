@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsondoc import single_json
+
 # ---------------------------------------------------------------------------
 # Loopback hosts, token estimate, request defaults.
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1")
@@ -19,7 +21,6 @@ DEFAULT_MODEL = "llama3"
 TEMPERATURE = 0.3
 COMPLETIONS_PATH = "/chat/completions"
 CONTENT_PATH = "$.choices[0].message.content"
-ERROR_PREFIX_CHARS = 200
 # ---------------------------------------------------------------------------
 
 GATE_OK, GATE_REMOTE, GATE_REFUSED = "ok", "remote_allowed", "refused"
@@ -62,23 +63,32 @@ def completions_url(base_url) -> Column:
 
 
 def request_body(prompt, model=None) -> Column:
-    """``{"model", "messages": [{"role": "user", "content"}], "temperature"}``."""
+    """``{"model", "messages": [{"role": "user", "content"}], "temperature"}``;
+    null without a prompt."""
     m = F.coalesce(_c(model), F.lit(DEFAULT_MODEL)) if model is not None else F.lit(DEFAULT_MODEL)
     msg = F.struct(F.lit("user").alias("role"), _c(prompt).alias("content"))
-    return F.to_json(F.struct(m.alias("model"), F.array(msg).alias("messages"),
+    body = F.to_json(F.struct(m.alias("model"), F.array(msg).alias("messages"),
                               F.lit(TEMPERATURE).alias("temperature")))
+    return F.when(_c(prompt).isNotNull(), body)
+
+
+def is_success(status) -> Column:
+    """A status from 200 to 299; null is no success."""
+    return F.coalesce(_c(status).between(200, 299), F.lit(False))
 
 
 def response_content(body) -> Column:
-    """``choices[0].message.content`` or null."""
-    return F.get_json_object(_c(body), CONTENT_PATH)
+    """``choices[0].message.content`` if the body is one JSON document and
+    the content a string, else null."""
+    found = F.try_variant_get(single_json(_c(body)), CONTENT_PATH, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
 
 def response_error(status, body) -> Column:
-    """Error text for a failed status or an unexpected shape, else null."""
-    b = _c(body)
-    return (F.when(_c(status) >= 400, F.concat(F.lit("LLM request failed: "), _c(status).cast("string"),
-                                               F.lit(" "), b))
-            .when(response_content(b).isNull(),
-                  F.concat(F.lit("Unexpected LLM response format: "),
-                           F.substring(b, 1, ERROR_PREFIX_CHARS))))
+    """Error text, with the whole body, for any status but a success or an
+    unexpected shape; null exactly when there is content."""
+    text = F.coalesce(_c(body), F.lit(""))
+    return (F.when(~is_success(status), F.concat(F.lit("LLM request failed: "),
+                                                 F.coalesce(_c(status).cast("string"), F.lit("no status")),
+                                                 F.lit(" "), text))
+            .when(response_content(body).isNull(), F.concat(F.lit("Unexpected LLM response format: "), text)))

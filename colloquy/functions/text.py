@@ -6,12 +6,19 @@ A3 duration text.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dialect import WHITESPACE_CHARS
 
 
+#: decimal digits of all scripts in the basic plane and their ASCII digits
+DIGITS = "".join(c for c in map(chr, range(128, 0xFFFF)) if unicodedata.category(c) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -44,10 +51,14 @@ def duration_text(seconds) -> Column:
 
 def parse_clock(ts) -> Column:
     """F4 ``M:SS`` -> seconds as double; null when not exactly two integer
-    parts (the caller turns null into a rejected row)."""
-    parts = F.split(_c(ts), ":")
-    secs = parts.getItem(0).try_cast("bigint") * 60 + F.get(parts, 1).try_cast("bigint")
-    return F.when(F.size(parts) == 2, secs.cast("double"))
+    parts. Decimal digits of any script count, and numbers beyond 64 bits."""
+    parts = F.split(F.translate(_c(ts), DIGITS, ASCII_DIGITS), ":")
+
+    def number(x: Column) -> Column:
+        return F.coalesce(x.try_cast("bigint").cast("double"),
+                          F.when(x.rlike("^[0-9]+$"), x.try_cast("double")))
+
+    return F.when(F.size(parts) == 2, number(parts.getItem(0)) * 60 + number(F.get(parts, 1)))
 
 
 def split_names(names) -> Column:

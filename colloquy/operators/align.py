@@ -46,6 +46,24 @@ NO_TURNS = "Speaker"
 BIN_SECONDS = 32.0
 
 
+# times outside of +-MAX_SECONDS (about 115 days) are no times of a recording
+MAX_SECONDS = 1e7
+
+
+def time_fault(start: str = "start_s", end: str = "end_s") -> Column:
+    """Why a pair of times can't be placed, else null."""
+    s, e = F.col(start), F.col(end)
+    far = lambda t: F.isnan(t) | (F.abs(t) > F.lit(MAX_SECONDS))
+    return (F.when(s.isNull() | e.isNull(), F.lit("missing time"))
+            .when(far(s) | far(e), F.lit("implausible time")))
+
+
+def rejected_times(rows: DataFrame) -> DataFrame:
+    """The words or turns that alignment leaves out, with a ``reason``; the
+    others are those it takes, so no row is in neither table."""
+    return rows.withColumn("reason", time_fault()).where(F.col("reason").isNotNull())
+
+
 def _bin_range(a: Column, b: Column, width: float) -> Column:
     lo = F.floor(F.least(a, b) / F.lit(width))
     hi = F.floor(F.greatest(a, b) / F.lit(width))
@@ -55,9 +73,11 @@ def _bin_range(a: Column, b: Column, width: float) -> Column:
 def attribute_words(words: DataFrame, turns: DataFrame,
                     bin_seconds: float = BIN_SECONDS, block: int = BLOCK) -> DataFrame:
     """Every word with its best turn's speaker in ``_spk`` (null when
-    no turn qualifies) and its ``_blk``; clustered by ``(session_id, _blk)``.
+    no turn qualifies) and its ``_blk``; rows of ``rejected_times`` take no
+    part, so one faulty session stops no other; clustered by ``(session_id, _blk)``.
     """
     ws, we = F.col("start_s"), F.col("end_s")
+    words, turns = (d.where(time_fault().isNull()) for d in (words, turns))
     wb = words.select(
         "session_id", "word_idx", "text", "start_s", "end_s",
         F.explode(_bin_range(ws, we, bin_seconds)).alias("_bin"),

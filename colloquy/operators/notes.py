@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import endpoint as ep
 from ..functions.template import DEFAULT_CLIENT, substitute
 from ..functions.text import duration_text
-from .joins import checked_broadcast
-from .scan import block_of
+from .scan import block_of, join_sorted
 from .transcript import EMPTY_DURATION, LINE_SEP, format_line
 
 
-def _sorted_join(pairs: Column, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["v"]), sep)
+# Fixed value: reason of a request for an unknown template.
+NO_TEMPLATE = "template not found"
 
 
 def session_values(segs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -30,14 +29,14 @@ def session_values(segs: DataFrame, sessions: DataFrame | None = None) -> DataFr
     lines = segs.select("session_id", "seg_idx", "speaker", "start_s", "end_s",
                         format_line(True).alias("_line"), block_of("seg_idx").alias("_blk"))
     part = lines.groupBy("session_id", "_blk").agg(
-        _sorted_join(F.collect_list(F.struct(F.col("seg_idx").alias("k"), F.col("_line").alias("v"))),
+        join_sorted(F.collect_list(F.struct(F.col("seg_idx").alias("k"), F.col("_line").alias("v"))),
                      LINE_SEP).alias("_piece"),
         F.collect_set("speaker").alias("_spk"),
         F.min("start_s").alias("_min"), F.max("end_s").alias("_max"),
         F.count(F.lit(1)).alias("_n"),
     )
     vals = part.groupBy("session_id").agg(
-        _sorted_join(F.collect_list(F.struct(F.col("_blk").alias("k"), F.col("_piece").alias("v"))),
+        join_sorted(F.collect_list(F.struct(F.col("_blk").alias("k"), F.col("_piece").alias("v"))),
                      LINE_SEP).alias("transcript"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_spk")))), ", ").alias("speakers"),
         duration_text(F.max("_max") - F.min("_min")).alias("duration"),
@@ -62,24 +61,28 @@ def render_prompts(values: DataFrame, templates: DataFrame, requests: DataFrame,
                    default_date: str | None = None) -> DataFrame:
     """G3 for every ``(session_id, template_id)`` request row.
 
-    ``requests`` may carry ``client_name`` and ``session_date`` (J5). The
-    template table is joined by id behind a size check (J4)."""
+    ``requests`` may carry ``client_name`` and ``session_date`` (J5). No
+    request vanishes: a session without segments has an empty transcript and
+    duration ``0:00``; a template that does not exist leaves ``prompt`` null
+    and says so in ``error``. How the template table is joined (J4) is left to
+    Spark, which knows its size in bytes."""
     req = requests
     for c in ("client_name", "session_date"):
         if c not in req.columns:
             req = req.withColumn(c, F.lit(None).cast("string"))
     today = (F.lit(default_date) if default_date
              else F.date_format(F.current_date(), "yyyy-MM-dd"))
-    t = checked_broadcast(templates.select("template_id", "body"))
-    rows = req.join(values, "session_id").join(t, "template_id")
+    rows = (req.join(values, "session_id", "left")
+            .join(templates.select("template_id", "body"), "template_id", "left"))
     vals = {
-        "transcript": F.col("transcript"),
-        "speakers": F.col("speakers"),
+        "transcript": F.coalesce("transcript", F.lit("")),
+        "speakers": F.coalesce("speakers", F.lit("")),
         "date": F.coalesce(_given("session_date"), today),
-        "duration": F.col("duration"),
+        "duration": F.coalesce("duration", F.lit(EMPTY_DURATION)),
         "client_name": F.coalesce(_given("client_name"), F.lit(DEFAULT_CLIENT)),
     }
-    return rows.select("session_id", "template_id", substitute("body", vals).alias("prompt"))
+    return rows.select("session_id", "template_id", substitute("body", vals).alias("prompt"),
+                       F.when(F.col("body").isNull(), F.lit(NO_TEMPLATE)).alias("error"))
 
 
 def gate_requests(prompts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -100,13 +103,14 @@ def gate_requests(prompts: DataFrame, targets: DataFrame | None = None) -> DataF
         ep.too_long("prompt").alias("too_long"),
         ep.completions_url(base).alias("url"),
         ep.request_body("prompt", F.coalesce(_given("model"), F.lit(ep.DEFAULT_MODEL))).alias("request"),
+        F.col("error") if "error" in prompts.columns else F.lit(None).cast("string").alias("error"),
     )
 
 
 def prompt_budget(prompts: DataFrame) -> DataFrame:
     """Per template, prompts, prompts over the limit, largest estimate."""
     est = ep.estimated_tokens("prompt")
-    return prompts.groupBy("template_id").agg(
+    return prompts.where(F.col("prompt").isNotNull()).groupBy("template_id").agg(
         F.count(F.lit(1)).alias("n_prompts"),
         F.count_if(est > F.lit(ep.TOKEN_WARNING_THRESHOLD)).alias("n_too_long"),
         F.max(est).alias("max_tokens"),
@@ -114,15 +118,16 @@ def prompt_budget(prompts: DataFrame) -> DataFrame:
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """``content`` or an ``error`` row per response."""
+    """Every response has either ``content`` or ``error``."""
     return responses.select(
         *[c for c in responses.columns if c not in ("status", "body")],
-        F.when(F.col("status") < 400, ep.response_content("body")).alias("content"),
+        F.when(ep.is_success("status"), ep.response_content("body")).alias("content"),
         ep.response_error("status", "body").alias("error"),
     )
 
 
 RESPONSE_SCHEMA = "session_id long, template_id string, status int, body string"
+CLIENT_ERROR = 599  # status of a request whose client failed
 
 
 def call_endpoint(requests: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
@@ -131,23 +136,46 @@ def call_endpoint(requests: DataFrame, make_client: Callable[[], Callable[[pd.Da
 
     ``make_client()`` runs once per partition (models / connections are
     loaded once, not per row); the returned callable maps a pandas batch with
-    ``url, request`` to ``status, body``. Refused rows are dropped before the
-    hook, and an exception in one batch becomes error rows, not a failed job.
+    ``url, request`` to ``status, body`` and keeps its own time limit. Refused
+    rows and rows without a request are dropped before the hook. If a batch
+    fails, its rows are sent one by one, so only those that fail themselves
+    become error rows; a client that can't be made fails its rows, not the job.
     """
-    ready = requests.where(F.col("gate") != ep.GATE_REFUSED).select(
+    ready = requests.where((F.col("gate") != ep.GATE_REFUSED) & F.col("request").isNotNull()).select(
         "session_id", "template_id", "url", "request")
 
+    def answer(client: Callable, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = client(pdf)
+        if len(out) != len(pdf):
+            raise ValueError(f"{len(out)} answers to {len(pdf)} requests")
+        return pd.DataFrame({"session_id": pdf["session_id"].values, "template_id": pdf["template_id"].values,
+                             "status": out["status"].astype("Int32").values, "body": out["body"].values})
+
+    def failed(pdf: pd.DataFrame, e: Exception) -> pd.DataFrame:
+        return pdf[["session_id", "template_id"]].assign(
+            status=CLIENT_ERROR, body=f"client error: {type(e).__name__}: {e}")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
+        client, broken = None, None
+        try:
+            client = make_client()
+        except Exception as e:  # noqa: BLE001 - the rows carry the error
+            broken = e
         for pdf in batches:
+            if broken is not None:
+                yield failed(pdf, broken)
+                continue
             try:
-                out = client(pdf)
-                status, body = out["status"].astype("int32"), out["body"].astype(str)
-            except Exception as e:  # noqa: BLE001 - isolate per batch
-                status = pd.Series([599] * len(pdf), dtype="int32")
-                body = pd.Series([f"client error: {type(e).__name__}: {e}"] * len(pdf))
-            yield pd.DataFrame({"session_id": pdf["session_id"].values,
-                                "template_id": pdf["template_id"].values,
-                                "status": status.values, "body": body.values})
+                yield answer(client, pdf)
+                continue
+            except Exception:  # noqa: BLE001 - find the rows that fail
+                pass
+            for i in range(len(pdf)):
+                row = pdf.iloc[i:i + 1]
+                try:
+                    one = answer(client, row)
+                except Exception as e:  # noqa: BLE001
+                    one = failed(row, e)
+                yield one
 
     return ready.mapInPandas(run, RESPONSE_SCHEMA)

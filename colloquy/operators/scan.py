@@ -43,8 +43,10 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str,
             .drop(blk, loc, off))
 
 
-def _join_sorted(pairs: Column, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["v"]), sep)
+def join_sorted(pairs: Column, sep: str) -> Column:
+    """Strings ``v`` in the order of ``k``; a null string counts as empty, it does
+    not lose its place."""
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: F.coalesce(x["v"], F.lit(""))), sep)
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], order: str, value: Column | str,
@@ -59,6 +61,6 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order: str, value: Column
     blk = "_oc_blk"
     part = (df.withColumn(blk, block_of(order, block))
             .groupBy(*keys, blk)
-            .agg(_join_sorted(F.collect_list(F.struct(F.col(order).alias("k"), v.alias("v"))), sep).alias("_piece")))
+            .agg(join_sorted(F.collect_list(F.struct(F.col(order).alias("k"), v.alias("v"))), sep).alias("_piece")))
     return part.groupBy(*keys).agg(
-        _join_sorted(F.collect_list(F.struct(F.col(blk).alias("k"), F.col("_piece").alias("v"))), sep).alias(out))
+        join_sorted(F.collect_list(F.struct(F.col(blk).alias("k"), F.col("_piece").alias("v"))), sep).alias(out))

@@ -1,8 +1,9 @@
 """Equivalent DuckDB SQL for each registered query (the correctness gate).
 
-Written independently of the Spark plans: plain window functions, joins and
-``string_agg`` over the same driver tables. Regexes come from the same
-Python-syntax fixed values, translated to RE2 by ``dialect.to_re2``.
+Plain window functions, joins and ``string_agg`` over the same driver tables.
+Shared with the Spark side, and so not checked here but by the literal cases in
+tests: the fixed patterns (translated to RE2 by ``dialect.to_re2``), the token
+grammar, the header, and the table of settings keys.
 """
 
 from __future__ import annotations
@@ -293,12 +294,13 @@ pv AS (
          coalesce(nullif(st.session_date, ''), {sql_string(RUN_DATE)}) AS dt,
          coalesce(nullif(st.client_name, ''), {sql_string(tp.DEFAULT_CLIENT)}) AS cn
   FROM settings st JOIN vals v ON st.session_id = v.session_id
-  JOIN templates t ON st.template_id = t.template_id
+  LEFT JOIN templates t ON st.template_id = t.template_id
 ),
 prompts AS (
   SELECT session_id, template_id,
          {substitute_sql("body", dict(transcript="transcript", speakers="speakers", date="dt",
-                                      duration="duration", client_name="cn"))} AS prompt
+                                      duration="duration", client_name="cn"))} AS prompt,
+         CASE WHEN body IS NULL THEN 'template not found' END AS error
   FROM pv
 )"""
 
@@ -339,26 +341,32 @@ tg AS (
 RESPONSES_CTE = """
 resp AS (
   SELECT conv_id AS session_id, turn,
-    CASE WHEN turn % 5 = 3 THEN 500 ELSE 200 END AS status,
-    CASE turn % 5
-      WHEN 0 THEN json_object('choices', [json_object('message',
-                    json_object('role', 'assistant', 'content', text))])::VARCHAR
+    CASE (conv_id + turn) % 10 WHEN 3 THEN 500 WHEN 5 THEN 302 WHEN 6 THEN NULL ELSE 200 END AS status,
+    CASE (conv_id + turn) % 10
+      WHEN 7 THEN NULL
+      WHEN 8 THEN json_object('choices', [json_object('message',
+                    json_object('role', 'assistant', 'content', text))])::VARCHAR || ' junk'
+      WHEN 9 THEN json_object('choices', [json_object('message',
+                    json_object('content', json_object('a', text)))])::VARCHAR
       WHEN 1 THEN '{"choices":[]}'
       WHEN 2 THEN json_object('choices', [json_object('text', text)])::VARCHAR
       WHEN 3 THEN 'internal error'
-      ELSE '<html>' || text END AS body
+      WHEN 4 THEN '<html>' || text
+      ELSE json_object('choices', [json_object('message',
+                    json_object('role', 'assistant', 'content', text))])::VARCHAR END AS body
   FROM conversations
 ),
 parsed AS (
   SELECT session_id, turn, status, body,
-         CASE WHEN status < 400 AND json_valid(body)
+         CASE WHEN status BETWEEN 200 AND 299 AND json_valid(body)
+                   AND json_type(body, '$.choices[0].message.content') = 'VARCHAR'
               THEN json_extract_string(body, '$.choices[0].message.content') END AS content
   FROM resp
 )"""
 
 JSONL_CTES = FIXTURE_CTES + f""",
 jl AS (
-  SELECT session_id, seg_idx, speaker, text, start_s,
+  SELECT session_id, seg_idx, speaker, text, start_s, end_s,
          json_object('speaker', speaker, 'text', text, 'start', start_s, 'end', end_s)::VARCHAR AS line
   FROM seg
 ),
@@ -370,6 +378,9 @@ fl AS (
       WHEN 2 THEN substring(line, 1, length(line) // 2)
       WHEN 3 THEN ''
       WHEN 4 THEN '  ' || chr(9)
+      WHEN 5 THEN line || ' junk'
+      WHEN 6 THEN json_object('speaker', speaker, 'text', json_object('a', 1), 'start', start_s, 'end', end_s)::VARCHAR
+      WHEN 7 THEN line || line
       ELSE line END AS line
   FROM jl
 ),
@@ -531,29 +542,31 @@ red AS (SELECT session_id, seg_idx, speaker, {redact_text('text', fx.NAMES)} AS
 SELECT template_id, count(*) AS n_prompts,
        count_if({est_sql('prompt')} > {ep.TOKEN_WARNING_THRESHOLD}) AS n_too_long,
        max({est_sql('prompt')}) AS max_tokens
-FROM prompts GROUP BY template_id"""),
+FROM prompts WHERE prompt IS NOT NULL GROUP BY template_id"""),
     "chat_requests": with_(PROMPT_CTES, f"""
 SELECT p.session_id, p.template_id,
        {gate_sql(f"coalesce(nullif(s.base_url, ''), {sql_string(ep.DEFAULT_BASE_URL)})", 's.allow_remote')} AS gate,
        {est_sql('p.prompt')} AS est_tokens, {est_sql('p.prompt')} > {ep.TOKEN_WARNING_THRESHOLD} AS too_long,
        {url_sql(f"coalesce(nullif(s.base_url, ''), {sql_string(ep.DEFAULT_BASE_URL)})")} AS url,
-       json_object('model', coalesce(nullif(s.model, ''), {sql_string(ep.DEFAULT_MODEL)}),
+       CASE WHEN p.prompt IS NOT NULL THEN json_object('model', coalesce(nullif(s.model, ''), {sql_string(ep.DEFAULT_MODEL)}),
                    'messages', [json_object('role', 'user', 'content', p.prompt)],
-                   'temperature', {ep.TEMPERATURE})::VARCHAR AS request
+                   'temperature', {ep.TEMPERATURE})::VARCHAR END AS request, p.error
 FROM prompts p LEFT JOIN settings s ON p.session_id = s.session_id"""),
     "endpoint_gate": with_(GATE_TARGETS, f"""
 SELECT page_id, base_url, {is_local_sql('base_url')} AS is_local,
        {gate_sql('base_url', 'allow_remote')} AS gate, {url_sql('base_url')} AS url
 FROM tg"""),
-    "chat_responses": with_(RESPONSES_CTE, f"""
+    "chat_responses": with_(RESPONSES_CTE, """
 SELECT session_id, turn, content,
-       CASE WHEN status >= 400 THEN 'LLM request failed: ' || CAST(status AS VARCHAR) || ' ' || body
-            WHEN content IS NULL THEN 'Unexpected LLM response format: ' || left(body, {ep.ERROR_PREFIX_CHARS})
+       CASE WHEN status IS NULL THEN 'LLM request failed: no status ' || coalesce(body, '')
+            WHEN status < 200 OR status > 299
+            THEN 'LLM request failed: ' || CAST(status AS VARCHAR) || ' ' || coalesce(body, '')
+            WHEN content IS NULL THEN 'Unexpected LLM response format: ' || coalesce(body, '')
        END AS error
 FROM parsed"""),
     "jsonl_roundtrip": with_(FIXTURE_CTES, """
 SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, text, start_s, end_s FROM seg"""),
-    "jsonl_quarantine": with_(JSONL_CTES, """
+    "jsonl_quarantine": with_(JSONL_CTES, f"""
 SELECT session_id, CAST(line_no AS BIGINT) AS line_no,
        CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason,
        CASE WHEN reason IS NULL THEN CAST(count(*) FILTER (WHERE reason IS NULL) OVER (
@@ -562,10 +575,22 @@ SELECT session_id, CAST(line_no AS BIGINT) AS line_no,
        CASE WHEN reason IS NULL THEN json_extract_string(line, '$.speaker') END AS speaker,
        CASE WHEN reason IS NULL THEN json_extract_string(line, '$.text') END AS text,
        CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.start') AS DOUBLE) END AS start_s,
-       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.end') AS DOUBLE) END AS end_s
+       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.end') AS DOUBLE) END AS end_s,
+       CASE WHEN reason IS NOT NULL THEN {redact_patterns('line')} END AS line
 FROM chk"""),
     "flatten_asr": with_(ASR_CTE, "SELECT * FROM asr_words"),
     "settings_resolution": with_(SETTINGS_CTE + "," + CONFIG_CTE, settings_sql()),
+    "session_redaction": with_(FIXTURE_CTES + "," + SETTINGS_CTE + "," + CONFIG_CTE + ",\nresolved AS (" + settings_sql() + ")", f"""
+SELECT s.session_id, s.seg_idx,
+       CASE WHEN NOT coalesce(r.redact, false) THEN s.text
+            WHEN r.redact_names = 'John, Jane Smith' THEN {redact_text('s.text', ['John', 'Jane Smith'])}
+            WHEN r.redact_names = 'John' THEN {redact_text('s.text', ['John'])}
+            ELSE {redact_patterns('s.text')} END AS text
+FROM seg s LEFT JOIN resolved r ON s.session_id = r.session_id"""),
+    "rejected_words": with_(FIXTURE_CTES, """
+SELECT session_id, word_idx, text,
+       CASE (session_id + word_idx) % 50 WHEN 0 THEN 'missing time' ELSE 'implausible time' END AS reason
+FROM words WHERE (session_id + word_idx) % 50 IN (0, 1)"""),
     "batch_outcomes": with_(BATCH_CTES, "SELECT * FROM outs"),
     "batch_report": with_(BATCH_CTES,
                           "SELECT status, stage, count(*) AS n_sessions FROM outs GROUP BY status, stage"),

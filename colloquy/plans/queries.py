@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import endpoint as ep
-from ..functions.redact import redact_patterns, redact_text
-from ..operators.align import align, assign_speakers
+from ..functions.redact import redact_names_dynamic, redact_patterns, redact_text
+from ..functions.text import split_names
+from ..operators.align import align, assign_speakers, rejected_times
 from ..operators.notes import (gate_requests, parse_responses, prompt_budget, render_prompts,
                                session_values)
 from ..operators.speakers import label_speakers
@@ -154,16 +155,22 @@ def q_endpoint_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Response bodies derived from conversation turns, by ``turn % 5``:
-    good, empty ``choices``, no ``message``, HTTP 500, not JSON."""
+    """Response bodies derived from conversation turns, by
+    ``(conv_id + turn) % 10``: good, empty ``choices``, no ``message``, HTTP
+    500, not JSON, HTTP 302, no status, no body, text after the document,
+    content that is no string."""
     conv = read_table(spark, sf, "conversations")
     good = F.to_json(F.struct(F.array(F.struct(F.struct(
         F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))).alias("choices")))
     no_msg = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("choices")))
-    k = F.col("turn") % 5
+    obj = F.to_json(F.struct(F.array(F.struct(F.struct(F.struct(F.col("text").alias("a")).alias("content"))
+                                              .alias("message"))).alias("choices")))
+    k = (F.col("conv_id") + F.col("turn")) % 10
     body = (F.when(k == 0, good).when(k == 1, F.lit('{"choices":[]}')).when(k == 2, no_msg)
-            .when(k == 3, F.lit("internal error")).otherwise(F.concat(F.lit("<html>"), F.col("text"))))
-    status = F.when(k == 3, F.lit(500)).otherwise(F.lit(200))
+            .when(k == 3, F.lit("internal error")).when(k == 4, F.concat(F.lit("<html>"), F.col("text")))
+            .when(k == 8, F.concat(good, F.lit(" junk"))).when(k == 9, obj)
+            .when(k != 7, good))
+    status = F.when(k == 3, 500).when(k == 5, 302).when(k != 6, 200)
     return conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn"),
                        status.alias("status"), body.alias("body"))
 
@@ -180,16 +187,21 @@ def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def faulty_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """JSONL text per session with injected faults, by
     ``(session_id * 31 + seg_idx) % 13``: a dropped key, an extra key, a line
-    cut in half, an empty line, a whitespace-only line."""
+    cut in half, an empty line, a whitespace-only line, text after the object,
+    a nested text, two objects."""
     segs = fx.segments(spark, sf)
-    lines = to_jsonl_lines(segs).join(segs.select("session_id", "seg_idx", "speaker", "text", "start_s"),
+    lines = to_jsonl_lines(segs).join(segs.select("session_id", "seg_idx", "speaker", "text", "start_s", "end_s"),
                                       ["session_id", "seg_idx"])
     k = (F.col("session_id") * 31 + F.col("seg_idx")) % 13
     dropped = F.to_json(F.struct("speaker", "text", F.col("start_s").alias("start")))
     extra = F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(',"mood":"x"}'))
+    nested = F.to_json(F.struct("speaker", F.struct(F.lit(1).alias("a")).alias("text"),
+                                F.col("start_s").alias("start"), F.col("end_s").alias("end")))
     cut = F.expr("substring(line, 1, length(line) div 2)")
     bad = (F.when(k == 0, dropped).when(k == 1, extra).when(k == 2, cut)
-           .when(k == 3, F.lit("")).when(k == 4, F.lit("  \t")).otherwise(F.col("line")))
+           .when(k == 3, F.lit("")).when(k == 4, F.lit("  \t"))
+           .when(k == 5, F.concat("line", F.lit(" junk"))).when(k == 6, nested)
+           .when(k == 7, F.concat("line", "line")).otherwise(F.col("line")))
     return ordered_concat(lines.select("session_id", "seg_idx", bad.alias("line")),
                           ["session_id"], "seg_idx", "line", "\n", "jsonl")
 
@@ -223,6 +235,26 @@ def q_settings_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_settings(explicit, fx.config_from(conv))
 
 
+def q_session_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Each session is redacted, or not, as its resolved settings say, with
+    the names of its own."""
+    st = q_settings_resolution(spark, sf).select("session_id", "redact", "redact_names")
+    segs = fx.segments(spark, sf).join(st, "session_id", "left")
+    names = F.coalesce(split_names("redact_names"), F.array().cast("array<string>"))
+    names = F.filter(names, lambda n: n != "")
+    text = F.when(F.coalesce("redact", F.lit(False)), redact_names_dynamic(redact_patterns("text"), names))
+    return segs.select("session_id", "seg_idx", text.otherwise(F.col("text")).alias("text"))
+
+
+def q_rejected_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words whose times were spoiled, by ``(session_id + word_idx) % 50``."""
+    k = (F.col("session_id") + F.col("word_idx")) % 50
+    w = fx.all_fixtures(spark, sf)["words"]
+    w = w.withColumn("start_s", F.when(k != 0, F.col("start_s"))).withColumn(
+        "end_s", F.when(k == 1, F.lit(1e13)).otherwise(F.col("end_s")))
+    return rejected_times(w).select("session_id", "word_idx", "text", "reason")
+
+
 def batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """C3 over all expected sessions: input check, then the endpoint gate
     of each session's resolved settings."""
@@ -287,6 +319,8 @@ QUERIES: dict[str, Query] = {
     "jsonl_quarantine": q_jsonl_quarantine,
     "flatten_asr": q_flatten_asr,
     "settings_resolution": q_settings_resolution,
+    "session_redaction": q_session_redaction,
+    "rejected_words": q_rejected_words,
     "batch_outcomes": q_batch_outcomes,
     "batch_report": q_batch_report,
     "batch_artifacts": q_batch_artifacts,

@@ -97,7 +97,8 @@ def all_fixtures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------------------
 # Fixed values of the per-session settings fixture (FIXTURES.md §1, §E).
 TEMPLATE_IDS = ["birp", "cbt-soap", "dap", "informed-consent", "intake",
-                "neuropsychoanalytic", "progress", "psychodynamic", "soap"]
+                "neuropsychoanalytic", "progress", "psychodynamic", "soap",
+                "withdrawn"]  # the last one does not exist
 LOCAL_BASE = "http://localhost:11434/v1/"
 REMOTE_BASE = "https://api.example.com/v1"
 # ---------------------------------------------------------------------------
@@ -105,7 +106,8 @@ REMOTE_BASE = "https://api.example.com/v1"
 
 def settings_from(conv: DataFrame) -> DataFrame:
     """Explicit per-session settings; by ``conv_id % 3``: unset, valid,
-    empty-or-remote. ``template_id`` picks one shipped template per session."""
+    empty-or-remote. ``template_id`` picks one shipped template per session, or one that
+    does not exist."""
     sid = F.col("conv_id")
     kind = sid % 3
     sessions = conv.select("conv_id").distinct()

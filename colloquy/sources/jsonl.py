@@ -8,11 +8,14 @@ its reason, and ``seg_idx`` numbers the accepted lines of a session in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jsondoc import single_json
+from ..functions.redact import redact_patterns
 from ..functions.text import strip
 from ..operators.scan import ordered_concat, running_sum
+from ..operators.settings import json_kind
 
 # ---------------------------------------------------------------------------
 # The interchange row's keys (sorted) and its schema.
@@ -42,16 +45,28 @@ def split_lines(docs: DataFrame, text_col: str = "jsonl") -> DataFrame:
             .withColumn("line_no", F.col("line_no").cast("bigint")))
 
 
+def line_fault(line: Column) -> Column:
+    """Why a line is no segment, else null: the whole line must be one JSON
+    object with exactly the four keys, strings and numbers where they belong."""
+    doc = single_json(line)
+    keys = F.array_sort(F.json_object_keys(line))
+    good = F.lit(True)
+    for k in SEGMENT_KEYS:
+        good &= json_kind(doc, k).isin(*(("int", "float") if k in ("start", "end") else ("str",)))
+    rec = F.from_json(line, LINE_SCHEMA)
+    good &= rec["start"].isNotNull() & rec["end"].isNotNull()
+    return (F.when(doc.isNull() | keys.isNull(), F.lit(REASON_JSON))
+            .when(keys != F.array(*[F.lit(k) for k in SEGMENT_KEYS]), F.lit(REASON_KEYS))
+            .when(~F.coalesce(good, F.lit(False)), F.lit(REASON_TYPES)))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Every line with ``status`` (``ok``/``rejected``), ``reason`` and
-    the parsed fields; accepted lines get ``seg_idx`` (ordinal per session)."""
-    keys = F.array_sort(F.json_object_keys("line"))
-    rec = F.from_json("line", LINE_SCHEMA)
-    reason = (F.when(keys.isNull(), F.lit(REASON_JSON))
-              .when(keys != F.array(*[F.lit(k) for k in SEGMENT_KEYS]), F.lit(REASON_KEYS))
-              .when(rec.isNull() | rec["speaker"].isNull() | rec["text"].isNull()
-                    | rec["start"].isNull() | rec["end"].isNull(), F.lit(REASON_TYPES)))
-    p = lines.select("session_id", "line_no", reason.alias("reason"), rec.alias("_r"))
+    the parsed fields; accepted lines get ``seg_idx`` (ordinal per session),
+    rejected ones keep the ``line`` itself, redacted, so it can be repaired."""
+    line = F.col("line")
+    p = lines.select("session_id", "line_no", "line", line_fault(line).alias("reason"),
+                     F.from_json(line, LINE_SCHEMA).alias("_r"))
     p = p.withColumn("_ok", F.col("reason").isNull().cast("int"))
     p = running_sum(p, ["session_id"], "line_no", "_ok", "_before", exclusive=True)
     ok = F.col("_ok") == 1
@@ -64,6 +79,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(ok, F.col("_r.text")).alias("text"),
         F.when(ok, F.col("_r.start")).alias("start_s"),
         F.when(ok, F.col("_r.end")).alias("end_s"),
+        F.when(~ok, redact_patterns("line")).alias("line"),
     )
 
 
@@ -72,7 +88,7 @@ def from_jsonl(docs: DataFrame, text_col: str = "jsonl") -> tuple[DataFrame, Dat
     parsed = parse_lines(split_lines(docs, text_col))
     good = parsed.where(F.col("status") == "ok").select(
         "session_id", "seg_idx", "speaker", "text", "start_s", "end_s")
-    rejected = parsed.where(F.col("status") != "ok").select("session_id", "line_no", "reason")
+    rejected = parsed.where(F.col("status") != "ok").select("session_id", "line_no", "reason", "line")
     return good, rejected
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.redact import redact_text
 from ..functions.text import strip
 from ..session import ensure_checkpoint_dir
-from ..sources.jsonl import LINE_SCHEMA, SEGMENT_KEYS
+from ..sources.jsonl import LINE_SCHEMA, line_fault
 
 OUT_COLUMNS = ["session_id", "seg_idx", "speaker", "text", "start_s", "end_s"]
 
@@ -32,13 +32,10 @@ def parse_inline(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     numbered = F.transform(lines, lambda ln, i: F.struct(i.alias("line_no"), ln.alias("line")))
     nonblank = F.filter(numbered, lambda x: strip(x["line"]) != "")
-    keys = F.array(*[F.lit(k) for k in SEGMENT_KEYS])
 
     def check(x: Column) -> Column:
         rec = F.from_json(x["line"], LINE_SCHEMA)
-        ok = (F.array_sort(F.json_object_keys(x["line"])) == keys) & rec["speaker"].isNotNull() \
-            & rec["text"].isNotNull() & rec["start"].isNotNull() & rec["end"].isNotNull()
-        return F.struct(x["line_no"].alias("line_no"), F.coalesce(ok, F.lit(False)).alias("ok"),
+        return F.struct(x["line_no"].alias("line_no"), line_fault(x["line"]).isNull().alias("ok"),
                         rec["speaker"].alias("speaker"), rec["text"].alias("text"),
                         rec["start"].alias("start"), rec["end"].alias("end"))
 

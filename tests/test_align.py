@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 
-from colloquy.operators.align import align, assign_speakers
+from colloquy.operators.align import align, assign_speakers, rejected_times
+from colloquy.plans.oracle import ORACLE
 from colloquy.sources import fixtures as fx
 from tests.conftest import SF_SMALL, rows
 
@@ -8,40 +10,6 @@ WSCHEMA = "session_id long, word_idx long, text string, start_s double, end_s do
 TSCHEMA = "session_id long, turn_idx long, speaker string, start_s double, end_s double"
 
 
-def brute_align(words, turns):
-    """Straight list-walking oracle of the alignment rules (one session)."""
-    if not words:
-        return []
-    if not turns:
-        return [("Speaker", "".join(w[0] for w in words).strip(), words[0][1], words[-1][2])]
-
-    def find(s, e):
-        mid = (s + e) / 2
-        best, best_ov = "Unknown", 0.0
-        for spk, ts, te in turns:
-            ov = max(0.0, min(e, te) - max(s, ts))
-            if ov > best_ov:
-                best, best_ov = spk, ov
-        if best_ov == 0.0:
-            for spk, ts, te in turns:
-                if ts <= mid <= te:
-                    return spk
-        return best
-
-    out, cur = [], None
-    for text, s, e in words:
-        spk = find(s, e)
-        if cur is None or spk != cur[0]:
-            if cur:
-                out.append((cur[0], cur[1].strip(), cur[2], cur[3]))
-            cur = [spk, text, s, e]
-        else:
-            cur[1] += text
-            cur[3] = e
-    out.append((cur[0], cur[1].strip(), cur[2], cur[3]))
-    return out
-
-
 def run(spark, words, turns, **kw):
     w = spark.createDataFrame([(1, i, *x) for i, x in enumerate(words)], WSCHEMA).repartition(3)
     t = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], TSCHEMA)
@@ -49,14 +17,14 @@ def run(spark, words, turns, **kw):
     return rows(segs, "speaker", "text", "start_s", "end_s")
 
 
-WORDS = [(" I've", 0.0, 0.4), (" been", 0.4, 0.6), (" anxious.", 0.6, 1.2), (" Tell", 1.5, 1.7),
-         (" me", 1.7, 1.8), (" more", 1.8, 2.0), (" about", 2.0, 2.2), (" that.", 2.2, 2.6)]
-TURNS = [("SPEAKER_00", 0.0, 1.3), ("SPEAKER_01", 1.4, 2.7)]
+WORDS = [(" Good", 0.25, 0.5), (" morning", 0.5, 1.0), (" all.", 1.0, 1.25),
+         (" Shall", 2.0, 2.25), (" we", 2.25, 2.5), (" begin?", 2.5, 3.0)]
+TURNS = [("S1", 0.0, 1.5), ("S2", 1.75, 3.25)]
 
 
 def test_two_speakers(spark):
-    assert run(spark, WORDS, TURNS) == [("SPEAKER_00", "I've been anxious.", 0.0, 1.2),
-                                        ("SPEAKER_01", "Tell me more about that.", 1.5, 2.6)]
+    assert run(spark, WORDS, TURNS) == [("S1", "Good morning all.", 0.25, 1.25),
+                                        ("S2", "Shall we begin?", 2.0, 3.0)]
 
 
 def test_no_words(spark):
@@ -64,7 +32,7 @@ def test_no_words(spark):
 
 
 def test_no_turns(spark):
-    assert run(spark, WORDS, []) == [("Speaker", "I've been anxious. Tell me more about that.", 0.0, 2.6)]
+    assert run(spark, WORDS, []) == [("Speaker", "Good morning all. Shall we begin?", 0.25, 3.0)]
 
 
 def test_aba_stays_three(spark):
@@ -88,28 +56,61 @@ def test_larger_overlap_and_tie(spark):
     assert run(spark, [(" x", 0.5, 1.5)], [("A", 0.0, 1.0), ("B", 1.0, 2.0)])[0][0] == "A"
 
 
+def joined(first, last):
+    return " ".join("w%d" % i for i in range(first, last + 1))
+
+
 @pytest.mark.parametrize("block,bin_s", [(1, 0.125), (2, 0.5), (3, 1.0), (1 << 16, 32.0)])
 def test_block_and_bin_sizes_do_not_change_result(spark, block, bin_s):
     words = [(" w%d" % i, i * 0.25, i * 0.25 + 0.25) for i in range(23)]
-    turns = [("A", 0.0, 1.1), ("B", 1.0, 2.6), ("A", 2.6, 2.7), ("C", 4.0, 9.0)]
-    want = brute_align([w for w in words], turns)
+    turns = [("A", 0.0, 1.125), ("B", 1.0, 2.625), ("A", 2.625, 2.75), ("C", 4.0, 9.0)]
+    # w4 overlaps B more, w10 overlaps B and the second A alike, w11 to w15 lie in the gap
+    want = [("A", joined(0, 3), 0.0, 1.0), ("B", joined(4, 10), 1.0, 2.75),
+            ("Unknown", joined(11, 15), 2.75, 4.0), ("C", joined(16, 22), 4.0, 5.75)]
     assert run(spark, words, turns, block=block, bin_seconds=bin_s) == want
 
 
-def test_fixture_equals_brute_force(spark):
+def test_properties_on_the_fixture(spark):
     f = fx.all_fixtures(spark, SF_SMALL)
-    words, turns = f["words"].collect(), f["turns"].collect()
-    by_w, by_t = {}, {}
-    for w in sorted(words, key=lambda r: (r.session_id, r.word_idx)):
-        by_w.setdefault(w.session_id, []).append((w.text, w.start_s, w.end_s))
-    for t in sorted(turns, key=lambda r: (r.session_id, r.turn_idx)):
-        by_t.setdefault(t.session_id, []).append((t.speaker, t.start_s, t.end_s))
-    want = sorted((sid, i, *seg) for sid, ws in by_w.items()
-                  for i, seg in enumerate(brute_align(ws, by_t.get(sid, []))))
-    for kw in ({}, {"block": 7, "bin_seconds": 2.0}):
-        got = sorted(rows(align(f["words"], f["turns"], **kw),
-                          "session_id", "seg_idx", "speaker", "text", "start_s", "end_s"))
-        assert got == want
+    words, turns = f["words"].toPandas(), f["turns"].toPandas()
+    spk = assign_speakers(f["words"], f["turns"]).toPandas()
+    segs = align(f["words"], f["turns"], block=7, bin_seconds=2.0).toPandas()
+    assert len(spk) == len(words)
+    # no turn overlaps a word more than one of its speaker does
+    pairs = words.merge(spk, on=["session_id", "word_idx"]).merge(turns, on="session_id", suffixes=("", "_t"))
+    pairs["overlap"] = (pairs[["end_s", "end_s_t"]].min(axis=1) - pairs[["start_s", "start_s_t"]].max(axis=1)).clip(lower=0)
+    most = pairs.groupby(["session_id", "word_idx"])["overlap"].max()
+    own = pairs[pairs["speaker"] == pairs["speaker_t"]].groupby(["session_id", "word_idx"])["overlap"].max()
+    assert (most[most > 0] == own.reindex(most[most > 0].index)).all()
+    # the text of a session is that of its words, and neighbours differ in speaker
+    for sid, own_words in words.sort_values("word_idx").groupby("session_id"):
+        s = segs[segs["session_id"] == sid].sort_values("seg_idx")
+        assert " ".join(s["text"]).split() == "".join(own_words["text"]).split()
+        assert (s["speaker"].values[1:] != s["speaker"].values[:-1]).all()
+        assert list(s["seg_idx"]) == list(range(len(s)))
+
+
+@pytest.mark.parametrize("kw", [{}, {"block": 7, "bin_seconds": 2.0}])
+def test_fixture_equals_sql(spark, kw):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF_SMALL}/conversations.parquet')")
+    cols = ("session_id", "seg_idx", "speaker", "text", "start_s", "end_s")
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE['align_runs']})").fetchall())
+    f = fx.all_fixtures(spark, SF_SMALL)
+    assert sorted(rows(align(f["words"], f["turns"], **kw), *cols)) == want
+
+
+def test_faulty_times_are_rejected_and_stop_nothing(spark):
+    nan = float("nan")
+    words = [(" a", 0.0, 1.0), (" b", None, None), (" c", 1.0, None), (" d", 1.0, nan), (" e", 1.0, 2.0)]
+    turns = [("A", 0.0, 1e13), ("B", 0.0, 5.0), ("C", None, 2.0), ("D", 3.0, 1.0)]
+    assert run(spark, words, turns) == [("B", "a e", 0.0, 2.0)]
+    w = spark.createDataFrame([(1, i, *x) for i, x in enumerate(words)], WSCHEMA)
+    t = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], TSCHEMA)
+    assert sorted(rows(rejected_times(w), "word_idx", "reason")) == [
+        (1, "missing time"), (2, "missing time"), (3, "implausible time")]
+    assert sorted(rows(rejected_times(t), "turn_idx", "reason")) == [(0, "implausible time"), (2, "missing time")]
+    assert assign_speakers(w, t).count() + rejected_times(w).count() == len(words)
 
 
 def test_assign_speakers_labels(spark):

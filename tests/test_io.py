@@ -25,6 +25,19 @@ def test_jsonl_quarantine(spark):
     assert sorted(r[0] for r in rows(bad, "reason")) == ["bad_json", "wrong_keys", "wrong_keys"]
 
 
+def test_only_whole_objects_of_the_right_kinds(spark):
+    good = '{"speaker":"A","text":"x","start":0,"end":1.5}'
+    bad = {good + " junk": "bad_json", good + good: "bad_json", good + "," + good: "bad_json", good + "] junk": "bad_json",
+           "[" + good + "]": "bad_json", '{"speaker":"A","text":{"a":1},"start":0,"end":1}': "bad_value",
+           '{"speaker":5,"text":"x","start":0,"end":1}': "bad_value",
+           '{"speaker":"A","text":"x","start":"0","end":1}': "bad_value",
+           '{"speaker":"A","text":null,"start":0,"end":1}': "bad_value"}
+    docs = spark.createDataFrame([(1, "\n".join([good, *bad, "  " + good + " "]))], "session_id long, jsonl string")
+    ok, rejected = from_jsonl(docs)
+    assert ok.count() == 2 and ok.count() + rejected.count() == len(bad) + 2
+    assert [r for r in rows(rejected.orderBy("line_no"), "line", "reason")] == list(bad.items())
+
+
 def test_flatten_asr_skips_null_word_lists(spark):
     asr = spark.createDataFrame(
         [(1, 0, [(" a", 0.0, 1.0), (" b", 1.0, 2.0)]), (1, 1, None), (1, 2, [(" c", 3.0, 4.0)]), (1, 3, [])],

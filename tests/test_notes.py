@@ -92,5 +92,38 @@ def test_call_endpoint_hook(spark):
         return call
 
     out = sorted(rows(call_endpoint(req.repartition(1), make_client), "session_id", "status"))
-    assert [r[0] for r in out] == [1, 3]  # refused never reaches the hook
-    assert all(s in (200, 599) for _, s in out)
+    assert out == [(1, 200), (3, 599)]  # refused never reaches the hook, one failure stays alone
+
+
+def test_client_that_cannot_be_made(spark):
+    req = spark.createDataFrame([(1, "t", "ok", "u", "{}"), (2, "t", "ok", "u", "{}")],
+                                "session_id long, template_id string, gate string, url string, request string")
+
+    def make_client():
+        raise OSError("no model")
+
+    out = sorted(rows(call_endpoint(req, make_client), "session_id", "status", "body"))
+    assert out == [(i, 599, "client error: OSError: no model") for i in (1, 2)]
+
+
+def test_every_response_has_content_or_error(spark):
+    good = '{"choices":[{"message":{"content":"note"}}]}'
+    data = [(1, None, good), (2, 200, None), (3, 500, None), (4, 302, good), (5, 200, good + " junk"),
+            (6, 200, '{"choices":[{"message":{"content":{"a":1}}}]}'), (7, 204, good), (8, 200, "x" * 500)]
+    df = spark.createDataFrame(data, "session_id long, status int, body string")
+    got = {r[0]: (r[1], r[2]) for r in rows(parse_responses(df), "session_id", "content", "error")}
+    assert len(got) == len(data) and all((c is None) != (e is None) for c, e in got.values())
+    assert [i for i, (c, _) in got.items() if c] == [7]
+    assert got[8][1].endswith("x" * 500)  # the whole body
+
+
+def test_no_request_vanishes(spark):
+    segs = spark.createDataFrame([(1, 0, "A", "x", 0.0, 5.0)],
+                                 "session_id long, seg_idx long, speaker string, text string, start_s double, end_s double")
+    tmpl = spark.createDataFrame([("t", "$duration|$transcript")], "template_id string, body string")
+    req = spark.createDataFrame([(1, "t"), (1, "absent"), (2, "t")], "session_id long, template_id string")
+    prompts = render_prompts(session_values(segs), tmpl, req, default_date="2024-01-02")
+    assert sorted(rows(prompts, "session_id", "template_id", "prompt", "error"), key=str) == [
+        (1, "absent", None, "template not found"), (1, "t", "0:05|[00:00 → 00:05] A: x", None), (2, "t", "0:00|", None)]
+    sent = rows(gate_requests(prompts), "template_id", "request", "error")
+    assert [(r, e) for t, r, e in sent if t == "absent"] == [(None, "template not found")]

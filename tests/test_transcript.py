@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from colloquy.operators.speakers import label_speakers
-from colloquy.operators.transcript import (HEADER, format_transcript, from_editable,
+from colloquy.operators.transcript import (format_transcript, from_editable,
                                            session_summary, to_editable)
+from colloquy.functions.text import parse_clock
 from tests.conftest import rows
 
 SSCHEMA = "session_id long, seg_idx long, speaker string, text string, start_s double, end_s double"
@@ -49,21 +50,6 @@ def test_editable_roundtrip(spark):
     assert back == [("SPEAKER_00", "I've been anxious.", 0.0, 1.0), ("SPEAKER_01", "Tell me more.", 1.0, 2.0)]
 
 
-def brute_from_editable(text):
-    """List-walking oracle of the editable grammar."""
-    import re
-    hdr = re.compile(HEADER)
-    lines = text.split("\n")
-    heads = [(m, i) for i, ln in enumerate(lines) if (m := hdr.match(ln))]
-    out = []
-    for k, (m, i) in enumerate(heads):
-        end = heads[k + 1][1] if k + 1 < len(heads) else len(lines)
-        a, b = (int(x) for x in m.group(1).split(":")), (int(x) for x in m.group(2).split(":"))
-        out.append((k, m.group(3).strip(), "\n".join(lines[i + 1:end]).strip(),
-                    float(next(a) * 60 + next(a)), float(next(b) * 60 + next(b))))
-    return out
-
-
 def test_editable_import_edge_cases(spark):
     texts = {
         7: ("junk before\n[00:00 → 00:05] Therapist :\nline one\n\n\nline two\n"
@@ -74,9 +60,22 @@ def test_editable_import_edge_cases(spark):
     docs = spark.createDataFrame(list(texts.items()), "session_id long, editable string")
     got = rows(from_editable(docs).orderBy("session_id", "seg_idx"),
                "session_id", "seg_idx", "speaker", "text", "start_s", "end_s")
-    want = [(sid, *seg) for sid, t in sorted(texts.items()) for seg in brute_from_editable(t)]
-    assert got == want
-    assert [g[2] for g in got if g[0] == 7] == ["Therapist", "Client"]
+    assert got == [
+        (7, 0, "Therapist", "line one\n\n\nline two\n[bad → header] x:\n[01:00→01:30]Client:", 0.0, 5.0),
+        (7, 1, "Client", "body", 120.0, 130.0),
+        (9, 0, "", "", 6000.0, 6059.0), (9, 1, "A", "", 62.0, 184.0)]
+
+
+def test_clocks_of_other_scripts_and_sizes(spark):
+    df = spark.createDataFrame([("٣:٠٠",), ("2:05",), ("1:2:3",), ("a:b",), ("123",), ("",), ("9" * 25 + ":00",)], "t string")
+    got = [r[0] for r in df.select(parse_clock("t")).collect()]
+    assert got == [180.0, 125.0, None, None, None, None, 6e26]
+
+
+def test_null_text_keeps_its_line(spark):
+    data = [(1, 0, "A", "x", 0.0, 1.0), (1, 1, "B", None, 1.0, 2.0), (1, 2, "A", "z", 2.0, 3.0)]
+    got = rows(format_transcript(segs(spark, data)), "transcript")[0][0]
+    assert len(got.split("\n\n")) == 3
 
 
 def test_session_summary(spark):
