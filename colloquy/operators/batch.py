@@ -36,22 +36,29 @@ def input_status(expected: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def outcomes(inputs: DataFrame, gates: DataFrame | None = None,
-             transcript_only: bool = False) -> DataFrame:
+             transcript_only: bool = False, notes: DataFrame | None = None) -> DataFrame:
     """C3 + X2: one row per expected session: ``status``, ``stage``,
     ``reason`` and, for successes, the artifact ``file_name``. ``gates``
-    (``session_id, gate``) applies to note runs: a refused endpoint fails
-    that session only."""
+    (``session_id, gate``) and ``notes`` (``session_id, error``, one row per
+    session) apply to note runs: a refused endpoint, an absent template or an
+    erroneous response fails that session only."""
     j = inputs
     if gates is not None and not transcript_only:
         j = j.join(gates.select("session_id", "gate"), "session_id", "left")
     else:
         j = j.withColumn("gate", F.lit(ep.GATE_OK))
+    if notes is not None and not transcript_only:
+        j = j.join(notes.select("session_id", "error"), "session_id", "left")
+    else:
+        j = j.withColumn("error", F.lit(None).cast("string"))
     bad_input = F.col("input_status") != OK
     refused = F.col("gate") == ep.GATE_REFUSED
-    status = F.when(bad_input | refused, F.lit(FAILED)).otherwise(F.lit(OK))
-    stage = F.when(bad_input, F.lit("input")).when(refused, F.lit("summarize"))
+    erroneous = F.col("error").isNotNull()
+    status = F.when(bad_input | refused | erroneous, F.lit(FAILED)).otherwise(F.lit(OK))
+    stage = F.when(bad_input, F.lit("input")).when(refused | erroneous, F.lit("summarize"))
     reason = (F.when(bad_input, F.concat(F.lit("input "), F.col("input_status")))
-              .when(refused, F.lit("remote endpoint without allow_remote")))
+              .when(refused, F.lit("remote endpoint without allow_remote"))
+              .otherwise(F.col("error")))
     suffix = TRANSCRIPT_SUFFIX if transcript_only else NOTE_SUFFIX
     return j.select(
         "session_id", "stem",

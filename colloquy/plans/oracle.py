@@ -514,6 +514,31 @@ outs AS (
   FROM inputs i LEFT JOIN gates g ON i.session_id = g.session_id
 )"""
 
+RESPONSE_ERROR = """
+       CASE WHEN status IS NULL THEN 'LLM request failed: no status ' || coalesce(body, '')
+            WHEN status < 200 OR status > 299
+            THEN 'LLM request failed: ' || CAST(status AS VARCHAR) || ' ' || coalesce(body, '')
+            WHEN content IS NULL THEN 'Unexpected LLM response format: ' || coalesce(body, '')
+       END"""
+
+NOTE_CTES = BATCH_CTES + ",\n" + _templates_values() + "," + RESPONSES_CTE + f""",
+answer AS (SELECT session_id, content, {RESPONSE_ERROR} AS error FROM parsed WHERE turn = 0),
+results AS (
+  SELECT st.session_id, a.content,
+    CASE WHEN t.template_id IS NULL THEN 'template not found' WHEN a.session_id IS NULL THEN 'no response'
+         ELSE a.error END AS error
+  FROM settings st LEFT JOIN templates t ON st.template_id = t.template_id
+  LEFT JOIN answer a ON st.session_id = a.session_id
+),
+nouts AS (
+  SELECT o.session_id, o.stem, o.input_name,
+    CASE WHEN o.status = 'failed' OR r.error IS NOT NULL THEN 'failed' ELSE 'ok' END AS status,
+    coalesce(o.stage, CASE WHEN r.error IS NOT NULL THEN 'summarize' END) AS stage,
+    coalesce(o.reason, r.error) AS reason,
+    CASE WHEN o.status = 'ok' AND r.error IS NULL THEN o.file_name END AS file_name
+  FROM outs o LEFT JOIN results r ON o.session_id = r.session_id
+)"""
+
 ORACLE: dict[str, str] = {
     "redact_documents": f"SELECT doc_id, {redact_patterns('text')} AS text FROM documents",
     "redact_names": with_(FIXTURE_CTES,
@@ -556,13 +581,9 @@ FROM prompts p LEFT JOIN settings s ON p.session_id = s.session_id"""),
 SELECT page_id, base_url, {is_local_sql('base_url')} AS is_local,
        {gate_sql('base_url', 'allow_remote')} AS gate, {url_sql('base_url')} AS url
 FROM tg"""),
-    "chat_responses": with_(RESPONSES_CTE, """
+    "chat_responses": with_(RESPONSES_CTE, f"""
 SELECT session_id, turn, content,
-       CASE WHEN status IS NULL THEN 'LLM request failed: no status ' || coalesce(body, '')
-            WHEN status < 200 OR status > 299
-            THEN 'LLM request failed: ' || CAST(status AS VARCHAR) || ' ' || coalesce(body, '')
-            WHEN content IS NULL THEN 'Unexpected LLM response format: ' || coalesce(body, '')
-       END AS error
+       {RESPONSE_ERROR} AS error
 FROM parsed"""),
     "jsonl_roundtrip": with_(FIXTURE_CTES, """
 SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, text, start_s, end_s FROM seg"""),
@@ -597,6 +618,27 @@ FROM words WHERE (session_id + word_idx) % 50 IN (0, 1)"""),
     "batch_artifacts": with_(BATCH_CTES + ",\ntx AS (" + transcript_sql("seg", True) + ")", """
 SELECT i.session_id, i.stem || '.txt' AS file_name, t.transcript || chr(10) AS content
 FROM inputs i JOIN tx t ON i.session_id = t.session_id WHERE i.input_status = 'ok'"""),
+    "note_outcomes": with_(NOTE_CTES, "SELECT * FROM nouts"),
+    "note_artifacts": with_(NOTE_CTES, """
+SELECT n.session_id, n.file_name, r.content || chr(10) AS content
+FROM nouts n JOIN results r ON n.session_id = r.session_id WHERE n.status = 'ok'"""),
+    "failed_names": with_(NOTE_CTES, "SELECT input_name, stage, reason FROM nouts WHERE status = 'failed'"),
+    "failed_sessions": with_(NOTE_CTES, "SELECT session_id, stem FROM nouts WHERE status = 'failed'"),
+    "render_fanout": with_(PROMPT_CTES, f"""
+SELECT st.session_id, w.template_id,
+       {substitute_sql("t.body", dict(transcript="v.transcript", speakers="v.speakers",
+                                      date="coalesce(nullif(st.session_date, ''), " + sql_string(RUN_DATE) + ")",
+                                      duration="v.duration",
+                                      client_name="coalesce(nullif(st.client_name, ''), "
+                                      + sql_string(tp.DEFAULT_CLIENT) + ")"))} AS prompt,
+       CASE WHEN t.body IS NULL THEN 'template not found' END AS error
+FROM settings st CROSS JOIN (SELECT unnest(['soap', 'dap', 'withdrawn']) AS template_id) w
+LEFT JOIN templates t ON w.template_id = t.template_id
+LEFT JOIN (
+  SELECT session_id, string_agg({line_sql(True)}, {NL} || {NL} ORDER BY seg_idx) AS transcript,
+         array_to_string(list_sort(list(DISTINCT speaker)), ', ') AS speakers,
+         {duration('max(end_s) - min(start_s)')} AS duration
+  FROM seg GROUP BY session_id) v ON st.session_id = v.session_id"""),
     "streaming_redact": with_(FIXTURE_CTES, f"""
 SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, {redact_text('text', fx.NAMES)} AS text,
        start_s, end_s

@@ -16,7 +16,7 @@ from ..functions import endpoint as ep
 from ..functions.redact import redact_names_dynamic, redact_patterns, redact_text
 from ..functions.text import split_names
 from ..operators.align import align, assign_speakers, rejected_times
-from ..operators.notes import (gate_requests, parse_responses, prompt_budget, render_prompts,
+from ..operators.notes import (NO_TEMPLATE, gate_requests, parse_responses, prompt_budget, render_prompts,
                                session_values)
 from ..operators.speakers import label_speakers
 from ..operators.transcript import (format_transcript, from_editable, session_summary,
@@ -255,9 +255,9 @@ def q_rejected_words(spark: SparkSession, sf: str) -> DataFrame:
     return rejected_times(w).select("session_id", "word_idx", "text", "reason")
 
 
-def batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """C3 over all expected sessions: input check, then the endpoint gate
-    of each session's resolved settings."""
+def batch_stages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Input check of all expected sessions, and the endpoint gate of each
+    session's explicit settings."""
     conv = read_table(spark, sf, "conversations")
     words = fx.words_from(fx.segments_from(conv))
     inputs = bt.input_status(fx.expected_from(conv), words)
@@ -265,7 +265,12 @@ def batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     gates = st.select("session_id", ep.gate(F.coalesce(F.when(F.col("base_url") != "", F.col("base_url")),
                                                        F.lit(ep.DEFAULT_BASE_URL)),
                                             "allow_remote").alias("gate"))
-    return bt.outcomes(inputs, gates)
+    return inputs, gates
+
+
+def batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 up to the gate."""
+    return bt.outcomes(*batch_stages(spark, sf))
 
 
 def q_batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,6 +281,51 @@ def q_batch_report(spark: SparkSession, sf: str) -> DataFrame:
     return bt.report(batch_outcomes(spark, sf))
 
 
+def note_results(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 to its end, per session: the ``content`` of its note or the ``error``
+    that prevented it. The responses are those of the first turns."""
+    found = parse_responses(responses(spark, sf).where("turn = 0")).withColumn("answered", F.lit(True))
+    known = load_templates(spark).select("template_id", F.lit(True).alias("known"))
+    j = (fx.settings(spark, sf).select("session_id", "template_id").join(known, "template_id", "left")
+         .join(found, "session_id", "left"))
+    error = (F.when(F.col("known").isNull(), F.lit(NO_TEMPLATE))
+             .when(F.col("answered").isNull(), F.lit("no response")).otherwise(F.col("error")))
+    return j.select("session_id", "content", error.alias("error"))
+
+
+def note_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    inputs, gates = batch_stages(spark, sf)
+    return bt.outcomes(inputs, gates, notes=note_results(spark, sf))
+
+
+def q_note_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 over every stage: input, gate, template, response."""
+    return note_outcomes(spark, sf)
+
+
+def q_note_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """``{stem}.note.txt`` of every session that came through all stages."""
+    return bt.artifacts(note_outcomes(spark, sf), note_results(spark, sf), "content")
+
+
+def q_failed_names(spark: SparkSession, sf: str) -> DataFrame:
+    return bt.failed_names(note_outcomes(spark, sf))
+
+
+def q_failed_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected sessions without an artifact."""
+    expected = fx.expected_from(read_table(spark, sf, "conversations")).select("session_id", "stem")
+    return bt.failed_sessions(expected, q_note_artifacts(spark, sf))
+
+
+def q_render_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    """Three templates per session, one of which does not exist."""
+    segs = fx.segments(spark, sf)
+    wanted = F.array(F.lit("soap"), F.lit("dap"), F.lit("withdrawn"))
+    req = fx.settings(spark, sf).select("session_id", "client_name", "session_date", F.explode(wanted).alias("template_id"))
+    return render_prompts(session_values(segs), load_templates(spark), req, default_date=RUN_DATE)
+
+
 def q_batch_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     """S9 for a transcript-only batch: ``{stem}.txt`` = timestamped
     transcript + newline, for every session whose input arrived."""
@@ -324,5 +374,10 @@ QUERIES: dict[str, Query] = {
     "batch_outcomes": q_batch_outcomes,
     "batch_report": q_batch_report,
     "batch_artifacts": q_batch_artifacts,
+    "note_outcomes": q_note_outcomes,
+    "note_artifacts": q_note_artifacts,
+    "failed_names": q_failed_names,
+    "failed_sessions": q_failed_sessions,
+    "render_fanout": q_render_fanout,
     "streaming_redact": q_streaming_redact,
 }
