@@ -467,3 +467,16 @@ def test_language_edges_and_exact_phrases(spark):
                     size = 1
                 made, at = made + 1, at + size
         assert phrases == made
+
+
+@pytest.mark.parametrize("buckets", [1 << 14, 1 << 20])
+def test_frequency_levels_count_all_documents(spark, monkeypatch, buckets):
+    """Few buckets send all of their counts, many only those that are not zero."""
+    monkeypatch.setattr(jaccard_join, "BUCKETS", buckets)
+    monkeypatch.setattr(jaccard_join, "HELD", 1000)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "text").repartition(3)
+    want = np.zeros(buckets, np.int64)
+    for g in jaccard_join.gram_sets(texts.toArrow().column("text").combine_chunks(), 3):
+        np.add.at(want, (g % np.uint64(buckets)).astype(np.int64), 1)
+    got = jaccard_join.frequency_levels(texts, 3)
+    assert (got == np.minimum(8 * np.log2(want + 1), 255).astype(np.uint8)).all() and got.any()
