@@ -9,7 +9,10 @@ Bit sampling keeps a few random coordinates of the embedding as a hash: a
 window of a document and an item that agree on all of them are a candidate.
 Walks and coordinates are drawn again and again until, on simulated edits of
 the items at the full rate, the share of items that are met reaches
-``TARGET``. Items of similar length share their walks.
+``TARGET``. Items of similar length share their walks. Where ``MOST_REPEATS``
+walks do not reach it (items of about 1,000 words and more), the items are
+looked for exactly: of k + 1 parts of an item, k edits leave one as it was, so
+each part is looked up by its hash at every word.
 
 A walk starts at every word of every document at which an item of that length
 could start at all: of its first n - k words at most k may be foreign to the
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import word_hashes
+from .common import gram_hashes, run_hashes, word_hashes
 
 RATE = 0.2
 TARGET = 0.95
@@ -79,12 +82,15 @@ def least_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
         down = plus & d0
         if score < best[0]:
             best = (score, j + 1)
+            if not score:
+                break
     return best
 
 
 @dataclass
 class SizeClass:
-    """Items of similar length and the walks that look for them."""
+    """Items of similar length and the walks that look for them; without
+    ``repeats`` their parts are looked up."""
 
     items: list[int]  # positions in the list of items
     low: int
@@ -141,7 +147,7 @@ def classes(items: list[np.ndarray], rate: float) -> list[SizeClass]:
 
 def repeats_needed(c: SizeClass, rate: float) -> int:
     """Repeats after which the target share of simulated edits of the items,
-    at the full rate, has met its item."""
+    at the full rate, has met its item; 0 if ``MOST_REPEATS`` are too few."""
     rng = np.random.default_rng(c.seed)
     foreign = len(c.words)
     parts, originals = [], []
@@ -168,12 +174,46 @@ def repeats_needed(c: SizeClass, rate: float) -> int:
         met |= (a == b) & (a >= 0)
         if met.mean() >= TARGET:
             return r + 1
-    return MOST_REPEATS
+    return 0
+
+
+class PartIndex:
+    """Items cut into one part more than the edits that are allowed."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float) -> None:
+        parts: dict[int, list[tuple[int, int, int]]] = {}
+        for i, x in items:
+            cuts = np.linspace(0, len(x), edits_allowed(len(x), rate) + 2).astype(np.int64)
+            for h, a, b in zip(run_hashes(x, cuts[:-1], cuts[1:]).tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                parts.setdefault(b - a, []).append((h, i, a))
+        self.by_size = []
+        for size, found in sorted(parts.items()):
+            h, item, first = (np.array(x, t) for x, t in zip(zip(*sorted(found)), (np.uint64, np.int64, np.int64)))
+            self.by_size.append((size, h, item, first))
+
+    def find(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, word of ``words`` at which the item would start if it
+        had no edit) of each part that a row holds, sorted."""
+        row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out = []
+        for size, hashes, item, first in self.by_size:
+            h = gram_hashes(words, size)
+            place = np.searchsorted(hashes, h)
+            at = np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == h)
+            at = at[at + size <= bounds[row_of[at] + 1]]
+            a, b = place[at], np.searchsorted(hashes, h[at], "right")
+            some = np.repeat(np.arange(len(at)), b - a)
+            nth = a[some] + np.arange(len(some)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+            out.append(np.stack([row_of[at[some]], item[nth], at[some] - first[nth]]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return list(map(tuple, np.unique(found, axis=1).T.tolist()))
 
 
 class Finder:
     def __init__(self, items: list[tuple[int, np.ndarray]], groups: list[SizeClass], rate: float) -> None:
-        self.ids, self.items, self.groups, self.rate = [i for i, _ in items], [x for _, x in items], groups, rate
+        self.ids, self.items, self.rate = [i for i, _ in items], [x for _, x in items], rate
+        self.parts = PartIndex([(i, self.items[i]) for g in groups if not g.repeats for i in g.items], rate)
+        self.groups = groups = [g for g in groups if g.repeats]
         self.words = np.unique(np.concatenate([g.words for g in groups])) if groups else np.zeros(0, np.uint64)
         self.own, self.walks = [], []
         for g in groups:
@@ -213,6 +253,18 @@ class Finder:
         row_of = np.repeat(np.arange(rows), np.diff(shifted))
         stop = shifted[1:] - 1
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+        def look_at(row: int, item: int, at: int) -> None:
+            reach = regions.setdefault((row, item), [])
+            k, size = edits_allowed(len(self.items[item]), self.rate), len(self.items[item])
+            a, b = at - 2 * k, at + size + 2 * k
+            if reach and a <= reach[-1][1]:
+                reach[-1] = (reach[-1][0], max(b, reach[-1][1]))
+            else:
+                reach.append((a, b))
+
+        for row, item, at in self.parts.find(words, bounds):
+            look_at(row, item, at + row)
         for g, own, walks in zip(self.groups, self.own, self.walks):
             mine = own[place]
             foreign = np.concatenate([[0], np.cumsum(mine == len(g.words))])
@@ -233,14 +285,7 @@ class Finder:
                 found.append(start[left[some]] * len(g.items) + owners[a[some] + nth])
             for code in np.unique(np.concatenate(found)).tolist() if found else []:
                 at, own_item = divmod(code, len(g.items))
-                item = g.items[own_item]
-                reach = regions.setdefault((int(row_of[at]), item), [])
-                k, size = edits_allowed(len(self.items[item]), self.rate), len(self.items[item])
-                a, b = at - 2 * k, at + size + 2 * k
-                if reach and a <= reach[-1][1]:
-                    reach[-1] = (reach[-1][0], max(b, reach[-1][1]))
-                else:
-                    reach.append((a, b))
+                look_at(int(row_of[at]), g.items[own_item], at)
         out = []
         for (row, item), reach in regions.items():
             text = words[bounds[row]:bounds[row + 1]]
@@ -252,6 +297,8 @@ class Finder:
                 if d <= edits_allowed(len(x), self.rate) and (best is None or d < best[0]):
                     back = least_distance(x[::-1], text[a:a + end][::-1][:len(x) + d])
                     best = (d, a + end - back[1], a + end)
+                    if not d:
+                        break
             if best is not None:
                 out.append((row, self.ids[item], best[1], best[2], best[0]))
         return out

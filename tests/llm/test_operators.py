@@ -235,6 +235,32 @@ def test_decontamination_finds_edited_items_and_nothing_else(spark):
     assert decontaminate.contaminated(docs(spark, texts), b.limit(0), ["doc_id"]).count() == 0
 
 
+def test_items_that_walks_do_not_reach_are_found_exactly(spark, monkeypatch):
+    """One walk is too few for any class, as 300 are for items of 1,000 words."""
+    monkeypatch.setattr(decontaminate, "MOST_REPEATS", 1)
+    rng = random.Random(12)
+    bench = [(i, " ".join(words(rng, n, 3000))) for i, n in enumerate([15, 16, 59, 60, 200, 1500])]
+    texts, truth = [], {}
+    for n in range(90):
+        i, item = bench[n % len(bench)]
+        x = item.split()
+        most = len(x) // 5
+        for _ in range(most + n // 60):  # the last third has one edit too many
+            x[rng.randrange(len(x))] = f"new{rng.randrange(10**9)}"
+        body = words(rng, 40, 3000)
+        body[20 * (n % 3):0] = x
+        d, _ = decontaminate.least_distance(np.array([hash(w) for w in item.split()]), np.array([hash(w) for w in body]))
+        if d <= most:
+            truth[n, i] = d
+        texts.append(" ".join(body))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, texts), b, ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == truth and len(truth) >= 60
+    for r in got:
+        run = texts[r.doc_id].split()[r.start_word:r.end_word]
+        assert edit_distance(bench[r.item_id][1].split(), run) == r.distance
+
+
 # ---- 4: secrets ------------------------------------------------------------
 
 def test_base_spans_against_python(spark):
