@@ -1,7 +1,9 @@
 """Benchmark decontamination by edit distance.
 
 Finds every document that holds a benchmark item up to ``RATE`` word edits.
-Words are runs of letters and digits, A-Z folded. The CGK embedding walks over
+Words are runs of letters and digits, A-Z folded; in scripts that are written
+without spaces (Chinese, Japanese, Thai and others) every character is a word.
+The CGK embedding walks over
 a word sequence: at step j it emits the current word and moves on if a random
 bit of (j, word) says so. Two sequences within a small edit distance fall into
 step again after an edit, so their embeddings are close in Hamming distance.
@@ -10,8 +12,8 @@ window of a document and an item that agree on all of them are a candidate.
 Walks and coordinates are drawn again and again until, on simulated edits of
 the items at the full rate, the share of items that are met reaches
 ``TARGET``. Items of similar length share their walks. Where ``MOST_REPEATS``
-walks do not reach it (items of about 1,000 words and more), the items are
-looked for exactly: of k + 1 parts of an item, k edits leave one as it was, so
+walks do not reach it (items of about 1,000 words and more), and below
+``LEAST_WORDS`` words, the items are looked for exactly: of k + 1 parts of an item, k edits leave one as it was, so
 each part is looked up by its hash at every word.
 
 A walk starts at every word of every document at which an item of that length
@@ -22,8 +24,9 @@ of the item against the document's words around the window).
 Documents are mapped where they are: no shuffle. The items are broadcast;
 their size is checked against ``MAX_ITEM_BYTES``.
 
-Defined results: null and empty texts hold nothing; items with fewer than
-``LEAST_WORDS`` words (null and empty ones too) are not looked for; of several
+Defined results: null and empty texts hold nothing; items without a word
+(null, empty, punctuation alone) are not looked for; all others are, so an item
+of one word is held by each document with that word; of several
 places the one with the least distance, then the first, is reported; repeated
 rows are reported each.
 """
@@ -36,11 +39,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, run_hashes, word_hashes
+from .common import gram_hashes, run_hashes, text_buffers, word_hashes
 
 RATE = 0.2
 TARGET = 0.95
@@ -50,12 +54,31 @@ MAX_ITEM_BYTES = 64 << 20
 MOST_REPEATS = 300
 TRIALS = 400
 BREAKS = bytes(c for c in range(128) if not chr(c).isalnum())
+# Scripts without spaces, as ranges of RE2, and the punctuation of their texts.
+SPACELESS = (r"\x{E01}-\x{EFF}\x{F00}-\x{FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{1950}-\x{19FF}\x{1A20}-\x{1AAF}\x{1B00}-\x{1B7F}"
+             r"\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3021}-\x{3029}\x{3031}-\x{3035}\x{3038}-\x{303C}\x{3041}-\x{30FA}\x{30FC}-\x{312F}"
+             r"\x{31A0}-\x{31BF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{A4CF}\x{A980}-\x{A9FF}\x{AA60}-\x{AADF}\x{F900}-\x{FAFF}"
+             r"\x{FF66}-\x{FF9F}\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}")
+WIDE_BREAKS = r"\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{303D}-\x{303F}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}"
 
 
 def edits_allowed(n: int, rate: float = RATE) -> int:
     return int(n * rate + 1e-9)
 
 
+def parted(col: pa.Array) -> pa.Array:
+    """``col`` with blanks around each character that is a word of its own."""
+    _, data = text_buffers(col)
+    if not len(data) or data.max() < 0xE0:  # none of them has fewer than three bytes
+        return col
+    col = col.cast(pa.large_string())
+    some = pc.match_substring_regex(col, f"[{SPACELESS}{WIDE_BREAKS}]")
+    if not pc.any(some).as_py():
+        return col
+    spaced = pc.replace_substring_regex(pc.replace_substring_regex(col.filter(some), f"[{WIDE_BREAKS}]", " "), f"([{SPACELESS}])", r" \1 ")
+    return pc.replace_with_mask(col, some.fill_null(False), spaced)
+
+
 def least_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(least edit distance of the item to any run of the text, end of the
     first such run), bit-parallel over the item."""
@@ -130,17 +153,19 @@ def embed(words: np.ndarray, start: np.ndarray, end: np.ndarray, bits: np.ndarra
 
 
 def classes(items: list[np.ndarray], rate: float) -> list[SizeClass]:
-    """Items dealt into classes of similar length."""
-    order = sorted((len(x), i) for i, x in enumerate(items) if len(x) >= LEAST_WORDS)
+    """Items dealt into classes of similar length, all of the short ones into
+    one without walks."""
+    order = sorted((len(x), i) for i, x in enumerate(items) if len(x))
     out: list[SizeClass] = []
     while order:
         low = order[0][0]
-        own = [i for n, i in order if n <= low * 1.25]
-        order = [(n, i) for n, i in order if n > low * 1.25]
+        high = LEAST_WORDS - 1 if low < LEAST_WORDS else low * 1.25
+        own = [i for n, i in order if n <= high]
+        order = [(n, i) for n, i in order if n > high]
         words = np.unique(np.concatenate([items[i] for i in own]))
         c = SizeClass(own, low, max(len(items[i]) for i in own), words,
                       [np.searchsorted(words, items[i]) for i in own], 1000 + low)
-        c.repeats = repeats_needed(c, rate)
+        c.repeats = repeats_needed(c, rate) if low >= LEAST_WORDS else 0
         out.append(c)
     return out
 
@@ -312,7 +337,7 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
         raise ValueError(f"benchmark of {size} bytes: more than {MAX_ITEM_BYTES}; split it")
     got = rows.orderBy("i", "t").collect()
     out = []
-    for lo, hi, h, bounds in word_hashes(pa.array([r["t"] for r in got], pa.string()), True, BREAKS):
+    for lo, hi, h, bounds in word_hashes(parted(pa.array([r["t"] for r in got], pa.string())), True, BREAKS):
         out += [(got[lo + n]["i"], h[bounds[n]:bounds[n + 1]]) for n in range(hi - lo)]
     return out
 
@@ -335,7 +360,7 @@ def _finding(docs: DataFrame, benchmark: DataFrame, text: str, rate: float,
         finder = _FINDERS[name]
         for b in batches:
             parts, bounds = [], [np.zeros(1, np.int64)]
-            for _, _, h, own in word_hashes(b.column(b.num_columns - 1), True, BREAKS):
+            for _, _, h, own in word_hashes(parted(b.column(b.num_columns - 1)), True, BREAKS):
                 parts.append(h)
                 bounds.append(own[1:] + bounds[-1][-1])
             hits = finder.find(np.concatenate(parts), np.concatenate(bounds)) if parts else []

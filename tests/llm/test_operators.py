@@ -261,6 +261,21 @@ def test_items_that_walks_do_not_reach_are_found_exactly(spark, monkeypatch):
         assert edit_distance(bench[r.item_id][1].split(), run) == r.distance
 
 
+def test_short_items_and_scripts_without_spaces_are_found(spark):
+    bench = [(0, "Zebra!"), (1, "is it so?"), (2, "who wrote this old book"), (3, "one two three four five six seven"), (4, "中国的首都是哪里？"),
+             (5, "什么"), (6, "กรุงเทพอยู่ที่ไหน"), (7, "?!"), (8, "東京タワーの高さは何メートルですか、教えてください。"), (9, " ")]
+    texts = {"a zebra, here": {(0, 0)}, "zebras": set(), "Is it -- so": {(1, 0)}, "is it not so": set(), "ab who wrote that old book cd": {(2, 1)},
+             "who wrote that new book": set(), "one two 3 four five six seven": {(3, 1)}, "one two four five six": set(),
+             "问：中国的首都是哪里呢": {(4, 0)}, "中国的首都在哪里": {(4, 1)}, "他国底首部是哪里": set(), "他说什么": {(5, 0)}, "什 么": {(5, 0)}, "么什": set(),
+             "ถามว่ากรุงเทพอยู่ที่ไหนครับ": {(6, 0)}, "?! ！": set(), "では東京タワーの高さは何メートルでしょうか 教えてください": {(8, 3)}, "only words": set()}
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    table = docs(spark, [None, *texts])
+    got = decontaminate.contaminated(table, b, ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(n + 1, i, d) for n, held in enumerate(texts.values()) for i, d in held}
+    kept = {r.doc_id for r in decontaminate.clean(table, b).collect()}
+    assert kept == {0} | {n + 1 for n, held in enumerate(texts.values()) if not held}
+
+
 # ---- 4: secrets ------------------------------------------------------------
 
 def test_base_spans_against_python(spark):
