@@ -7,14 +7,19 @@ character, into the longest matches that the automaton offers, greedily; the
 language that needs the fewest phrases explains the text best (the phrase
 count times log length is the cross entropy estimate of Ziv and Merhav).
 
-The parse runs for thousands of text chunks at a time: the transitions of an
-automaton are one flat table, and a missing transition is stored as the
-restart from the root with a mark, so a step is one table lookup for all
-chunks. A text longer than a chunk is cut into chunks that are parsed on their
+Every letter of a sample keeps its identity, whatever the script; letters that
+no sample holds are one class, which no automaton knows.
+
+The parse runs for thousands of text chunks at a time. The transitions of an
+automaton lie in one sparse table: a state is the place where its row begins,
+rows overlap, and each entry names the state that owns it. An entry of another
+state is a missing transition, which restarts from the root; so a step is a few
+table lookups for all chunks. A text longer than a chunk is cut into chunks that are parsed on their
 own; a cut adds at most one phrase, for each language alike.
 
 Only the sample is held in memory: at most ``SAMPLE_DOCS`` documents and
-``SAMPLE_CHARS`` characters for each of at most ``MAX_LANGS`` languages.
+``SAMPLE_CHARS`` characters for each of at most ``MAX_LANGS`` languages; more
+languages are an error.
 
 Defined results: a null text or one without letters is ``und`` with score 0; a
 tie goes to the alphabetically first language; without any labelled text all
@@ -35,13 +40,12 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 100
 SAMPLE_CHARS = 30_000
 MAX_LANGS = 200
-ALPHABET = 61
 CHUNK = 512
 GROUP_CHARS = 4_000_000
 UNKNOWN = "und"
 AMBIGUOUS = 0.01  # a long text below this score has no one language
 LONG_TEXT = 500
-_MARK, _MASK = 1 << 30, (1 << 30) - 1
+TRAIL = 2  # places behind the last row laid that the next one tries first
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -74,18 +78,30 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def flat_table(step: list[dict[int, int]], width: int) -> np.ndarray:
-    """``table[state * width + code]``: the next state times width; a missing
-    transition starts a phrase: marked, and taken from the root."""
-    root = np.full(width, _MARK, np.int32)
-    for c, s in step[0].items():
-        root[c] = _MARK | (s * width)
-    table = np.tile(root, len(step))
-    for s, out in enumerate(step):
-        for c, t in out.items():
-            table[s * width + c] = t * width
-    table[:width] = root  # a first character starts a phrase too
-    return table
+def sparse_table(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, target, root): ``target[state + code]`` is the next state if
+    ``owner`` of that place is the state, else a phrase starts and
+    ``root[code]`` is next. State 0 owns nothing: there a phrase always starts."""
+    row, begins, owner = [0] * len(step), {0}, {}
+    low, entries = 1, -1
+    for s in sorted(range(1, len(step)), key=lambda s: -len(step[s])):
+        if len(step[s]) != entries:
+            low, entries = 1, len(step[s])  # shorter rows fit between the others
+        at = low
+        while at in begins or not owner.keys().isdisjoint([at + c for c in step[s]]):
+            at += 1
+        low, row[s] = max(low, at - TRAIL), at
+        begins.add(at)
+        owner.update(dict.fromkeys([at + c for c in step[s]], at))
+    root = np.zeros(width, np.int32)
+    for c, t in step[0].items():
+        root[c] = row[t]
+    owners, target = np.full(max(begins) + width, -1, np.int32), np.zeros(max(begins) + width, np.int32)
+    owners[list(owner)] = list(owner.values())
+    for s in range(1, len(step)):
+        for c, t in step[s].items():
+            target[row[s] + c] = row[t]
+    return owners, target, root
 
 
 class Parser:
@@ -94,15 +110,14 @@ class Parser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
         seen = Counter("".join(samples.values()).lower())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:ALPHABET]
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()]
         self.width = len(letters) + 2
-        self.classes = np.zeros(0x110000, np.uint8)  # 0 blank, 1 another letter
-        self.classes[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-        for n, c in enumerate(letters):
-            self.classes[ord(c)] = n + 2
-            if len(c.upper()) == 1:
-                self.classes[ord(c.upper())] = n + 2
-        self.tables = [flat_table(suffix_automaton(self.codes(samples[x])[0].tolist()), self.width) for x in self.langs]
+        place = {c: n + 2 for n, c in enumerate(letters)}
+        self.classes = np.zeros(0x110000, np.min_scalar_type(self.width))  # 0 blank, 1 a letter of no sample
+        for i in range(0x110000):
+            if chr(i).isalpha():
+                self.classes[i] = place.get(chr(i).lower()[0], 1)
+        self.tables = [sparse_table(suffix_automaton(self.codes(samples[x])[0].tolist()), self.width) for x in self.langs]
 
     def codes(self, text: str, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Classes of the characters with runs of blanks made one, and the
@@ -126,18 +141,19 @@ class Parser:
         first, size = at[owner] + nth * CHUNK, np.minimum(CHUNK, n[owner] - nth * CHUNK)
         order = np.argsort(-size, kind="stable")
         owner, first, size = owner[order], first[order], size[order]
-        codes = np.append(codes, np.zeros(CHUNK, np.uint8))
-        grid = codes[first[None, :] + np.arange(CHUNK)[:, None]] if len(first) else np.zeros((CHUNK, 0), np.uint8)
+        codes = np.append(codes, np.zeros(CHUNK, codes.dtype))
+        grid = codes[first[None, :] + np.arange(CHUNK)[:, None]] if len(first) else np.zeros((CHUNK, 0), codes.dtype)
         active = np.searchsorted(-size, -np.arange(CHUNK), "left")
-        for lang, table in enumerate(self.tables):
+        for lang, (owners, targets, root) in enumerate(self.tables):
             state, made = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
             for t in range(CHUNK):
                 a = active[t]
                 if a == 0:
                     break
-                to = table.take(state[:a] + grid[t, :a])
-                made[:a] += to >> 30
-                state[:a] = to & _MASK
+                at = state[:a] + grid[t, :a]
+                held = owners.take(at) == state[:a]
+                made[:a] += ~held
+                state[:a] = np.where(held, targets.take(at), root.take(grid[t, :a]))
             out[lang] = np.bincount(owner, made, len(texts))
         return has, out.T
 
@@ -167,11 +183,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str =
              # only what the character bound can take leaves the executors
              .withColumn("_past", F.coalesce(F.sum(F.length("text") + 1).over(
                  pick.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .where(F.col("_past") < SAMPLE_CHARS).orderBy("lang", "_n").limit(MAX_LANGS * SAMPLE_DOCS))
+             .where(F.col("_past") < SAMPLE_CHARS).orderBy("lang", "_n").limit((MAX_LANGS + 1) * SAMPLE_DOCS))
     found: dict[str, str] = {}
     for r in drawn.select("lang", "text").toLocalIterator():
-        if r["lang"] in found or len(found) < MAX_LANGS:
-            found[r["lang"]] = (found.get(r["lang"], "") + r["text"] + " ")[:SAMPLE_CHARS]
+        found[r["lang"]] = (found.get(r["lang"], "") + r["text"] + " ")[:SAMPLE_CHARS]
+        if len(found) > MAX_LANGS:
+            raise ValueError(f"more than {MAX_LANGS} languages: label fewer, or split the documents")
     return found
 
 

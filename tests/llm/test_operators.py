@@ -510,6 +510,32 @@ def test_language_edges_and_exact_phrases(spark):
         assert phrases == made
 
 
+SCRIPTS = {"a": "абвгдежзийклмн", "b": "опрстуфхцчшщыэ", "c": "αβγδεζηθικλμνξοπρστυφχψω", "d": "אבגדהוזחטיכלמנ", "e": "ابتثجحخدذرزسشص",
+           "f": "abcdefghijklmnopqrstuvwxyz", "g": "".join(map(chr, range(0x4E00, 0x5600))), "h": "".join(map(chr, range(0x6000, 0x6800))),
+           "i": "".join(map(chr, range(0x3041, 0x3090))), "j": "".join(map(chr, range(0xAC00, 0xB400)))}
+
+
+def test_languages_of_many_scripts_are_told_apart(spark):
+    rng = random.Random(14)
+
+    def text(lang):
+        return " ".join("".join(rng.choice(SCRIPTS[lang]) for _ in range(rng.randrange(1, 9))) for _ in range(200))
+
+    samples = {x: " ".join(text(x) for _ in range(9))[:9000] for x in SCRIPTS}
+    asked = [x for x in SCRIPTS for _ in range(4)]
+    texts = [t.upper() if n % 2 else t for n, t in enumerate(map(text, asked))]
+    got = language_id.identify(docs(spark, texts), samples, keep=True).withColumn("gone", language_id.rejected()).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == asked and not any(r.gone for r in got)
+
+
+def test_more_languages_than_the_bound_are_an_error(spark, monkeypatch):
+    table = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(table)) == 4
+    monkeypatch.setattr(language_id, "MAX_LANGS", 3)
+    with pytest.raises(ValueError):
+        language_id.learn(table)
+
+
 @pytest.mark.parametrize("buckets", [1 << 14, 1 << 20])
 def test_frequency_levels_count_all_documents(spark, monkeypatch, buckets):
     """Few buckets send all of their counts, many only those that are not zero."""
