@@ -306,6 +306,31 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert secret_scan.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+#: Least share found of random strings of 20, 32, 40 and 64 symbols. Digits are
+#: base spans; 20 symbols of the three middle alphabets are too few for the test.
+RECALL = {"digits": (1, 1, 1, 1), "hex": (0.95, 0.95, 0.95, 0.95), "base32": (0, 0.4, 0.7, 0.95), "lower": (0, 0.6, 0.85, 0.95),
+          "upper": (0, 0.6, 0.85, 0.95), "alnum": (0.8, 0.95, 0.95, 0.95), "base64": (0.8, 0.95, 0.95, 0.95)}
+
+
+def test_recall_of_each_encoding_and_length(spark):
+    rng = random.Random(15)
+    asked, texts = [], []
+    for name, _, alphabet, *_ in secret_scan.ENCODINGS[:-1]:
+        for n in (20, 32, 40, 64):
+            for _ in range(100):
+                asked.append((name, n))
+                texts.append("see " + "".join(rng.choice(alphabet.upper() if name == "hex" else alphabet) for _ in range(n)) + " here")
+    plain = ["DEADBEEFCAFEFACEDECADE", "FACADEDEADBEEFDECADEBEADEDFADEDACCEDED", "00000000000A00000000000B00000000000C", "ABABABABABABABABABABAB",
+             "F" * 64]
+    got = secret_scan.scan(docs(spark, texts + plain)).orderBy("doc_id").select(F.size("spans").alias("n")).collect()
+    found = {}
+    for key, r in zip(asked, got):
+        found.setdefault(key, []).append(r.n == 1)
+    share = {key: sum(x) / len(x) for key, x in found.items()}
+    assert {(name, n): share[name, n] for name, leasts in RECALL.items() for n, least in zip((20, 32, 40, 64), leasts) if share[name, n] < least} == {}
+    assert not any(r.n for r in got[len(asked):])
+
+
 # ---- 6: passages -----------------------------------------------------------
 
 @pytest.mark.parametrize("shard", [2000, 1])
