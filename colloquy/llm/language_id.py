@@ -43,8 +43,6 @@ MAX_LANGS = 200
 CHUNK = 512
 GROUP_CHARS = 4_000_000
 UNKNOWN = "und"
-AMBIGUOUS = 0.01  # a long text below this score has no one language
-LONG_TEXT = 500
 TRAIL = 2  # places behind the last row laid that the next one tries first
 
 
@@ -232,9 +230,10 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
     return source.mapInArrow(run, schema)
 
 
-def rejected(pred: str = "lang_pred", score: str = "score", text: str = "text") -> Column:
-    """No language at all, or a long text that two languages explain alike."""
-    return (F.col(pred) == UNKNOWN) | ((F.col(score) < AMBIGUOUS) & (F.length(text) >= LONG_TEXT))
+def rejected(pred: str = "lang_pred") -> Column:
+    """No language at all. A low score is no reason: languages that are close,
+    or two labels of one, explain a clean text alike."""
+    return F.col(pred) == UNKNOWN
 
 
 def is_held_out(by: str = "doc_id") -> Column:

@@ -18,8 +18,8 @@ from colloquy.session import read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts, texts without letters,
-    and long texts that two languages explain equally well."""
+    """Drops documents without a language: null texts and texts without
+    letters (all, where no document has a label)."""
     ship_package(spark)
     samples = language_id.learn(docs.where(~language_id.is_held_out()))
     told = language_id.identify(docs, samples, keep=True)

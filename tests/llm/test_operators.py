@@ -553,6 +553,17 @@ def test_languages_of_many_scripts_are_told_apart(spark):
     assert [r.lang_pred for r in got] == asked and not any(r.gone for r in got)
 
 
+def test_long_texts_of_a_language_with_two_labels_are_kept(spark):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    text = " ".join(words(rng, 300)).translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = [(i, text, "xx" if i % 2 else "yy", "x", "y", "z") for i in range(24)]
+    table = spark.createDataFrame([*rows, (90, None, "xx", "", "", ""), (91, "12 -", "xx", "", "", "")], DOCS)
+    kept = corpus_pipeline.identify_language(spark, table, SF)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == list(range(24))
+
+
 def test_more_languages_than_the_bound_are_an_error(spark, monkeypatch):
     table = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
     assert len(language_id.learn(table)) == 4
