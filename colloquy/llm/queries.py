@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table with
+"""The operators as registered queries, each over its whole table with
 production parameters, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (chat_tools, decontaminate, jaccard_join, language_id, permutation_index, secret_scan, sentencepiece_codec,
-               substring_dedup, token_counts, url_filter)
+from . import (chat_tools, decontaminate, jaccard_join, language_id, periodic_runs, permutation_index, secret_scan,
+               sentencepiece_codec, substring_dedup, token_counts, url_filter)
 from .common import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -107,6 +107,36 @@ def q_op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", language_id.is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with the repetition that the contract of
+    periodic runs plants: in one of ten documents, by a checksum of doc_id,
+    the words from a certain one on repeat those that follow it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("ws").cast("long"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    # array positions are ints; the words before a keep their place
+    tail = F.transform(F.sequence(a, n - 1), lambda i: F.get("ws", (a + (i - a) % p).cast("int")))
+    turned = F.array_join(F.concat(F.slice("ws", F.lit(1), a.cast("int")), tail), " ")
+    told = docs.withColumn("ws", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    planted = (h % 10 == 0) & (F.size("ws") > 0)
+    return told.select("doc_id", F.when(planted, turned).otherwise(F.col("text")).alias("text"))
+
+
+def q_op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = looped(read_table(spark, sf, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # runs come by start, so the first of the greatest length / period is the one to keep
+    best = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda top, r: F.when(
+        top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"]), r).otherwise(top))
+    return (found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship_package(spark)
