@@ -36,6 +36,35 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one computation in a folder of their own under the shared
+    checkpoint folder, deleted with the folder when the ``with`` block ends.
+    What outlives the block must be written with ``saved`` inside of it."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def saved(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{self.folder}/{self.made}-{tag}"
+        self.made += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop_folder(self.spark, self.folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this subpackage wrote, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (xor-shift and multiply rounds)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (chat_tools, decontaminate, jaccard_join, language_id, periodic_runs, permutation_index, secret_scan,
-               sentencepiece_codec, substring_dedup, token_counts, url_filter)
+from . import (chat_tools, decontaminate, entropy_mix, jaccard_join, language_id, periodic_runs, permutation_index,
+               secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter)
 from .common import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -137,6 +137,12 @@ def q_op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def q_op13_mix(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", entropy_mix.word_count().alias("size"))
+    mixed = entropy_mix.entropy_mix(docs, entropy_mix.cyclic_weights(docs))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship_package(spark)
