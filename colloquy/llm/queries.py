@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (chat_tools, decontaminate, entropy_mix, jaccard_join, language_id, periodic_runs, permutation_index,
+from . import (chat_tools, collocations, decontaminate, entropy_mix, jaccard_join, language_id, periodic_runs, permutation_index,
                secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter)
 from .common import ship_package
 
@@ -137,6 +137,10 @@ def q_op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def q_op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf, "documents").select("text", "lang"))
+
+
 def q_op13_mix(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "source", entropy_mix.word_count().alias("size"))
     mixed = entropy_mix.entropy_mix(docs, entropy_mix.cyclic_weights(docs))
@@ -173,6 +177,33 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_removed, 0)::BIGINT
 FROM words d LEFT JOIN (
   SELECT doc_id, sum(gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM covered GROUP BY doc_id) c
 USING (doc_id)""",
+    "op12_collocations": rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+seq AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM piece),
+word AS (SELECT id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM seq),
+win AS (SELECT lang, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY id ORDER BY p)),
+grams AS (
+  SELECT lang, a AS phrase, 1 AS k FROM win
+  UNION ALL SELECT lang, a || ' ' || b, 2 FROM win WHERE b IS NOT NULL
+  UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3 FROM win WHERE c IS NOT NULL),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+cand AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+inside AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, regexp_extract(phrase, '^(.*) [^ ]*$', 1) AS phrase, f FROM cand WHERE k = 3
+    UNION ALL SELECT lang, regexp_extract(phrase, '^[^ ]* (.*)$', 1), f FROM cand WHERE k = 3) GROUP BY ALL),
+free AS (SELECT c.* FROM cand c LEFT JOIN inside i USING (lang, phrase) WHERE i.f IS NULL OR 100 * i.f < 50 * c.f),
+cuts AS (
+  SELECT lang, phrase, f AS a, 1 AS cut, regexp_extract(phrase, '^[^ ]*') AS x, regexp_extract(phrase, '^[^ ]* (.*)$', 1) AS y FROM free
+  UNION ALL SELECT lang, phrase, f, 2, regexp_extract(phrase, '^(.*) [^ ]*$', 1), regexp_extract(phrase, '[^ ]*$') FROM free WHERE k = 3),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000""",
     "op8_url_filter": f"""
 WITH parts AS (
   SELECT page_id, {_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's')")} AS host,
