@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -59,6 +59,19 @@ class Workspace:
         drop_folder(self.spark, self.folder)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the worker process until another key is
+    asked for: a worker that goes on to another operator's stage keeps no
+    model, cache or tree of the one before."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this subpackage wrote, wherever it is stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -44,12 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, run_hashes, text_buffers, word_hashes
+from .common import gram_hashes, held, run_hashes, text_buffers, word_hashes
+from .wordlists import groups as groups_of
 
 RATE = 0.2
 TARGET = 0.95
 SAMPLED = 3
 LEAST_WORDS = 8
+#: Text that is searched at once, unless a single text is longer.
+GROUP_BYTES = 1 << 22
 MAX_ITEM_BYTES = 64 << 20
 MOST_REPEATS = 300
 TRIALS = 400
@@ -342,29 +345,25 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
     return out
 
 
-_FINDERS: dict[str, Finder] = {}
-
-
 def _finding(docs: DataFrame, benchmark: DataFrame, text: str, rate: float,
              report: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """``docs`` through the finder; ``report`` makes rows of a batch and its hits."""
     items = benchmark_items(benchmark)
-    groups = classes([x for _, x in items], rate)
-    shared = docs.sparkSession.sparkContext.broadcast((items, groups))
+    sized = classes([x for _, x in items], rate)
+    shared = docs.sparkSession.sparkContext.broadcast((items, sized))
     name = f"{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _FINDERS:
-            _FINDERS.clear()
-            _FINDERS[name] = Finder(*shared.value, rate)
-        finder = _FINDERS[name]
-        for b in batches:
-            parts, bounds = [], [np.zeros(1, np.int64)]
-            for _, _, h, own in word_hashes(parted(b.column(b.num_columns - 1)), True, BREAKS):
-                parts.append(h)
-                bounds.append(own[1:] + bounds[-1][-1])
-            hits = finder.find(np.concatenate(parts), np.concatenate(bounds)) if parts else []
-            yield report(b, hits)
+        finder = held(name, lambda: Finder(*shared.value, rate))
+        for batch in batches:
+            # the search holds some hundred bytes a word, so a batch is searched in groups of bounded size
+            for lo, hi in groups_of(batch.column(batch.num_columns - 1), GROUP_BYTES):
+                b = batch.slice(lo, hi - lo)
+                parts, bounds = [], [np.zeros(1, np.int64)]
+                for _, _, h, own in word_hashes(parted(b.column(b.num_columns - 1)), True, BREAKS):
+                    parts.append(h)
+                    bounds.append(own[1:] + bounds[-1][-1])
+                yield report(b, finder.find(np.concatenate(parts), np.concatenate(bounds)))
 
     kept = [f.name for f in schema.fields if f.name in docs.columns]
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)

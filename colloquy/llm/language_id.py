@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import held
+
 SAMPLE_DOCS = 100
 SAMPLE_CHARS = 30_000
 MAX_LANGS = 200
@@ -190,16 +192,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str =
     return found
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def _parser(samples: dict[str, str]) -> Parser:
     """One parser for each worker process and model."""
-    key = repr(sorted(samples.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    key = ("parser", repr(sorted(samples.items())))
+    return held(key, lambda: Parser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep: bool = False) -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import held
+
 MARK = "▁"
 MAX_MODEL_BYTES = 64 << 20
 CACHE_ENTRIES = 200_000
@@ -200,16 +202,10 @@ class Codec:
         return [(i, self.bad[0].isdisjoint(u), self.bad[1].isdisjoint(u)) for i, u in zip(ids, units)]
 
 
-_CODECS: dict[tuple[int, int, bool], Codec] = {}
-
-
 def _codec(data: bytes, verify: bool) -> Codec:
     """One codec, with its cache, for each worker process and model."""
-    key = (len(data), hash(data), verify)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data, verify)
-    return _CODECS[key]
+    key = ("codec", len(data), hash(data), verify)
+    return held(key, lambda: Codec(data, verify))
 
 
 def read_model(path: str) -> bytes:

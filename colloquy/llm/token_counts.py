@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .sentencepiece_codec import CACHE_ENTRIES, GROUP_CHARS, NORMAL, UNIGRAM, USER, Codec, Model
 
 
@@ -96,15 +97,9 @@ class Counter:
         return [len(u) for u in units], [sum(map(get, u)) for u in units]
 
 
-_COUNTERS: dict[tuple[int, int], Counter] = {}
-
-
 def _counter(data: bytes) -> Counter:
-    key = (len(data), hash(data))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(data)
-    return _COUNTERS[key]
+    key = ("counter", len(data), hash(data))
+    return held(key, lambda: Counter(data))
 
 
 def count_tokens(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
