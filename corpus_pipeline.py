@@ -27,17 +27,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component of documents whose
-    sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows
-    without an id are kept; rows that repeat an id are one document."""
+    """Keeps one document of each component of documents whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more: the one of
+    least id. Where ids repeat or are null, rows are judged, not ids: each is
+    numbered first, a row goes only if its own text is linked to the one that
+    stays, and that is the least by id (null last), then by a hash of its text."""
     ship_package(spark)
-    found = saved(jaccard_join.similar(docs, 5, 80, 100), "near")
-    dropped = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if again.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+        found = saved(jaccard_join.similar(docs, 5, 80, 100), "near")
+        dropped = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # written once, the numbers stay what they are whatever task is run again
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = saved(jaccard_join.similar(rows, 5, 80, 100, by="_row"), "near")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    several = found.join(found.groupBy("component_id").count().where("count > 1"), "component_id").select(F.col("id").alias("_row"), "component_id")
+    several = rows.select("doc_id", "text", "_row").join(several, "_row").select("component_id", "_row", order.alias("o"))
+    stays = several.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._row").alias("_row"))
+    dropped = several.select("_row").join(stays, "_row", "left_anti")
+    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
