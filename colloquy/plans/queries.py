@@ -104,8 +104,7 @@ def q_transcript_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """C1 (flagship): words x turns -> align -> label -> redact ->
     timestamped transcript, for all sessions at once."""
     f = fx.all_fixtures(spark, sf)
-    segs = align(f["words"], f["turns"])
-    segs = label_speakers(segs, SPEAKER_NAMES)
+    segs = align(f["words"], f["turns"], names=SPEAKER_NAMES)
     segs = segs.withColumn("text", redact_text("text", REDACT_NAMES))
     return format_transcript(segs, timestamps=True)
 

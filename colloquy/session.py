@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read
+    back: several readers compute it once, each reads only its columns, and a
+    lost executor costs no recomputation. Unlike a persisted relation it holds
+    no executor memory; the folder goes with the checkpoint folder."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a
     local checkpoint: it would not survive the loss of an executor)."""

@@ -1,16 +1,26 @@
 """Model outputs as sources (S4 words, S5 turns).
 
 Speech recognition yields a list of segments, each with a nullable list of
-timed words; diarization yields speaker tracks in order. Both arrive here as
-one row per recognised segment / track, so no row holds a whole session.
+timed words; diarization yields speaker tracks in order. They arrive as one row
+per recognised segment / track, or as the models' raw JSON: documents, each of
+which is a part of one session,
+
+    {"session_id": 7, "part": 0, "segments": [{"words": [{"word": " hi", "start": 0, "end": 0.25}]}, {"words": null}]}
+    {"session_id": 7, "part": 1, "tracks": [{"speaker": "A", "start": 0, "end": 1.5}]}
+
+so no row holds a whole session. Documents are parsed once, into a variant. One
+that is not whole is rejected with a reason, and stops no other; fields that are
+not known here are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsondoc import single_json
 from ..operators.scan import running_sum
+from ..operators.settings import json_kind
 
 ASR_WORD = "struct<word:string,start:double,end:double>"
 
@@ -31,6 +41,77 @@ def flatten_words(asr: DataFrame) -> DataFrame:
 
 def turns_from_tracks(tracks: DataFrame) -> DataFrame:
     """``(session_id, track_pos, speaker, start, end)`` -> ``turns``
-    keeping label, times and track order as ``turn_idx``."""
+    keeping label, times, other columns and track order as ``turn_idx``."""
+    others = [c for c in tracks.columns if c not in ("session_id", "track_pos", "speaker", "start", "end")]
     return tracks.select("session_id", F.col("track_pos").cast("bigint").alias("turn_idx"),
-                         "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+                         "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), *others)
+
+
+# ---------------------------------------------------------------------------
+# Reasons why a document is rejected.
+BAD_JSON, BAD_KIND, BAD_SESSION, BAD_SEGMENTS, BAD_TRACKS = "bad_json", "unknown_kind", "bad_session", "bad_segments", "bad_tracks"
+# ---------------------------------------------------------------------------
+
+VARIANTS = "array<variant>"
+TRACK_FIELDS = ("speaker", "start", "end")
+
+
+def _number(v: Column, path: str) -> Column:
+    return json_kind(v, path).isin("int", "float")
+
+
+def _each(items: Column, fits) -> Column:
+    """Do all of the array's items fit? False for no array."""
+    return F.coalesce(F.forall(items, lambda x: F.coalesce(fits(x), F.lit(False))), F.lit(False))
+
+
+def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """``docs`` with ``session_id``, ``part``, ``kind`` (words or turns),
+    ``reason`` (null if sound) and the parsed ``value``."""
+    v = F.col("value")
+    word = lambda w: (json_kind(w, "word") == "str") & _number(w, "start") & _number(w, "end")
+    said = lambda s: F.coalesce(json_kind(s, "words"), F.lit("null"))
+    segment = lambda s: (said(s) == "null") | ((said(s) == "list") & _each(F.try_variant_get(s, "$.words", VARIANTS), word))
+    track = lambda t: (json_kind(t, "speaker") == "str") & _number(t, "start") & _number(t, "end")
+    kind = F.when(json_kind(v, "segments").isNotNull(), "words").when(json_kind(v, "tracks").isNotNull(), "turns")
+    reason = (F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), BAD_JSON)
+              .when(F.col("kind").isNull(), BAD_KIND)
+              .when(~F.coalesce((json_kind(v, "session_id") == "int") & (json_kind(v, "part") == "int"), F.lit(False)), BAD_SESSION)
+              .when((F.col("kind") == "words") & ~_each(F.try_variant_get(v, "$.segments", VARIANTS), segment), BAD_SEGMENTS)
+              .when((F.col("kind") == "turns") & ~_each(F.try_variant_get(v, "$.tracks", VARIANTS), track), BAD_TRACKS))
+    parsed = docs.withColumn("value", single_json(doc)).withColumn("kind", kind).withColumn("reason", reason)
+    sound = F.col("reason").isNull()
+    for c in ("session_id", "part"):
+        parsed = parsed.withColumn(c, F.when(sound, F.try_variant_get(v, f"$.{c}", "bigint")))
+    return parsed
+
+
+def words_from_documents(parsed: DataFrame) -> DataFrame:
+    """The ``words`` table of the sound documents with segments, in the
+    order of part, segment and word."""
+    said = F.try_variant_get("value", "$.segments", VARIANTS)
+    words = F.flatten(F.transform(said, lambda s: F.coalesce(F.try_variant_get(s, "$.words", VARIANTS), F.array().cast(VARIANTS))))
+    typed = F.transform(words, lambda w: F.struct(
+        F.variant_get(w, "$.word", "string").alias("word"), F.variant_get(w, "$.start", "double").alias("start"),
+        F.variant_get(w, "$.end", "double").alias("end")))
+    sound = parsed.where("reason is null and kind = 'words'")
+    return flatten_words(sound.select("session_id", F.col("part").alias("seg_pos"), typed.alias("words")))
+
+
+def turns_from_documents(parsed: DataFrame) -> DataFrame:
+    """The ``turns`` table of the sound documents with tracks, in track
+    order, with ``extra``: a track's other fields as JSON, null if none."""
+    tracks = F.try_variant_get("value", "$.tracks", VARIANTS)
+    sound = parsed.where("reason is null and kind = 'turns'").select("session_id", "part", tracks.alias("tracks"))
+    sound = running_sum(sound.withColumn("_n", F.size("tracks").cast("bigint")), ["session_id"], "part", "_n", "_off", exclusive=True)
+    each = sound.select("session_id", "_off", F.posexplode("tracks").alias("_p", "_t"))
+    others = F.map_filter(F.try_variant_get("_t", "$", "map<string,variant>"), lambda k, _: ~k.isin(*TRACK_FIELDS))
+    at = each.select("session_id", (F.col("_off") + F.col("_p")).alias("track_pos"), *(
+        F.variant_get("_t", f"$.{c}", t).alias(c) for c, t in zip(TRACK_FIELDS, ("string", "double", "double"))),
+        F.when(F.size(others) > 0, F.to_json(others)).alias("extra"))
+    return turns_from_tracks(at)
+
+
+def rejected_documents(parsed: DataFrame) -> DataFrame:
+    """The documents that no table takes, with their ``reason``."""
+    return parsed.where("reason is not null").drop("value", "kind", "session_id", "part")

@@ -8,6 +8,8 @@ its reason, and ``seg_idx`` numbers the accepted lines of a session in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..functions.redact import redact_patterns
 from ..functions.text import strip
 from ..operators.scan import ordered_concat, running_sum
 from ..operators.settings import json_kind
+from .lines import file_session, numbered_lines, read_lines
 
 # ---------------------------------------------------------------------------
 # The interchange row's keys (sorted) and its schema.
@@ -92,9 +95,10 @@ def from_jsonl(docs: DataFrame, text_col: str = "jsonl") -> tuple[DataFrame, Dat
     return good, rejected
 
 
-def read_jsonl_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``*.jsonl`` file: ``session_id`` = file stem, whole text."""
-    from ..functions.text import file_stem
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl")
-    return raw.select(file_stem(F.col("_metadata.file_name")).alias("session_id"),
-                      F.col("value").alias("jsonl"))
+def read_jsonl(spark: SparkSession, path: str, session: Callable[[Column], Column] = file_session,
+               glob: str | None = None) -> DataFrame:
+    """S1 from files: non-blank ``(session_id, line_no, line)`` of all files
+    under ``path``, one session a file, named by ``session(file)``. A file is
+    read in splits, so it may be of any size."""
+    lines = numbered_lines(read_lines(spark, path, glob))
+    return lines.where(strip("line") != "").select(session(F.col("file")).alias("session_id"), "line_no", "line")

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from colloquy.operators.align import align, assign_speakers, rejected_times
+from colloquy.operators.align import align, assign_speakers, attribute_words, rejected_times
 from colloquy.plans.oracle import ORACLE
 from colloquy.sources import fixtures as fx
 from tests.conftest import SF_SMALL, rows
@@ -118,3 +118,90 @@ def test_assign_speakers_labels(spark):
     t = spark.createDataFrame([(1, 0, "A", 0.0, 1.0)], TSCHEMA)
     got = sorted(rows(assign_speakers(w, t)))
     assert got == [(1, 0, "A"), (1, 1, "Unknown"), (2, 0, "Speaker")]
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_turns_and_words_against_all_pairs(spark):
+    """Turns and words from parts of a second to the longest legal times."""
+    import random
+    rng = random.Random(11)
+    span = lambda: rng.choice([0.0, 0.25, 3.0, 900.0, 1500.0, 40_000.0, 2e6, 9e6])
+    words, turns = [], []
+    for i in range(250):
+        s = rng.choice([rng.uniform(-200, 200), rng.uniform(-9e6, 9e6)])
+        words.append((f" w{i}", s, min(s + span(), 1e7)))
+        s = rng.choice([rng.uniform(-200, 200), rng.uniform(-9e6, 9e6)])
+        turns.append((f"S{i % 40}", s, min(s + span(), 1e7)))
+    turns.append(("whole", -1e7, 1e7))
+    want = []
+    for _, s, e in words:
+        mid = (s + e) / 2
+        fits = [(-max(0.0, min(e, b) - max(s, a)), i) for i, (_, a, b) in enumerate(turns) if min(e, b) > max(s, a) or a <= mid <= b]
+        want.append(turns[min(fits)[1]][0])
+    w = spark.createDataFrame([(1, i, *x) for i, x in enumerate(words)], WSCHEMA)
+    t = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], TSCHEMA)
+    assert [r[1] for r in rows(assign_speakers(w, t).orderBy("word_idx"), "word_idx", "speaker")] == want
+    assert [r[1] for r in rows(assign_speakers(w, t, bin_seconds=0.5).orderBy("word_idx"), "word_idx", "speaker")] == want
+
+
+def test_rows_of_a_turn_do_not_grow_with_its_length(spark):
+    from pyspark.sql import functions as F
+    from colloquy.operators.align import FAN, N_WIDTHS, _keys, _level
+
+    t = spark.createDataFrame([(float(10**k),) for k in range(8)], "e double")
+    key = F.struct(F.lit("turn").alias("whose"), _level(F.lit(0.0), F.col("e"), 32.0).alias("level"))
+    n = t.select(F.size(_keys(F.lit(0.0), F.col("e"), F.array(key), 32.0)).alias("n")).agg(F.max("n")).first()[0]
+    assert n <= FAN and N_WIDTHS == 5
+
+
+def test_a_turn_called_unknown_joins_words_without_a_turn(spark):
+    words = [(" a", 0.0, 1.0), (" b", 5.0, 6.0), (" c", 9.0, 10.0)]
+    assert run(spark, words, [("Unknown", 0.0, 1.0), ("B", 9.0, 10.0)]) == [("Unknown", "a b", 0.0, 6.0), ("B", "c", 9.0, 10.0)]
+
+
+def test_labels_by_block_equal_labels_of_segments(spark):
+    from colloquy.operators.speakers import label_speakers
+
+    f = fx.all_fixtures(spark, SF_SMALL)
+    for size in (3, 1 << 16):
+        plain = label_speakers(align(f["words"], f["turns"], block=size), "Ann,Ben", block=2)
+        named = align(f["words"], f["turns"], block=size, names="Ann,Ben")
+        assert sorted(rows(named, *plain.columns)) == sorted(rows(plain))
+
+
+def test_runs_are_merged_once_and_nothing_stays_cached(spark):
+    from colloquy.plans.queries import q_transcript_pipeline
+
+    p = executed(q_transcript_pipeline(spark, SF_SMALL))
+    p = p[:p.index("== Initial Plan")] if "== Initial Plan" in p else p
+    # the written pieces are read once with their texts: runs are merged once
+    assert p.count("_txt") and sum("FileScan parquet" in line and "_txt" in line for line in p.splitlines()) == 1
+    assert "InMemoryTableScan" not in p and spark._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_no_long_row_is_joined_by_its_session_alone(spark):
+    """Joins by session alone carry blocks or speakers, not words or texts."""
+    from colloquy.operators.align import block_runs, merge_runs, run_pieces
+    from colloquy.operators.speakers import label_speakers, names_array
+
+    f = fx.all_fixtures(spark, SF_SMALL)
+    pieces = run_pieces(attribute_words(f["words"], f["turns"]))
+    some = 0
+    for df in (assign_speakers(f["words"], f["turns"]), label_speakers(f["segments"], "X"),
+               merge_runs(pieces, block_runs(pieces, f["turns"], names_array("X")))):
+        joins = [n for n in nodes(df._jdf.queryExecution().sparkPlan()) if n.nodeName().endswith("Join")]
+        alone = [j for j in joins if j.leftKeys().size() == 1]
+        out = [j.output().apply(i).name() for j in alone for i in range(j.output().size())]
+        some += len(alone)
+        assert joins and not {"text", "word_idx", "seg_idx", "_txt"} & set(out)
+    assert some
