@@ -364,7 +364,7 @@ parsed AS (
   FROM resp
 )"""
 
-JSONL_CTES = FIXTURE_CTES + f""",
+JSONL_LINES = FIXTURE_CTES + f""",
 jl AS (
   SELECT session_id, seg_idx, speaker, text, start_s, end_s,
          json_object('speaker', speaker, 'text', text, 'start', start_s, 'end', end_s)::VARCHAR AS line
@@ -383,7 +383,10 @@ fl AS (
       WHEN 7 THEN line || line
       ELSE line END AS line
   FROM jl
-),
+)
+"""
+
+JSONL_DOCS = f"""
 docs AS (SELECT session_id, string_agg(line, {NL} ORDER BY seg_idx) AS jsonl FROM fl GROUP BY session_id),
 ln AS (
   SELECT * FROM (
@@ -391,7 +394,9 @@ ln AS (
            UNNEST(range(0, len(string_split(jsonl, {NL})))) AS line_no
     FROM docs) x
   WHERE {strip('line')} <> ''
-),
+)"""
+
+JSONL_CHECK = f"""
 chk AS (
   SELECT session_id, line_no, line,
     CASE WHEN NOT json_valid(line) OR json_type(line) <> 'OBJECT' THEN 'bad_json'
@@ -403,6 +408,14 @@ chk AS (
   FROM ln
 )"""
 
+
+def jsonl_ctes(numbered: str) -> str:
+    """Faulty lines, ``numbered`` as ``ln(session_id, line_no, line)``, checked."""
+    return ",".join((JSONL_LINES, numbered, JSONL_CHECK))
+
+
+JSONL_CTES = jsonl_ctes(JSONL_DOCS)
+
 ASR_CTE = FIXTURE_CTES + """,
 asr_words AS (
   SELECT session_id,
@@ -539,6 +552,19 @@ nouts AS (
   FROM outs o LEFT JOIN results r ON o.session_id = r.session_id
 )"""
 
+QUARANTINE = f"""
+SELECT session_id, CAST(line_no AS BIGINT) AS line_no,
+       CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason,
+       CASE WHEN reason IS NULL THEN CAST(count(*) FILTER (WHERE reason IS NULL) OVER (
+            PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            AS BIGINT) END AS seg_idx,
+       CASE WHEN reason IS NULL THEN json_extract_string(line, '$.speaker') END AS speaker,
+       CASE WHEN reason IS NULL THEN json_extract_string(line, '$.text') END AS text,
+       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.start') AS DOUBLE) END AS start_s,
+       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.end') AS DOUBLE) END AS end_s,
+       CASE WHEN reason IS NOT NULL THEN {redact_patterns('line')} END AS line
+FROM chk"""
+
 ORACLE: dict[str, str] = {
     "redact_documents": f"SELECT doc_id, {redact_patterns('text')} AS text FROM documents",
     "redact_names": with_(FIXTURE_CTES,
@@ -587,18 +613,7 @@ SELECT session_id, turn, content,
 FROM parsed"""),
     "jsonl_roundtrip": with_(FIXTURE_CTES, """
 SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, text, start_s, end_s FROM seg"""),
-    "jsonl_quarantine": with_(JSONL_CTES, f"""
-SELECT session_id, CAST(line_no AS BIGINT) AS line_no,
-       CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason,
-       CASE WHEN reason IS NULL THEN CAST(count(*) FILTER (WHERE reason IS NULL) OVER (
-            PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-            AS BIGINT) END AS seg_idx,
-       CASE WHEN reason IS NULL THEN json_extract_string(line, '$.speaker') END AS speaker,
-       CASE WHEN reason IS NULL THEN json_extract_string(line, '$.text') END AS text,
-       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.start') AS DOUBLE) END AS start_s,
-       CASE WHEN reason IS NULL THEN CAST(json_extract(line, '$.end') AS DOUBLE) END AS end_s,
-       CASE WHEN reason IS NOT NULL THEN {redact_patterns('line')} END AS line
-FROM chk"""),
+    "jsonl_quarantine": with_(JSONL_CTES, QUARANTINE),
     "flatten_asr": with_(ASR_CTE, "SELECT * FROM asr_words"),
     "settings_resolution": with_(SETTINGS_CTE + "," + CONFIG_CTE, settings_sql()),
     "session_redaction": with_(FIXTURE_CTES + "," + SETTINGS_CTE + "," + CONFIG_CTE + ",\nresolved AS (" + settings_sql() + ")", f"""

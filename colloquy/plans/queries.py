@@ -6,7 +6,6 @@ full; nothing is sampled, capped or filtered to keep a check cheap.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,6 @@ from ..sources.asr import ASR_WORD, flatten_words
 from ..sources.jsonl import from_jsonl, parse_lines, split_lines, to_jsonl, to_jsonl_lines
 from ..operators.scan import ordered_concat
 from ..sources.templates import load_templates
-from ..streaming.incremental import redact_stream, scratch_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values used by the queries.
@@ -183,8 +181,8 @@ def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return good
 
 
-def faulty_jsonl(spark: SparkSession, sf: str) -> DataFrame:
-    """JSONL text per session with injected faults, by
+def faulty_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines (session_id, seg_idx, line) with injected faults, by
     ``(session_id * 31 + seg_idx) % 13``: a dropped key, an extra key, a line
     cut in half, an empty line, a whitespace-only line, text after the object,
     a nested text, two objects."""
@@ -201,8 +199,12 @@ def faulty_jsonl(spark: SparkSession, sf: str) -> DataFrame:
            .when(k == 3, F.lit("")).when(k == 4, F.lit("  \t"))
            .when(k == 5, F.concat("line", F.lit(" junk"))).when(k == 6, nested)
            .when(k == 7, F.concat("line", "line")).otherwise(F.col("line")))
-    return ordered_concat(lines.select("session_id", "seg_idx", bad.alias("line")),
-                          ["session_id"], "seg_idx", "line", "\n", "jsonl")
+    return lines.select("session_id", "seg_idx", bad.alias("line"))
+
+
+def faulty_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """The faulty lines as one text per session."""
+    return ordered_concat(faulty_lines(spark, sf), ["session_id"], "seg_idx", "line", "\n", "jsonl")
 
 
 def q_jsonl_quarantine(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,18 +337,6 @@ def q_batch_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     return bt.artifacts(outs, format_transcript(segs, timestamps=True), "transcript")
 
 
-def q_streaming_redact(spark: SparkSession, sf: str) -> DataFrame:
-    """R1 + R2: the segments are written as one JSONL file per session into
-    a fresh folder under the checkpoint folder; a stream picks the files up,
-    checks, numbers and redacts them and appends to a Parquet table, which
-    is returned. Equals the batch redaction of the same segments."""
-    base = scratch_dir(spark, "stream-redact")
-    in_dir, out_dir = os.path.join(base, "in"), os.path.join(base, "out")
-    to_jsonl(fx.segments(spark, sf)).write.partitionBy("session_id").text(in_dir)
-    redact_stream(spark, in_dir, out_dir, os.path.join(base, "checkpoint"), REDACT_NAMES)
-    return spark.read.parquet(out_dir)
-
-
 QUERIES: dict[str, Query] = {
     "redact_documents": q_redact_documents,
     "redact_names": q_redact_names,
@@ -378,5 +368,4 @@ QUERIES: dict[str, Query] = {
     "failed_names": q_failed_names,
     "failed_sessions": q_failed_sessions,
     "render_fanout": q_render_fanout,
-    "streaming_redact": q_streaming_redact,
 }

@@ -74,12 +74,15 @@ def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
     segment = lambda s: (said(s) == "null") | ((said(s) == "list") & _each(F.try_variant_get(s, "$.words", VARIANTS), word))
     track = lambda t: (json_kind(t, "speaker") == "str") & _number(t, "start") & _number(t, "end")
     kind = F.when(json_kind(v, "segments").isNotNull(), "words").when(json_kind(v, "tracks").isNotNull(), "turns")
-    reason = (F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), BAD_JSON)
+    reason = (F.when(v.isNull() | F.try_variant_get(v, "$", "map<string,variant>").isNull(), BAD_JSON)
               .when(F.col("kind").isNull(), BAD_KIND)
               .when(~F.coalesce((json_kind(v, "session_id") == "int") & (json_kind(v, "part") == "int"), F.lit(False)), BAD_SESSION)
               .when((F.col("kind") == "words") & ~_each(F.try_variant_get(v, "$.segments", VARIANTS), segment), BAD_SEGMENTS)
               .when((F.col("kind") == "turns") & ~_each(F.try_variant_get(v, "$.tracks", VARIANTS), track), BAD_TRACKS))
-    parsed = docs.withColumn("value", single_json(doc)).withColumn("kind", kind).withColumn("reason", reason)
+    # each step is a generator of one row, which later filters do not repeat
+    once = lambda c: F.explode(F.array(c))
+    parsed = docs.select("*", once(single_json(doc)).alias("value")).select("*", once(kind).alias("kind"))
+    parsed = parsed.select("*", once(reason).alias("reason"))
     sound = F.col("reason").isNull()
     for c in ("session_id", "part"):
         parsed = parsed.withColumn(c, F.when(sound, F.try_variant_get(v, f"$.{c}", "bigint")))
@@ -89,13 +92,11 @@ def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
 def words_from_documents(parsed: DataFrame) -> DataFrame:
     """The ``words`` table of the sound documents with segments, in the
     order of part, segment and word."""
-    said = F.try_variant_get("value", "$.segments", VARIANTS)
-    words = F.flatten(F.transform(said, lambda s: F.coalesce(F.try_variant_get(s, "$.words", VARIANTS), F.array().cast(VARIANTS))))
-    typed = F.transform(words, lambda w: F.struct(
-        F.variant_get(w, "$.word", "string").alias("word"), F.variant_get(w, "$.start", "double").alias("start"),
-        F.variant_get(w, "$.end", "double").alias("end")))
-    sound = parsed.where("reason is null and kind = 'words'")
-    return flatten_words(sound.select("session_id", F.col("part").alias("seg_pos"), typed.alias("words")))
+    said = F.variant_get("value", "$.segments", f"array<struct<words:array<{ASR_WORD}>>>")
+    words = F.flatten(F.transform(said, lambda s: F.coalesce(s["words"], F.array().cast(f"array<{ASR_WORD}>"))))
+    sound = parsed.where("reason is null and kind = 'words'").select(
+        "session_id", F.col("part").alias("seg_pos"), F.explode(F.array(words)).alias("words"))
+    return flatten_words(sound)
 
 
 def turns_from_documents(parsed: DataFrame) -> DataFrame:

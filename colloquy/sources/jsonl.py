@@ -63,18 +63,18 @@ def line_fault(line: Column) -> Column:
             .when(~F.coalesce(good, F.lit(False)), F.lit(REASON_TYPES)))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Every line with ``status`` (``ok``/``rejected``), ``reason`` and
+def parse_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every line (``session_id, line_no, line`` and the columns to ``keep``) with ``status`` (``ok``/``rejected``), ``reason`` and
     the parsed fields; accepted lines get ``seg_idx`` (ordinal per session),
     rejected ones keep the ``line`` itself, redacted, so it can be repaired."""
     line = F.col("line")
-    p = lines.select("session_id", "line_no", "line", line_fault(line).alias("reason"),
+    p = lines.select("session_id", "line_no", "line", *keep, line_fault(line).alias("reason"),
                      F.from_json(line, LINE_SCHEMA).alias("_r"))
     p = p.withColumn("_ok", F.col("reason").isNull().cast("int"))
     p = running_sum(p, ["session_id"], "line_no", "_ok", "_before", exclusive=True)
     ok = F.col("_ok") == 1
     return p.select(
-        "session_id", "line_no",
+        "session_id", "line_no", *keep,
         F.when(ok, F.lit("ok")).otherwise(F.lit("rejected")).alias("status"),
         "reason",
         F.when(ok, F.col("_before")).alias("seg_idx"),

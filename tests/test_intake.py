@@ -82,3 +82,92 @@ def test_raw_model_output(spark):
     assert [None if t[5] is None else json.loads(t[5]) for t in turns] == [{"note": "n"}, {"score": {"a": [2], "b": 1}}, None]
     bad = asr.rejected_documents(parsed)
     assert bad.columns == ["line_no", "doc", "reason"] and bad.count() == 12
+
+
+def arriving(folder, name, sessions, bad=()):
+    lines = []
+    for s in sessions:
+        lines.append(json.dumps({"session_id": s, "part": 0, "tracks": [{"speaker": "S1", "start": 0, "end": 2}, {"speaker": "S2", "start": 2, "end": 4}]}))
+        lines.append(json.dumps({"session_id": s, "part": 0, "segments": [{"words": [{"word": " hi", "start": 0, "end": 1}, {"word": " call", "start": 2, "end": 3},
+                                                                                    {"word": " 555-123-4567", "start": 3, "end": 4}]}]}))
+    put(folder, name, "\n".join([*lines, *bad]) + "\n")
+
+
+SAID = "[00:00 → 00:01] Ann: hi\n\n[00:02 → 00:04] Ben: call [PHONE]"
+
+
+def test_a_batch_that_failed_between_its_tables_is_written_once(spark, tmp_path, monkeypatch):
+    from colloquy.streaming import arrivals
+
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    arriving(src, "a.txt", [1, 2], bad=["", "{", "mail me@x.org"])
+    arriving(src, "b.txt", [3], bad=['{"session_id":1,"part":2}'])
+    write, calls = arrivals.write_batch, []
+
+    def failing(rows, path, batch_id):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("the second table's store is away")
+        write(rows, path, batch_id)
+
+    monkeypatch.setattr(arrivals, "write_batch", failing)
+    args = (spark, src, out, ck, "Ann,Ben")
+    with pytest.raises(Exception, match="store is away"):
+        arrivals.transcripts_of_files(*args)
+    good, bad = arrivals.transcripts_of_files(*args)
+    arriving(src, "c.txt", [4])
+    good, bad = arrivals.transcripts_of_files(*args)  # the new file alone
+    assert sorted(rows(good)) == [(1, SAID, 0), (2, SAID, 0), (3, SAID, 0), (4, SAID, 1)]
+    got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.reason, r.line) for r in bad.collect())
+    assert got == [("a.txt", 5, "bad_json", "{"), ("a.txt", 6, "bad_json", "mail [EMAIL]"),
+                   ("b.txt", 2, "unknown_kind", '{"session_id":1,"part":2}')]
+    assert spark._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def test_arriving_segments_keep_their_order_and_say_what_is_wrong(spark, tmp_path):
+    from colloquy.streaming import arrivals as ar
+
+    line = '{"speaker":"A","text":"%s","start":0,"end":1}'
+    put(tmp_path / "in", "x.txt", "\n".join([f"7\t{line % 'one'}", "no id", f"x\t{line % 'two'}", f"7\t{line % 'John'} junk", f"8\t{line % 'b'}", f"7\t{line % 'John'}"]))
+    ar.process_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), ar.redact_batch(["John"]))
+    good = ar.read_sink(spark, str(tmp_path / "out"), ar.ACCEPTED, ar.SEGMENTS)
+    assert sorted(rows(good, "session_id", "seg_idx", "text")) == [(7, 0, "one"), (7, 1, "[NAME]"), (8, 0, "b")]
+    bad = ar.read_sink(spark, str(tmp_path / "out"), ar.REJECTED, ar.REJECTS)
+    assert sorted(rows(bad, "line_no", "reason")) == [(1, "no session id"), (2, "no session id"), (3, "bad_json")]
+
+
+def files_under(folder):
+    return sorted(os.path.relpath(os.path.join(d, f), folder) for d, _, fs in os.walk(folder) for f in fs if not f.endswith(".crc"))
+
+
+def test_session_files_and_their_manifest(spark, tmp_path):
+    from colloquy.sources.files import manifest, read_session_files, write_session_files
+
+    out = str(tmp_path / "out")
+    data = [(i, f"s{i}.txt", "" if i == 3 else f"text é {i}\n\n" * i) for i in range(40)]
+    write_session_files(spark.createDataFrame(data, "session_id long, file_name string, content string"), out)
+    assert sorted(rows(read_session_files(spark, out), "session_id", "file_name", "content")) == data
+    listed = manifest(spark, out).collect()
+    assert sorted(r.path for r in listed) == [f for f in files_under(out) if not f.startswith("_")]
+    assert all(os.path.getsize(os.path.join(out, r.path)) == r.n_bytes for r in listed)
+    # more files beside these, then others in their place
+    more = spark.createDataFrame([(90, "s90.txt", "x")], "session_id long, file_name string, content string")
+    write_session_files(more, out)
+    assert read_session_files(spark, out).count() == 41
+    write_session_files(more, out, "overwrite")
+    assert rows(read_session_files(spark, out), "session_id", "content") == [(90, "x")]
+    assert len(files_under(out)) == 2
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    from colloquy.sources.files import write_session_files
+
+    out = str(tmp_path / "out")
+    data = [(i, "bad/name" if i == 17 else f"s{i}.txt", "x") for i in range(40)]
+    with pytest.raises(Exception, match="not a file name of its own"):
+        write_session_files(spark.createDataFrame(data, "session_id long, file_name string, content string"), out)
+    assert files_under(out) == []
+    twice = spark.createDataFrame([(1, "a.txt", "x"), (1, "a.txt", "y")], "session_id long, file_name string, content string")
+    with pytest.raises(Exception, match="not a file name of its own"):
+        write_session_files(twice, out)
+    assert files_under(out) == []
