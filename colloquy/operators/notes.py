@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import endpoint as ep
 from ..functions.template import DEFAULT_CLIENT, substitute
@@ -126,33 +127,38 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-RESPONSE_SCHEMA = "session_id long, template_id string, status int, body string"
+def sendable(requests: DataFrame) -> DataFrame:
+    """The requests that the gate lets through."""
+    return requests.where((F.col("gate") != ep.GATE_REFUSED) & F.col("request").isNotNull())
+
+
 CLIENT_ERROR = 599  # status of a request whose client failed
+KEYS = ("session_id", "template_id")
 
 
-def call_endpoint(requests: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
-                  ) -> DataFrame:
+def call_endpoint(requests: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+                  keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Send already gated requests through a user-supplied client.
 
     ``make_client()`` runs once per partition (models / connections are
     loaded once, not per row); the returned callable maps a pandas batch with
-    ``url, request`` to ``status, body`` and keeps its own time limit. Refused
+    the ``keys``, ``url, request`` to ``status, body`` and keeps its own time limit. Refused
     rows and rows without a request are dropped before the hook. If a batch
     fails, its rows are sent one by one, so only those that fail themselves
     become error rows; a client that can't be made fails its rows, not the job.
     """
-    ready = requests.where((F.col("gate") != ep.GATE_REFUSED) & F.col("request").isNotNull()).select(
-        "session_id", "template_id", "url", "request")
+    ready = sendable(requests).select(*keys, "url", "request")
+    kept = list(keys)
+    schema = T.StructType([*ready.select(*keys).schema.fields, T.StructField("status", T.IntegerType()), T.StructField("body", T.StringType())])
 
     def answer(client: Callable, pdf: pd.DataFrame) -> pd.DataFrame:
         out = client(pdf)
         if len(out) != len(pdf):
             raise ValueError(f"{len(out)} answers to {len(pdf)} requests")
-        return pd.DataFrame({"session_id": pdf["session_id"].values, "template_id": pdf["template_id"].values,
-                             "status": out["status"].astype("Int32").values, "body": out["body"].values})
+        return pdf[kept].reset_index(drop=True).assign(status=out["status"].astype("Int32").values, body=out["body"].values)
 
     def failed(pdf: pd.DataFrame, e: Exception) -> pd.DataFrame:
-        return pdf[["session_id", "template_id"]].assign(
+        return pdf[kept].assign(
             status=CLIENT_ERROR, body=f"client error: {type(e).__name__}: {e}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,4 +184,4 @@ def call_endpoint(requests: DataFrame, make_client: Callable[[], Callable[[pd.Da
                     one = failed(row, e)
                 yield one
 
-    return ready.mapInPandas(run, RESPONSE_SCHEMA)
+    return ready.mapInPandas(run, schema)

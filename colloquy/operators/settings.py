@@ -22,7 +22,11 @@ STRING_KEYS = {
     "model": ("summarize.model", "str"),
     "template_id": ("summarize.template", "str"),
 }
-INT_KEYS = {"num_speakers": ("transcribe.num_speakers", "int")}
+INT_KEYS = {
+    "num_speakers": ("transcribe.num_speakers", "int"),
+    "min_speakers": ("transcribe.min_speakers", "int"),
+    "max_speakers": ("transcribe.max_speakers", "int"),
+}
 BOOL_KEYS = {"allow_remote": "summarize.allow_remote", "redact": "redact.enabled"}
 NAMES_KEY = ("redact_names", "redact.names")
 # ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..functions import endpoint as ep
 from ..functions import redact as rd
 from ..functions import template as tp
 from ..functions.dialect import WHITESPACE_CHARS, sql_string, to_re2
+from ..operators import settings as stg
 from ..operators import transcript as tr
 from ..sources import fixtures as fx
 from ..sources.templates import BUILTIN_DIR
@@ -274,15 +275,89 @@ settings AS (
 )"""
 
 
+CFG_VALID = ('{"transcribe": {"speakers": "Therapist,Client", "num_speakers": 2, "min_speakers": 1, "max_speakers": 4}, '
+             '"summarize": {"client_name": "Cfg-')
+CFG_VALID_TAIL = ('", "session_date": "2024-07-01", "base_url": "http://127.0.0.1:8000/v1", '
+                  '"model": "cfg-model", "template": "dap", "allow_remote": true}, '
+                  '"redact": {"enabled": true, "names": "John"}}')
+CFG_WRONG = ('{"transcribe": {"num_speakers": "two", "max_speakers": 2.5, "speakers": ["A", "B"]}, '
+             '"summarize": {"client_name": 5, "allow_remote": "yes", "session_date": 20240701}, '
+             '"redact": {"enabled": 0, "names": ["x"]}}')
+CFG_BOOLINT = ('{"transcribe": {"num_speakers": true}, '
+               '"summarize": {"allow_remote": false, "model": null}}')
+
+CONFIG_CTE = f"""
+cfg AS (
+  SELECT conv_id AS session_id,
+    CASE conv_id % 4
+      WHEN 1 THEN {sql_string(CFG_VALID)} || CAST(conv_id AS VARCHAR) || {sql_string(CFG_VALID_TAIL)}
+      WHEN 2 THEN {sql_string(CFG_WRONG)}
+      WHEN 3 THEN {sql_string(CFG_BOOLINT)}
+      ELSE '{{}}' END AS config
+  FROM (SELECT DISTINCT conv_id FROM conversations) s
+)"""
+
+
+def _kind(path: str) -> str:
+    t = f"json_type(config, '$.{path}')"
+    return (f"(CASE WHEN {t} IN ('BIGINT', 'UBIGINT') THEN 'int' WHEN {t} = 'VARCHAR' THEN 'str' "
+            f"WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} = 'DOUBLE' THEN 'float' "
+            f"WHEN {t} = 'ARRAY' THEN 'list' WHEN {t} = 'OBJECT' THEN 'dict' WHEN {t} = 'NULL' THEN 'null' END)")
+
+
+def _truthy(path: str) -> str:
+    k, p = _kind(path), f"'$.{path}'"
+    return (f"coalesce(CASE {k} WHEN 'bool' THEN CAST(json_extract(config, {p}) AS BOOLEAN) "
+            f"WHEN 'int' THEN CAST(json_extract(config, {p}) AS DOUBLE) <> 0 "
+            f"WHEN 'float' THEN CAST(json_extract(config, {p}) AS DOUBLE) <> 0 "
+            f"WHEN 'str' THEN json_extract_string(config, {p}) <> '' "
+            f"WHEN 'list' THEN json_array_length(config, {p}) > 0 "
+            f"WHEN 'dict' THEN CAST(json_extract(config, {p}) AS VARCHAR) <> '{{}}' "
+            f"WHEN 'null' THEN false END, false)")
+
+
+def settings_sql() -> str:
+    cols, ign = ["e.session_id"], []
+    for col, (path, kind) in {**stg.STRING_KEYS, **stg.INT_KEYS}.items():
+        typ = "VARCHAR" if kind == "str" else "BIGINT"
+        given = f"e.{col}" if kind == "str" else "CAST(NULL AS BIGINT)"
+        val = (f"json_extract_string(config, '$.{path}')" if kind == "str"
+               else f"CAST(json_extract(config, '$.{path}') AS BIGINT)")
+        cols.append(f"coalesce(CAST({given} AS {typ}), CASE WHEN {_kind(path)} = '{kind}' THEN {val} END) AS {col}")
+        ign.append(f"CASE WHEN {given} IS NULL AND {_kind(path)} IS NOT NULL AND {_kind(path)} <> '{kind}' "
+                   f"THEN '{path}' END")
+    for col, path in stg.BOOL_KEYS.items():
+        cols.append(f"(coalesce(e.{col}, false) OR {_truthy(path)}) AS {col}")
+    col, path = stg.NAMES_KEY
+    use = f"(e.{col} IS NULL AND {_truthy(path)})"
+    cols.append(f"coalesce(e.{col}, CASE WHEN {use} AND {_kind(path)} = 'str' "
+                f"THEN json_extract_string(config, '$.{path}') END) AS {col}")
+    ign.append(f"CASE WHEN {use} AND {_kind(path)} <> 'str' THEN '{path}' END")
+    cols.append("array_to_string(list_sort(list_filter([" + ", ".join(ign)
+                + "], lambda x: x IS NOT NULL)), ',') AS ignored")
+    return ("SELECT " + ",\n  ".join(cols)
+            + "\nFROM settings e LEFT JOIN cfg c ON e.session_id = c.session_id")
+
+
+RESOLVED_CTE = SETTINGS_CTE + "," + CONFIG_CTE + ",\nresolved AS (" + settings_sql() + ")"
+
+
+def redact_resolved(text: str, r: str) -> str:
+    """``text`` redacted as the resolved settings ``r`` of its session say."""
+    return (f"CASE WHEN NOT coalesce({r}.redact, false) THEN {text} "
+            f"WHEN {r}.redact_names = 'John, Jane Smith' THEN {redact_text(text, ['John', 'Jane Smith'])} "
+            f"WHEN {r}.redact_names = 'John' THEN {redact_text(text, ['John'])} ELSE {redact_patterns(text)} END")
+
+
 def substitute_sql(body: str, values: dict[str, str]) -> str:
     cases = " ".join(f"WHEN tok IN ('${k}', '${{{k}}}') THEN {v}" for k, v in values.items())
     return (f"array_to_string(list_transform(regexp_extract_all({body}, {sql_string(tp.TOKEN)}), "
             f"lambda tok: CASE WHEN tok = '$$' THEN '$' {cases} ELSE tok END), '')")
 
 
-PROMPT_CTES = FIXTURE_CTES + "," + SETTINGS_CTE + ",\n" + _templates_values() + f""",
-rseg AS (SELECT session_id, seg_idx, speaker, {redact_text('text', fx.NAMES)} AS text, start_s, end_s
-         FROM seg),
+PROMPT_CTES = FIXTURE_CTES + "," + RESOLVED_CTE + ",\n" + _templates_values() + f""",
+rseg AS (SELECT seg.session_id, seg_idx, speaker, {redact_resolved('seg.text', 'r')} AS text, start_s, end_s
+         FROM seg LEFT JOIN resolved r ON seg.session_id = r.session_id),
 vals AS (
   SELECT session_id, string_agg({line_sql(True)}, {NL} || {NL} ORDER BY seg_idx) AS transcript,
          array_to_string(list_sort(list(DISTINCT speaker)), ', ') AS speakers,
@@ -293,7 +368,7 @@ pv AS (
   SELECT st.session_id, st.template_id, t.body, v.transcript, v.speakers, v.duration,
          coalesce(nullif(st.session_date, ''), {sql_string(RUN_DATE)}) AS dt,
          coalesce(nullif(st.client_name, ''), {sql_string(tp.DEFAULT_CLIENT)}) AS cn
-  FROM settings st JOIN vals v ON st.session_id = v.session_id
+  FROM resolved st JOIN vals v ON st.session_id = v.session_id
   LEFT JOIN templates t ON st.template_id = t.template_id
 ),
 prompts AS (
@@ -428,73 +503,7 @@ asr_words AS (
         FROM seg WHERE (session_id * 7 + seg_idx) % 9 <> 0) x
 )"""
 
-from ..operators import settings as stg  # noqa: E402
-
-CFG_VALID = ('{"transcribe": {"speakers": "Therapist,Client", "num_speakers": 2}, '
-             '"summarize": {"client_name": "Cfg-')
-CFG_VALID_TAIL = ('", "session_date": "2024-07-01", "base_url": "http://127.0.0.1:8000/v1", '
-                  '"model": "cfg-model", "template": "dap", "allow_remote": true}, '
-                  '"redact": {"enabled": true, "names": "John"}}')
-CFG_WRONG = ('{"transcribe": {"num_speakers": "two", "speakers": ["A", "B"]}, '
-             '"summarize": {"client_name": 5, "allow_remote": "yes", "session_date": 20240701}, '
-             '"redact": {"enabled": 0, "names": ["x"]}}')
-CFG_BOOLINT = ('{"transcribe": {"num_speakers": true}, '
-               '"summarize": {"allow_remote": false, "model": null}}')
-
-CONFIG_CTE = f"""
-cfg AS (
-  SELECT conv_id AS session_id,
-    CASE conv_id % 4
-      WHEN 1 THEN {sql_string(CFG_VALID)} || CAST(conv_id AS VARCHAR) || {sql_string(CFG_VALID_TAIL)}
-      WHEN 2 THEN {sql_string(CFG_WRONG)}
-      WHEN 3 THEN {sql_string(CFG_BOOLINT)}
-      ELSE '{{}}' END AS config
-  FROM (SELECT DISTINCT conv_id FROM conversations) s
-)"""
-
-
-def _kind(path: str) -> str:
-    t = f"json_type(config, '$.{path}')"
-    return (f"(CASE WHEN {t} IN ('BIGINT', 'UBIGINT') THEN 'int' WHEN {t} = 'VARCHAR' THEN 'str' "
-            f"WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} = 'DOUBLE' THEN 'float' "
-            f"WHEN {t} = 'ARRAY' THEN 'list' WHEN {t} = 'OBJECT' THEN 'dict' WHEN {t} = 'NULL' THEN 'null' END)")
-
-
-def _truthy(path: str) -> str:
-    k, p = _kind(path), f"'$.{path}'"
-    return (f"coalesce(CASE {k} WHEN 'bool' THEN CAST(json_extract(config, {p}) AS BOOLEAN) "
-            f"WHEN 'int' THEN CAST(json_extract(config, {p}) AS DOUBLE) <> 0 "
-            f"WHEN 'float' THEN CAST(json_extract(config, {p}) AS DOUBLE) <> 0 "
-            f"WHEN 'str' THEN json_extract_string(config, {p}) <> '' "
-            f"WHEN 'list' THEN json_array_length(config, {p}) > 0 "
-            f"WHEN 'dict' THEN CAST(json_extract(config, {p}) AS VARCHAR) <> '{{}}' "
-            f"WHEN 'null' THEN false END, false)")
-
-
-def settings_sql() -> str:
-    cols, ign = ["e.session_id"], []
-    for col, (path, kind) in {**stg.STRING_KEYS, **stg.INT_KEYS}.items():
-        typ = "VARCHAR" if kind == "str" else "BIGINT"
-        given = f"e.{col}" if col != "num_speakers" else "CAST(NULL AS BIGINT)"
-        val = (f"json_extract_string(config, '$.{path}')" if kind == "str"
-               else f"CAST(json_extract(config, '$.{path}') AS BIGINT)")
-        cols.append(f"coalesce(CAST({given} AS {typ}), CASE WHEN {_kind(path)} = '{kind}' THEN {val} END) AS {col}")
-        ign.append(f"CASE WHEN {given} IS NULL AND {_kind(path)} IS NOT NULL AND {_kind(path)} <> '{kind}' "
-                   f"THEN '{path}' END")
-    for col, path in stg.BOOL_KEYS.items():
-        cols.append(f"(coalesce(e.{col}, false) OR {_truthy(path)}) AS {col}")
-    col, path = stg.NAMES_KEY
-    use = f"(e.{col} IS NULL AND {_truthy(path)})"
-    cols.append(f"coalesce(e.{col}, CASE WHEN {use} AND {_kind(path)} = 'str' "
-                f"THEN json_extract_string(config, '$.{path}') END) AS {col}")
-    ign.append(f"CASE WHEN {use} AND {_kind(path)} <> 'str' THEN '{path}' END")
-    cols.append("array_to_string(list_sort(list_filter([" + ", ".join(ign)
-                + "], lambda x: x IS NOT NULL)), ',') AS ignored")
-    return ("SELECT " + ",\n  ".join(cols)
-            + "\nFROM settings e LEFT JOIN cfg c ON e.session_id = c.session_id")
-
-
-BATCH_CTES = FIXTURE_CTES + "," + SETTINGS_CTE + f""",
+BATCH_CTES = FIXTURE_CTES + "," + RESOLVED_CTE + f""",
 sizes AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_bytes FROM conversations GROUP BY conv_id),
 expected0 AS (
   SELECT conv_id AS session_id, n_bytes FROM sizes
@@ -514,7 +523,7 @@ inputs AS (
 gates AS (
   SELECT session_id,
          {gate_sql(f"coalesce(nullif(base_url, ''), {sql_string(ep.DEFAULT_BASE_URL)})", 'allow_remote')} AS gate
-  FROM settings
+  FROM resolved
 ),
 outs AS (
   SELECT i.session_id, i.stem, i.stem || '.wav' AS input_name,
@@ -540,7 +549,7 @@ results AS (
   SELECT st.session_id, a.content,
     CASE WHEN t.template_id IS NULL THEN 'template not found' WHEN a.session_id IS NULL THEN 'no response'
          ELSE a.error END AS error
-  FROM settings st LEFT JOIN templates t ON st.template_id = t.template_id
+  FROM resolved st LEFT JOIN templates t ON st.template_id = t.template_id
   LEFT JOIN answer a ON st.session_id = a.session_id
 ),
 nouts AS (
@@ -602,7 +611,7 @@ SELECT p.session_id, p.template_id,
        CASE WHEN p.prompt IS NOT NULL THEN json_object('model', coalesce(nullif(s.model, ''), {sql_string(ep.DEFAULT_MODEL)}),
                    'messages', [json_object('role', 'user', 'content', p.prompt)],
                    'temperature', {ep.TEMPERATURE})::VARCHAR END AS request, p.error
-FROM prompts p LEFT JOIN settings s ON p.session_id = s.session_id"""),
+FROM prompts p LEFT JOIN resolved s ON p.session_id = s.session_id"""),
     "endpoint_gate": with_(GATE_TARGETS, f"""
 SELECT page_id, base_url, {is_local_sql('base_url')} AS is_local,
        {gate_sql('base_url', 'allow_remote')} AS gate, {url_sql('base_url')} AS url
@@ -615,13 +624,9 @@ FROM parsed"""),
 SELECT session_id, CAST(seg_idx AS BIGINT) AS seg_idx, speaker, text, start_s, end_s FROM seg"""),
     "jsonl_quarantine": with_(JSONL_CTES, QUARANTINE),
     "flatten_asr": with_(ASR_CTE, "SELECT * FROM asr_words"),
-    "settings_resolution": with_(SETTINGS_CTE + "," + CONFIG_CTE, settings_sql()),
-    "session_redaction": with_(FIXTURE_CTES + "," + SETTINGS_CTE + "," + CONFIG_CTE + ",\nresolved AS (" + settings_sql() + ")", f"""
-SELECT s.session_id, s.seg_idx,
-       CASE WHEN NOT coalesce(r.redact, false) THEN s.text
-            WHEN r.redact_names = 'John, Jane Smith' THEN {redact_text('s.text', ['John', 'Jane Smith'])}
-            WHEN r.redact_names = 'John' THEN {redact_text('s.text', ['John'])}
-            ELSE {redact_patterns('s.text')} END AS text
+    "settings_resolution": with_(RESOLVED_CTE, "SELECT * FROM resolved"),
+    "session_redaction": with_(FIXTURE_CTES + "," + RESOLVED_CTE, f"""
+SELECT s.session_id, s.seg_idx, {redact_resolved('s.text', 'r')} AS text
 FROM seg s LEFT JOIN resolved r ON s.session_id = r.session_id"""),
     "rejected_words": with_(FIXTURE_CTES, """
 SELECT session_id, word_idx, text,

@@ -107,13 +107,28 @@ def q_transcript_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return format_transcript(segs, timestamps=True)
 
 
+def resolved_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 for every session: explicit values over its configuration document."""
+    conv = read_table(spark, sf, "conversations")
+    return resolve_settings(fx.settings_from(conv), fx.config_from(conv))
+
+
+def redact_as_set(segs: DataFrame, settings: DataFrame) -> DataFrame:
+    """The texts of each session redacted, or not, as its settings say,
+    with the names of its own."""
+    j = segs.join(settings.select("session_id", "redact", "redact_names"), "session_id", "left")
+    names = F.coalesce(split_names("redact_names"), F.array().cast("array<string>"))
+    names = F.filter(names, lambda n: n != "")
+    text = F.when(F.coalesce("redact", F.lit(False)), redact_names_dynamic(redact_patterns("text"), names))
+    return j.withColumn("text", text.otherwise(F.col("text"))).select(*segs.columns)
+
+
 def notes_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """C2 up to the prompt: redact (before anything is rendered) -> session
-    values -> one template per session from the settings (J4/J5)."""
-    segs = fx.segments(spark, sf)
-    segs = segs.withColumn("text", redact_text("text", REDACT_NAMES))
-    vals = session_values(segs)
-    req = fx.settings(spark, sf).select("session_id", "template_id", "client_name", "session_date")
+    values -> one template per session (J4/J5), all as the resolved settings say."""
+    st = resolved_settings(spark, sf)
+    vals = session_values(redact_as_set(fx.segments(spark, sf), st))
+    req = st.select("session_id", "template_id", "client_name", "session_date")
     return render_prompts(vals, load_templates(spark), req, default_date=RUN_DATE)
 
 
@@ -126,7 +141,7 @@ def q_prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_chat_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return gate_requests(notes_prompts(spark, sf), fx.settings(spark, sf))
+    return gate_requests(notes_prompts(spark, sf), resolved_settings(spark, sf))
 
 
 def gate_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,21 +245,11 @@ def q_flatten_asr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_settings_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    conv = read_table(spark, sf, "conversations")
-    explicit = fx.settings_from(conv).drop("redact_names").withColumn(
-        "redact_names", F.when(F.col("session_id") % 3 == 1, F.lit("John, Jane Smith")))
-    return resolve_settings(explicit, fx.config_from(conv))
+    return resolved_settings(spark, sf)
 
 
 def q_session_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    """Each session is redacted, or not, as its resolved settings say, with
-    the names of its own."""
-    st = q_settings_resolution(spark, sf).select("session_id", "redact", "redact_names")
-    segs = fx.segments(spark, sf).join(st, "session_id", "left")
-    names = F.coalesce(split_names("redact_names"), F.array().cast("array<string>"))
-    names = F.filter(names, lambda n: n != "")
-    text = F.when(F.coalesce("redact", F.lit(False)), redact_names_dynamic(redact_patterns("text"), names))
-    return segs.select("session_id", "seg_idx", text.otherwise(F.col("text")).alias("text"))
+    return redact_as_set(fx.segments(spark, sf), resolved_settings(spark, sf)).select("session_id", "seg_idx", "text")
 
 
 def q_rejected_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,11 +263,11 @@ def q_rejected_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_stages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Input check of all expected sessions, and the endpoint gate of each
-    session's explicit settings."""
+    session's resolved settings."""
     conv = read_table(spark, sf, "conversations")
     words = fx.words_from(fx.segments_from(conv))
     inputs = bt.input_status(fx.expected_from(conv), words)
-    st = fx.settings_from(conv)
+    st = resolved_settings(spark, sf)
     gates = st.select("session_id", ep.gate(F.coalesce(F.when(F.col("base_url") != "", F.col("base_url")),
                                                        F.lit(ep.DEFAULT_BASE_URL)),
                                             "allow_remote").alias("gate"))
@@ -287,7 +292,7 @@ def note_results(spark: SparkSession, sf: str) -> DataFrame:
     that prevented it. The responses are those of the first turns."""
     found = parse_responses(responses(spark, sf).where("turn = 0")).withColumn("answered", F.lit(True))
     known = load_templates(spark).select("template_id", F.lit(True).alias("known"))
-    j = (fx.settings(spark, sf).select("session_id", "template_id").join(known, "template_id", "left")
+    j = (resolved_settings(spark, sf).select("session_id", "template_id").join(known, "template_id", "left")
          .join(found, "session_id", "left"))
     error = (F.when(F.col("known").isNull(), F.lit(NO_TEMPLATE))
              .when(F.col("answered").isNull(), F.lit("no response")).otherwise(F.col("error")))

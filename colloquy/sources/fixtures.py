@@ -141,12 +141,12 @@ def config_from(conv: DataFrame) -> DataFrame:
     sid = F.col("conv_id").cast("string")
     k = F.col("conv_id") % 4
     valid = F.concat(
-        F.lit('{"transcribe": {"speakers": "Therapist,Client", "num_speakers": 2}, '
+        F.lit('{"transcribe": {"speakers": "Therapist,Client", "num_speakers": 2, "min_speakers": 1, "max_speakers": 4}, '
               '"summarize": {"client_name": "Cfg-'), sid,
         F.lit('", "session_date": "2024-07-01", "base_url": "http://127.0.0.1:8000/v1", '
               '"model": "cfg-model", "template": "dap", "allow_remote": true}, '
               '"redact": {"enabled": true, "names": "John"}}'))
-    wrong = F.lit('{"transcribe": {"num_speakers": "two", "speakers": ["A", "B"]}, '
+    wrong = F.lit('{"transcribe": {"num_speakers": "two", "max_speakers": 2.5, "speakers": ["A", "B"]}, '
                   '"summarize": {"client_name": 5, "allow_remote": "yes", "session_date": 20240701}, '
                   '"redact": {"enabled": 0, "names": ["x"]}}')
     boolint = F.lit('{"transcribe": {"num_speakers": true}, '
