@@ -7,7 +7,7 @@ written only for successes, and the report is one global aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import endpoint as ep
@@ -20,6 +20,8 @@ AUDIO_SUFFIX = ".wav"
 # ---------------------------------------------------------------------------
 
 OK, FAILED = "ok", "failed"
+NO_STAGE, TOTAL = "none", "total"
+STAGES = (NO_STAGE, "input", "summarize")
 
 
 def input_status(expected: DataFrame, words: DataFrame) -> DataFrame:
@@ -80,6 +82,32 @@ def report(outs: DataFrame) -> DataFrame:
     return outs.groupBy("status", "stage").agg(F.count(F.lit(1)).alias("n_sessions"))
 
 
+def observed_counts(outs: DataFrame, name: str = "outcomes") -> tuple[DataFrame, Observation]:
+    """``outs`` and an observation that its first action fills with the A6
+    totals: the job that writes the outcomes counts them on its way."""
+    seen = Observation(name)
+    stage = F.coalesce("stage", F.lit(NO_STAGE))
+    metrics = [F.count_if((F.col("status") == s) & (stage == t)).alias(f"{s}:{t}") for s in (OK, FAILED) for t in STAGES]
+    return outs.observe(seen, F.count(F.lit(1)).alias(TOTAL), *metrics), seen
+
+
+def report_observed(spark: SparkSession, seen: Observation) -> DataFrame:
+    """A6 totals from the observation: the rows of ``report``."""
+    got = dict(seen.get)
+    total = got.pop(TOTAL)
+    if total != sum(got.values()):
+        raise ValueError(f"{total} outcomes, {sum(got.values())} of a known status and stage")
+    rows = [(s, None if t == NO_STAGE else t, n) for (s, t), n in ((k.split(":"), n) for k, n in got.items()) if n]
+    return spark.createDataFrame(rows, "status string, stage string, n_sessions long")
+
+
+def write_outcomes(outs: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Write the outcomes and report on them (A6) in one job."""
+    told, seen = observed_counts(outs)
+    told.write.mode(mode).parquet(path)
+    return report_observed(outs.sparkSession, seen)
+
+
 def failed_names(outs: DataFrame) -> DataFrame:
     """A6 names: failed inputs; order them by ``input_name`` when shown."""
     return outs.where(F.col("status") == FAILED).select("input_name", "stage", "reason")
