@@ -3,10 +3,14 @@
 DataFrame functions alone. Calls and results are rows (conv_id, turn, call_id,
 ...); a call may name calls that it depends on.
 
-* Linking: one row for each (conv_id, call_id). The first call of an
-  identifier counts, further ones are ``duplicate_id``; results are brought
-  together by identifier first, so that the hash join has one row a side; the
-  earliest result is linked. A result without a call is an ``orphan_result``.
+* Linking: every call and every result has a row. The first call of a
+  (conv_id, call_id), by turn and then content, is linked with its earliest
+  result by a hash join of one row a side; their row counts both. Further calls
+  (``duplicate_id``), further results (``extra_result``), results without a call
+  (``orphan_result``) and rows without a conv_id, call_id or turn (``no_id``)
+  keep their payload in rows of their own; ``n_calls`` and ``n_results`` are
+  null there but for orphans. Rows are told apart by a number that is written
+  once, so an identifier that holds a third of all rows is only ever aggregated.
 * Order: ``(order_key, order_hop, turn)`` sorts each conversation so that every
   call follows those it depends on and otherwise keeps its turn. The key is the
   latest turn among the call and all it depends on, the hop the number of steps
@@ -15,22 +19,27 @@ DataFrame functions alone. Calls and results are rows (conv_id, turn, call_id,
   conversation's calls being distinct, a call that is reached from itself shows
   as its own key with a hop: it lies on a cycle, which is cut at that call.
 * Validation: the arguments must be one JSON object (nothing after it) whose
-  fields fit the tool's schema.
+  fields fit the tool's schema. An integer is judged by value, as JSON Schema
+  does: 1.0 and 1e2 are integers.
 * Canonical JSON: keys sorted at every level, no white space, by way of the
-  variant type, whose objects are sorted.
+  variant type, whose objects are sorted; numbers in their shortest form (1.0
+  and 1e2 become 1 and 100).
 
-Defined results: rows with a null conv_id, call_id or turn are left out; a
-null name has no schema; null arguments are not JSON; several calls in one
+Defined results: a null name has no schema; null arguments are not JSON; several calls in one
 turn are told apart by call_id; dependencies on unknown calls are reported as
-``unknown_dependency``; empty tables give no rows.
+``unknown_dependency``, those of further calls are not followed; texts of any
+length are parsed whole; other columns are not looked at; empty tables give no
+rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Workspace, saved
 
 END = "#end"
 
@@ -59,9 +68,11 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
               .withColumn("_map", F.when(F.col("_object").isNotNull(), F.from_json("arguments", "map<string,variant>"))))
 
     def broken(f: Column) -> Column:
-        got = json_kind(F.col("_map")[f["field"]])
+        value = F.col("_map")[f["field"]]
+        got = json_kind(value)
         has = F.map_contains_key(F.col("_map"), f["field"])
-        fits = (got == f["kind"]) | ((f["kind"] == "number") & (got == "integer"))
+        whole = F.coalesce(F.try_variant_get(value, "$", "decimal(38,12)") % 1 == 0, F.try_variant_get(value, "$", "double") % 1 == 0)
+        fits = (got == f["kind"]) | ((f["kind"] == "number") & (got == "integer")) | ((f["kind"] == "integer") & (got == "number") & whole)
         return F.when(~has, F.when(f["required"], F.concat(F.lit("missing:"), f["field"]))).when(~fits, F.concat(F.lit("type:"), f["field"]))
 
     known = F.transform(F.col("_fields"), lambda f: f["field"])
@@ -73,7 +84,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return parsed.withColumn("errors", errors).drop("_map", "_fields")
 
 
-def _order(calls: DataFrame, needs: DataFrame) -> DataFrame:
+def _order(saved: Callable[[DataFrame, str], DataFrame], calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, order_key, order_hop, cyclic) of the calls that a
     dependency on a later call moves; ``needs(conv_id, call_id, turn,
     on_id, on_turn)``, positions as structs (turn, call_id)."""
@@ -102,43 +113,76 @@ def _order(calls: DataFrame, needs: DataFrame) -> DataFrame:
             F.coalesce("best.h", "order_hop").alias("order_hop"), "cyclic"), "order")
 
 
+def _message(arguments: Column, content: Column) -> Column:
+    """Canonical JSON of a row: keys sorted, a null field left out."""
+    sound = F.col("_object").isNotNull()
+    body = F.to_json(F.struct(F.when(sound, F.col("_object")).alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
+                              F.when(~sound, arguments).alias("raw"), content.alias("result")))
+    return F.to_json(F.try_parse_json(body)).alias("message")
+
+
+def _alone(rows: DataFrame, status: Column, schemas: DataFrame) -> DataFrame:
+    """Calls and results that are linked with nothing, as rows of ``link_calls``."""
+    checked = validated(rows, schemas)
+    errors = F.when(F.col("is_call"), F.array_join("errors", ",")).otherwise("")
+    count = F.lit(None).cast("long")
+    return checked.select(
+        "conv_id", "call_id", F.when(F.col("is_call"), F.col("turn")).alias("turn"), "name", status.alias("status"),
+        count.alias("n_calls"), count.alias("n_results"), F.when(~F.col("is_call"), F.col("turn")).alias("result_turn"),
+        F.col("turn").alias("order_key"), F.lit(0).alias("order_hop"), errors.alias("errors"), _message(F.col("arguments"), F.col("content")))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each identifier of ``calls(conv_id, turn, call_id, name,
-    arguments, depends_on)`` and ``results(conv_id, turn, call_id, content)``:
+    """The rows of ``calls(conv_id, turn, call_id, name, arguments,
+    depends_on)`` and ``results(conv_id, turn, call_id, content)``, linked:
     (conv_id, call_id, turn, name, status, n_calls, n_results, result_turn,
     order_key, order_hop, errors, message)."""
+    with Workspace(calls.sparkSession, "chat-tools") as ws:
+        return saved(_linked(ws, calls, results, schemas), "linked")
+
+
+def _linked(ws: Workspace, calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     ids = ["conv_id", "call_id"]
     real = " and ".join(f"{c} is not null" for c in (*ids, "turn"))
-    asked = (calls.where(real).groupBy(*ids).agg(
-        F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count("*").alias("n_calls"))
-        .select(*ids, "c.turn", "c.name", "c.arguments", "c.depends_on", "n_calls", F.struct("c.turn", "call_id").alias("at")))
-    asked = saved(asked, "calls")
-    given = (results.where(real).groupBy(*ids).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-             .select(*ids, F.col("r.turn").alias("result_turn"), "r.content", "n_results"))
+    said = ["turn", "name", "arguments", "depends_on"]
+    calls = ws.saved(calls.select(*ids, *said).withColumn("_row", F.monotonically_increasing_id()), "calls")
+    results = ws.saved(results.select(*ids, "turn", "content").withColumn("_row", F.monotonically_increasing_id()), "results")
+    asked = (calls.where(real).groupBy(*ids).agg(F.min(F.struct(*said, "_row")).alias("c"), F.count("*").alias("n_calls"))
+             .select(*ids, *(f"c.{x}" for x in said), "n_calls", F.struct("c.turn", "call_id").alias("at"), "c._row"))
+    asked = ws.saved(asked, "asked")
+    given = (results.where(real).groupBy(*ids).agg(F.min(F.struct("turn", "content", "_row")).alias("r"), F.count("*").alias("n_results"))
+             .select(*ids, F.col("r.turn").alias("result_turn"), "r.content", "n_results", "r._row"))
+    given = ws.saved(given, "given")
 
     wanted = asked.select(*ids, "at", F.explode(F.array_distinct("depends_on")).alias("on_id")).where("on_id is not null")
     places = asked.select("conv_id", F.col("call_id").alias("on_id"), F.col("at").alias("on_at"))
-    needs = saved(wanted.join(places, ["conv_id", "on_id"], "left"), "dependencies")
+    needs = ws.saved(wanted.join(places, ["conv_id", "on_id"], "left"), "dependencies")
     dangling = needs.where("on_at is null").select(*ids).distinct().withColumn("dangling", F.lit(True))
     # only conversations with a dependency on a later call need rounds
     twisted = needs.where("on_at >= at").select("conv_id").distinct()
-    moved = _order(asked.join(twisted, "conv_id", "left_semi"),
+    moved = _order(ws.saved, asked.join(twisted, "conv_id", "left_semi"),
                    needs.where("on_at is not null").join(twisted, "conv_id", "left_semi").drop("on_at"))
 
-    checked = validated(asked, schemas)
-    both = (checked.join(given.hint("shuffle_hash"), ids, "full_outer")
+    checked = validated(asked.drop("_row"), schemas)
+    both = (checked.join(given.drop("_row").hint("shuffle_hash"), ids, "full_outer")
             .join(moved.select(*ids, "order_key", "order_hop", "cyclic"), ids, "left").join(dangling, ids, "left"))
-    status = (F.when(F.col("turn").isNull(), "orphan_result").when(F.col("n_calls") > 1, "duplicate_id")
+    status = (F.when(F.col("turn").isNull(), "orphan_result")
               .when(F.coalesce("cyclic", F.lit(False)), "cycle").when(F.coalesce("dangling", F.lit(False)), "unknown_dependency")
               .when(F.col("result_turn").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "result_before_call")
               .when(F.size("errors") > 0, "invalid").otherwise("linked"))
-    sound = F.col("_object").isNotNull()
-    # keys come out sorted; a null field is left out
-    body = F.to_json(F.struct(F.when(sound, F.col("_object")).alias("arguments"), F.col("call_id").alias("id"), F.col("name"),
-                              F.when(~sound, F.col("arguments")).alias("raw"), F.col("content").alias("result")))
     key = F.coalesce(F.col("order_key.turn"), F.col("turn"), F.col("result_turn"))
-    return both.select(
+    linked = both.select(
         *ids, "turn", "name", status.alias("status"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).alias("n_results"), "result_turn", key.alias("order_key"),
         F.coalesce("order_hop", F.lit(0)).alias("order_hop"), F.array_join(F.coalesce("errors", F.array().cast("array<string>")), ",").alias("errors"),
-        F.to_json(F.try_parse_json(body)).alias("message"))
+        _message(F.col("arguments"), F.col("content")))
+
+    # every other row, told by its number from the one that counts
+    unnamed = F.expr(f"not ({real})")
+    null = F.lit(None).cast("string")
+    more = calls.join(asked.select("_row"), "_row", "left_anti").select(
+        *ids, "turn", "name", "arguments", null.alias("content"), F.lit(True).alias("is_call"))
+    extra = results.join(given.select("_row"), "_row", "left_anti").select(
+        *ids, "turn", null.alias("name"), null.alias("arguments"), "content", F.lit(False).alias("is_call"))
+    status = F.when(unnamed, "no_id").when(F.col("is_call"), "duplicate_id").otherwise("extra_result")
+    return linked.union(_alone(more.union(extra), status, schemas))

@@ -138,7 +138,7 @@ def linked(spark, calls, results):
     out = chat_tools.link_calls(spark.createDataFrame(calls, CALLS),
                                 spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"),
                                 spark.createDataFrame(queries.SCHEMAS, queries.TOOLS))
-    return {(r.conv_id, r.call_id): r for r in out.collect()}
+    return {(r.conv_id, r.call_id): r for r in out.collect() if r.status not in ("no_id", "duplicate_id", "extra_result")}
 
 
 def test_calls_are_linked_validated_and_ordered(spark):
@@ -152,7 +152,7 @@ def test_calls_are_linked_validated_and_ordered(spark):
     assert got[1, "a"].status == "linked" and (got[1, "a"].result_turn, got[1, "a"].n_results) == (2, 2)
     assert json.loads(got[1, "a"].message) == {"arguments": {"limit": 3, "query": "q"}, "id": "a", "name": "lookup", "result": "one"}
     assert got[1, "a"].message == json.dumps(json.loads(got[1, "a"].message), sort_keys=True, separators=(",", ":"))
-    assert got[1, "b"].status == "duplicate_id" and got[1, "b"].errors == "missing:query,type:limit,unknown:z"
+    assert got[1, "b"].status == "no_result" and got[1, "b"].n_calls == 2 and got[1, "b"].errors == "missing:query,type:limit,unknown:z"
     assert got[1, "c"].status == "result_before_call"
     assert got[1, "d"].status == "unknown_dependency" and got[1, "d"].errors == "not_json_object"
     assert got[3, "o"].status == "orphan_result"
@@ -178,15 +178,93 @@ def test_order_is_topological_on_random_graphs(spark):
     assert not any(r.status == "cycle" for r in got.values())
 
 
-def test_tool_query_counts_against_python(spark):
-    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
-    calls = {(r.conv_id, f"call-{r.conv_id}-{r.turn}") for r in rows if r.role == "assistant"}
-    results = {(r.conv_id, f"call-{r.conv_id}-{r.turn - 1}") for r in rows if r.role == "user" and r.turn > 0}
-    got = queries.QUERIES["op2_chat_tools"](spark, SF).collect()
-    assert {(r.conv_id, r.call_id) for r in got} == calls | results
-    assert {(r.conv_id, r.call_id) for r in got if r.status == "orphan_result"} == results - calls
-    for r in got:
-        if r.errors != "not_json_object" and r.turn is not None:
+def test_no_call_and_no_result_is_lost(spark):
+    """Every input row is an output row, or the linked partner of one."""
+    ok = '{"query": "q", "limit": 1.0}'
+    calls = [(1, 1, "a", "lookup", ok, None), (1, 4, "a", "search", '{"query": 5}', ["x"]), (1, 1, "a", "lookup", ok, None),
+             (None, 1, "a", "lookup", ok, None), (1, None, "a", "lookup", "junk", None), (1, 2, None, None, None, None), (2, 1, "h", "lookup", ok, None)]
+    calls += [(7, 1, "hot", "lookup", ok, None)] * 60
+    results = [(1, 9, "a", "late"), (1, 2, "a", "first"), (1, 2, "a", "first"), (1, 3, None, "lost"), (None, None, None, None), (3, 1, "o", "x"), (3, 2, "o", "y")]
+    tables = (spark.createDataFrame([(*c, "x", "y") for c in calls], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>, status string, message string"),
+              spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), spark.createDataFrame(queries.SCHEMAS, queries.TOOLS))
+    got = chat_tools.link_calls(*tables).collect()
+    by = lambda s: sorted(((r.conv_id, r.call_id, r.turn, r.result_turn, json.loads(r.message).get("result")) for r in got if r.status == s), key=str)
+    assert by("linked") == [(1, "a", 1, 2, "first")]  # 1.0 is an integer
+    assert by("duplicate_id") == sorted([(1, "a", 1, None, None), (1, "a", 4, None, None)] + [(7, "hot", 1, None, None)] * 59, key=str)
+    assert by("extra_result") == sorted([(1, "a", None, 2, "first"), (1, "a", None, 9, "late"), (3, "o", None, 2, "y")], key=str)
+    assert by("orphan_result") == [(3, "o", None, 1, "x")]
+    assert by("no_id") == sorted([(None, "a", 1, None, None), (1, "a", None, None, None), (1, None, 2, None, None), (1, None, None, 3, "lost"),
+                                  (None, None, None, None, None)], key=str)
+    assert by("no_result") == sorted([(2, "h", 1, None, None), (7, "hot", 1, None, None)], key=str)
+    assert len(got) == len(calls) + len(results) - 1  # one pair is linked
+    assert [r.errors for r in got if r.status == "duplicate_id" and r.turn == 4] == ["type:query"]
+    empty = [t.limit(0) for t in tables[:2]]
+    assert chat_tools.link_calls(*empty, tables[2]).count() == 0
+
+
+@pytest.mark.parametrize("value,good", [("1", True), ("1.0", True), ("1e2", True), ("-0.0", True), ("1.5", False), ("1e-3", False), ('"1"', False), ("true", False),
+                                        ("9007199254740993.5", False), ("123456789012345678901234567890", True)])
+def test_integers_are_judged_by_value(spark, value, good):
+    row = linked(spark, [(1, 1, "a", "search", f'{{"query":"q","limit":{value}}}', None)], [(1, 2, "a", "r")])[1, "a"]
+    assert row.errors == ("" if good else "type:limit")
+
+
+def plain_errors(name, arguments):
+    try:
+        value = json.loads(arguments)
+    except ValueError:
+        return "not_json_object"
+    out = []
+    for tool, field, kind, required in queries.SCHEMAS:
+        if tool != name:
+            continue
+        if field not in value:
+            out += [f"missing:{field}"] if required else []
+            continue
+        v = value[field]
+        fits = {"string": isinstance(v, str), "boolean": isinstance(v, bool), "integer": isinstance(v, int) and not isinstance(v, bool),
+                "number": isinstance(v, int | float) and not isinstance(v, bool)}[kind]
+        out += [] if fits else [f"type:{field}"]
+    known = {f for t, f, _, _ in queries.SCHEMAS if t == name}
+    return ",".join(sorted(out + [f"unknown:{k}" for k in value if k not in known]))
+
+
+def test_tool_query_against_python(spark):
+    """Status, order and errors of every row, recomputed."""
+    calls, results = (t.collect() for t in queries.tool_rows(spark.read.parquet(f"{SF}/conversations.parquet")))
+    asked = {(r.conv_id, r.call_id): r for r in calls}
+    given = {(r.conv_id, r.call_id): r for r in results}
+    assert len(asked) == len(calls) and len(given) == len(results)
+    rows = queries.QUERIES["op2_chat_tools"](spark, SF).collect()
+    got = {(r.conv_id, r.call_id): r for r in rows}
+    assert len(rows) == len(got) and set(got) == set(asked) | set(given)
+
+    def on(k):
+        return [(k[0], d) for d in asked[k].depends_on if (k[0], d) in asked]
+
+    # each call depends on one other, so a cycle is two calls that name each other; the later one is cut
+    cut = {k for k in asked for d in on(k) if k in on(d) and asked[d].turn < asked[k].turn}
+
+    def order(k):
+        best = (asked[k].turn, 0)
+        for d in (on(k) if k not in cut else []):
+            turn, hop = order(d)
+            if turn >= asked[k].turn:
+                best = max(best, (turn, hop + 1))
+        return best
+
+    for k, r in got.items():
+        if k not in asked:
+            assert r.status == "orphan_result" and r.order_key == given[k].turn
+            continue
+        c = asked[k]
+        errors = plain_errors(c.name, c.arguments)
+        assert r.errors == errors and (r.order_key, r.order_hop) == order(k), k
+        missing = any((k[0], d) not in asked for d in c.depends_on)
+        result = given[k].turn if k in given else None
+        assert r.status == ("cycle" if k in cut else "unknown_dependency" if missing else "no_result" if result is None
+                            else "result_before_call" if result <= c.turn else "invalid" if errors else "linked"), k
+        if errors != "not_json_object":
             assert r.message == json.dumps(json.loads(r.message), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
