@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, saved: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of
-    ``links(a, b)``, both long. Links are undirected; loops and repeats do
+    ``links(a, b)``, both long; ``saved`` writes and rereads each round. Links are undirected; loops and repeats do
     no harm.
 
     Alternates two steps until nothing changes (the star contraction of

@@ -15,7 +15,8 @@ links reach; copies are never expanded into pairs.
    are joined to components. A group that is one component is settled: a group
    of thousands of near copies costs a link or two each and not all pairs.
 4. In every other group those outside of its largest component meet all its
-   members, once for all groups with the same members. Then any two nodes that
+   members, once for all groups with the same members or, up to the size of a
+   slice, the same least member. Then any two nodes that
    could link have met or are connected already, so no link is lost.
 
 Before sets meet, their sketches do: the numbers of elements in 256 parts of the
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, saved, signed, word_hashes
+from .common import gram_hashes, mix, saved, signed, tidied, word_hashes, Workspace
 from .components import connected_components
 
 SLICE = 1000  # sets on one side of a task
@@ -114,8 +115,8 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
         levels = [np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["run", "levels"])
 
-    counted = texts.mapInArrow(count, "run int, place binary, times binary").repartition("run")
-    found = counted.mapInArrow(total, "run int, levels binary").toArrow()
+    counted = texts.mapInArrow(tidied(count), "run int, place binary, times binary").repartition("run")
+    found = counted.mapInArrow(tidied(total), "run int, levels binary").toArrow()
     out = np.zeros(BUCKETS, np.uint8)
     for k, levels in zip(found.column("run").to_pylist(), found.column("levels").to_pylist()):
         out[k * RUN:(k + 1) * RUN] = np.frombuffer(levels, np.uint8)
@@ -254,7 +255,7 @@ class Join:
                                                   pa.array(k2, pa.int64()), lists, pa.array(sketches, pa.binary())],
                                                  ["id", "size", "k1", "k2", "prefix", "sketch"])
 
-        return self.texts.mapInArrow(run, "id long, size long, k1 long, k2 long, prefix array<long>, sketch binary")
+        return self.texts.mapInArrow(tidied(run), "id long, size long, k1 long, k2 long, prefix array<long>, sketch binary")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The rows of ``pairs(size, sketch, size2, sketch2, ...)`` that may link."""
@@ -264,7 +265,7 @@ class Join:
             for b in batches:
                 yield b.filter(pa.array(may_link(_rows(b, "size", "sketch"), _rows(b, "size2", "sketch2"), numerator, denominator)))
 
-        return pairs.mapInArrow(run, pairs.schema)
+        return pairs.mapInArrow(tidied(run), pairs.schema)
 
     def survivors(self, rows: DataFrame) -> DataFrame:
         """(gram, id) of ``rows(group, i, j, id, component, pivot, size, sketch)``
@@ -304,7 +305,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["id", "grams"])
 
-        return self.texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, grams array<long>")
+        return self.texts.join(ids, "id", "left_semi").mapInArrow(tidied(run), "id long, grams array<long>")
 
     def meet(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (a, b) of the sets that meet in each slice of each group:
@@ -344,6 +345,19 @@ def _distinct(told: DataFrame) -> DataFrame:
     return told.join(groups.where("lo < hi").groupBy("n", "k").agg(F.min("gram").alias("gram")).select("gram"), "gram")
 
 
+def _merged(told: DataFrame) -> DataFrame:
+    """The groups of ``told(gram, id, ...)``, those with the same least node as
+    one if it fits into a slice: texts that share a passage share many grams,
+    and their sets then travel once and not once a gram."""
+    least = told.join(told.groupBy("gram").agg(F.min("id").alias("least")), "gram")
+    united = least.drop("gram").dropDuplicates(["least", "id"])
+    sizes = united.groupBy("least").agg(F.count("*").alias("n"))
+    joined = united.join(sizes.where(F.col("n") <= SLICE).select("least"), "least")
+    apart = least.join(sizes.where(F.col("n") > SLICE).select("least"), "least")
+    rest = [c for c in told.columns if c != "gram"]
+    return joined.select(F.xxhash64("least").alias("gram"), *rest).union(apart.select("gram", *rest)).dropDuplicates(["gram", "id"])
+
+
 def _dealt(told: DataFrame) -> DataFrame:
     """Rows ``told(gram, id, component, ...)`` of groups, dealt to tasks (group,
     i, j): those outside of a group's largest component as pivots in slice i,
@@ -365,49 +379,50 @@ def _dealt(told: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, by: str = "doc_id",
             text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
-    join = Join(docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("text")),
-                n, numerator, denominator)
-    made = saved(join.prefixes(), "prefixes")
-    # equal sets are one node
-    nodes = made.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("id").alias("node"))
-    member = saved(made.where("size > 0").select("id", "size", "k1", "k2").join(nodes, ["size", "k1", "k2"]).select("id", "node", "size"), "member")
-    heads = member.where("id = node").select("id").distinct()
-    # groups: nodes that share an element of their prefixes
-    one = Window.partitionBy("gram")
-    posted = made.where("size > 0").join(heads, "id", "left_semi").select("id", "size", F.explode("prefix").alias("gram"))
-    # without a neighbour of fitting size in the order of sizes there is no partner
-    by_size = one.orderBy("size", "id")
-    posted = posted.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
-    posted = posted.where((F.col("size") * numerator <= F.col("below") * denominator) | (F.col("above") * numerator <= F.col("size") * denominator))
-    grouped = saved(posted.withColumn("least", F.min(F.struct("id", "size")).over(one)).select("gram", "id", "size", "least"), "groups")
-    sketches = made.select("id", "size", "sketch").groupBy("id", "size").agg(F.min("sketch").alias("sketch"))
-
-    # every node meets the least node of its groups
-    fits = F.col("size") * numerator <= F.col("least.size") * denominator
-    fits &= F.col("least.size") * numerator <= F.col("size") * denominator
-    stars = grouped.where(fits & (F.col("id") != F.col("least.id"))).select(
-        "id", "size", F.col("least.id").alias("hub"), F.col("least.size").alias("size2")).distinct()
-    hubs = sketches.select(F.col("id").alias("hub"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
-    stars = saved(join.likely(stars.join(sketches, ["id", "size"]).join(hubs, ["hub", "size2"])).select("hub", "id"), "stars")
-    sized = stars.join(stars.groupBy("hub").agg(F.count("*").alias("n")), "hub").withColumn(
-        "slice", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SLICE)).cast("int"))
-    place = [F.col("hub").alias("group"), F.lit(0).alias("i"), F.col("slice").alias("j")]
-    tasks = saved(sized.select(*place, "id", F.lit(False).alias("pivot"))
-                  .union(sized.select(*place, F.col("hub").alias("id"), F.lit(True).alias("pivot")).distinct())
-                  .withColumn("component", F.col("id")), "tasks")
-    links = saved(join.meet(tasks, join.sets(tasks.select("id").distinct())), "links")
-    parts = connected_components(links).withColumnRenamed("node", "id")
-
-    # groups of several components: once for all groups with the same members
-    told = grouped.select("gram", "id", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    told = saved(_distinct(told), "open")
-    rows = saved(join.survivors(saved(_dealt(told).join(sketches, ["id", "size"]), "dealt")), "survivors")
-    left = _distinct(told.drop("size").join(rows, ["gram", "id"]))
-    more = saved(_dealt(left), "dealt")
-    links = links.union(saved(join.meet(more, join.sets(more.select("id").distinct())), "links"))
-
-    # equal sets hang together too
-    whole = connected_components(links.union(member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
-    sizes = made.groupBy("id").agg(F.max("size").alias("n_shingles"))
-    return (sizes.join(whole.withColumnRenamed("node", "id"), "id", "left")
-            .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")))
+    with Workspace(docs.sparkSession, "jaccard") as ws:
+        join = Join(docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("text")),
+                    n, numerator, denominator)
+        made = ws.saved(join.prefixes(), "prefixes")
+        # equal sets are one node
+        nodes = made.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("id").alias("node"))
+        member = ws.saved(made.where("size > 0").select("id", "size", "k1", "k2").join(nodes, ["size", "k1", "k2"]).select("id", "node", "size"), "member")
+        heads = member.where("id = node").select("id").distinct()
+        # groups: nodes that share an element of their prefixes
+        one = Window.partitionBy("gram")
+        posted = made.where("size > 0").join(heads, "id", "left_semi").select("id", "size", F.explode("prefix").alias("gram"))
+        # without a neighbour of fitting size in the order of sizes there is no partner
+        by_size = one.orderBy("size", "id")
+        posted = posted.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
+        posted = posted.where((F.col("size") * numerator <= F.col("below") * denominator) | (F.col("above") * numerator <= F.col("size") * denominator))
+        grouped = ws.saved(posted.withColumn("least", F.min(F.struct("id", "size")).over(one)).select("gram", "id", "size", "least"), "groups")
+        sketches = made.select("id", "size", "sketch").groupBy("id", "size").agg(F.min("sketch").alias("sketch"))
+
+        # every node meets the least node of its groups
+        fits = F.col("size") * numerator <= F.col("least.size") * denominator
+        fits &= F.col("least.size") * numerator <= F.col("size") * denominator
+        stars = grouped.where(fits & (F.col("id") != F.col("least.id"))).select(
+            "id", "size", F.col("least.id").alias("hub"), F.col("least.size").alias("size2")).distinct()
+        hubs = sketches.select(F.col("id").alias("hub"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+        stars = ws.saved(join.likely(stars.join(sketches, ["id", "size"]).join(hubs, ["hub", "size2"])).select("hub", "id"), "stars")
+        sized = stars.join(stars.groupBy("hub").agg(F.count("*").alias("n")), "hub").withColumn(
+            "slice", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SLICE)).cast("int"))
+        place = [F.col("hub").alias("group"), F.lit(0).alias("i"), F.col("slice").alias("j")]
+        tasks = ws.saved(sized.select(*place, "id", F.lit(False).alias("pivot"))
+                      .union(sized.select(*place, F.col("hub").alias("id"), F.lit(True).alias("pivot")).distinct())
+                      .withColumn("component", F.col("id")), "tasks")
+        links = ws.saved(join.meet(tasks, join.sets(tasks.select("id").distinct())), "links")
+        parts = connected_components(links, ws.saved).withColumnRenamed("node", "id")
+
+        # groups of several components: once for all groups with the same members
+        told = grouped.select("gram", "id", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        told = ws.saved(_merged(_distinct(told)), "open")
+        rows = ws.saved(join.survivors(ws.saved(_dealt(told).join(sketches, ["id", "size"]), "dealt")), "survivors")
+        left = _distinct(told.drop("size").join(rows, ["gram", "id"]))
+        more = ws.saved(_dealt(left), "dealt")
+        links = links.union(ws.saved(join.meet(more, join.sets(more.select("id").distinct())), "links"))
+
+        # equal sets hang together too
+        whole = connected_components(links.union(member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))), ws.saved)
+        sizes = made.groupBy("id").agg(F.max("size").alias("n_shingles"))
+        return saved(sizes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(
+            "id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "similar")
