@@ -8,6 +8,7 @@ few kilobytes (or one word), which bounds the memory of a task whatever the batc
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -201,6 +202,30 @@ def run_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * _STEP)
 
 
+#: Bytes of a batch that goes to a Python worker, whatever the rows' number and length.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES`` from now on, on both sides of the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+           ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives the memory it no longer holds back to the system at
+    the end of a task: a worker process outlives its stage."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return outer
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, whatever their Python path is."""
     context = spark.sparkContext

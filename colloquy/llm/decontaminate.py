@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, held, run_hashes, text_buffers, word_hashes
+from .common import gram_hashes, held, run_hashes, text_buffers, tidied, word_hashes
 from .wordlists import groups as groups_of
 
 RATE = 0.2
@@ -366,7 +366,7 @@ def _finding(docs: DataFrame, benchmark: DataFrame, text: str, rate: float,
                 yield report(b, finder.find(np.concatenate(parts), np.concatenate(bounds)))
 
     kept = [f.name for f in schema.fields if f.name in docs.columns]
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", rate: float = RATE) -> DataFrame:

@@ -4,8 +4,9 @@ Learning: a bounded sample of labelled text per language becomes one suffix
 automaton per language (letters only, any run of other characters is one
 blank, and none before the first letter). Prediction: every text is parsed, from its first to its last
 character, into the longest matches that the automaton offers, greedily; the
-language that needs the fewest phrases explains the text best (the phrase
-count times log length is the cross entropy estimate of Ziv and Merhav).
+language with the least cross entropy explains the text best: its number of
+phrases times the log of its sample's length, by the length of the text (the
+estimate of Ziv and Merhav; the text's length is the same for all).
 
 Every letter of a sample keeps its identity, whatever the script; letters that
 no sample holds are one class, which no automaton knows.
@@ -14,16 +15,18 @@ The parse runs for thousands of text chunks at a time. The transitions of an
 automaton lie in one sparse table: a state is the place where its row begins,
 rows overlap, and each entry names the state that owns it. An entry of another
 state is a missing transition, which restarts from the root; so a step is a few
-table lookups for all chunks. A text longer than a chunk is cut into chunks that are parsed on their
-own; a cut adds at most one phrase, for each language alike.
+table lookups for all chunks. A text longer than a chunk is parsed as if it were
+whole: each chunk is parsed from its own start first, then again from where its
+predecessor ended, up to the place where both parses agree, which is soon; a
+text in which they do not within a chunk is parsed once more from end to end.
 
 Only the sample is held in memory: at most ``SAMPLE_DOCS`` documents and
 ``SAMPLE_CHARS`` characters for each of at most ``MAX_LANGS`` languages; more
 languages are an error.
 
 Defined results: a null text or one without letters is ``und`` with score 0; a
-tie goes to the alphabetically first language; without any labelled text all
-is ``und``; a null doc_id counts as the empty string; a null lang teaches
+tie goes to the alphabetically first language, so a text in a script of no
+sample gets that language with score 0; without any labelled text all is ``und``; a null doc_id counts as the empty string; a null lang teaches
 nothing.
 """
 
@@ -37,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, tidied
 
 SAMPLE_DOCS = 100
 SAMPLE_CHARS = 30_000
 MAX_LANGS = 200
 CHUNK = 512
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 UNKNOWN = "und"
 TRAIL = 2  # places behind the last row laid that the next one tries first
 
@@ -117,7 +120,9 @@ class Parser:
         for i in range(0x110000):
             if chr(i).isalpha():
                 self.classes[i] = place.get(chr(i).lower()[0], 1)
-        self.tables = [sparse_table(suffix_automaton(self.codes(samples[x])[0].tolist()), self.width) for x in self.langs]
+        learned = [self.codes(samples[x])[0].tolist() for x in self.langs]
+        self.sizes = [len(x) for x in learned]
+        self.tables = [sparse_table(suffix_automaton(x), self.width) for x in learned]
 
     def codes(self, text: str, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Classes of the characters with runs of blanks made one, and the
@@ -127,6 +132,26 @@ class Parser:
         keep[1:] |= raw[:-1] != 0
         return raw[keep], np.concatenate([[0], np.cumsum(keep)])[starts if starts is not None else [0]]
 
+    @staticmethod
+    def _step(table: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, does a phrase start) of one character for each state."""
+        owners, targets, root = table
+        at = state + codes
+        known = owners.take(at) == state
+        return np.where(known, targets.take(at), root.take(codes)), ~known
+
+    @staticmethod
+    def _whole(table: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray) -> int:
+        """Phrases of one text from end to end."""
+        owners, targets, root = (x.tolist() for x in table)
+        state = made = 0
+        for c in codes.tolist():
+            if owners[state + c] == state:
+                state = targets[state + c]
+            else:
+                state, made = root[c], made + 1
+        return made
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(has letters, phrases by language) of each text."""
         out = np.zeros((len(self.langs), len(texts)), np.int64)
@@ -134,7 +159,7 @@ class Parser:
         codes, at = self.codes("".join(x + " " for x in texts), at)
         has = np.add.reduceat(np.append(codes != 0, False), np.minimum(at[:-1], len(codes))) > 0
         has &= np.diff(at) > 0
-        n = np.diff(at)
+        n, begins = np.diff(at), at
         count = -(-n // CHUNK)
         owner = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -144,27 +169,49 @@ class Parser:
         codes = np.append(codes, np.zeros(CHUNK, codes.dtype))
         grid = codes[first[None, :] + np.arange(CHUNK)[:, None]] if len(first) else np.zeros((CHUNK, 0), codes.dtype)
         active = np.searchsorted(-size, -np.arange(CHUNK), "left")
-        for lang, (owners, targets, root) in enumerate(self.tables):
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        later = np.flatnonzero(nth[order] > 0)  # chunks with one before them, which lies in place ``before``
+        before = rank[order[later] - 1]
+        last = (nth == count[np.repeat(np.arange(len(texts)), count)] - 1)[order]
+        for lang, table in enumerate(self.tables):
             state, made = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
+            states, begun = np.zeros((CHUNK, len(first)), np.int32), np.zeros((CHUNK, len(first)), bool)
             for t in range(CHUNK):
                 a = active[t]
                 if a == 0:
                     break
-                at = state[:a] + grid[t, :a]
-                held = owners.take(at) == state[:a]
-                made[:a] += ~held
-                state[:a] = np.where(held, targets.take(at), root.take(grid[t, :a]))
+                state[:a], begun[t, :a] = self._step(table, state[:a], grid[t, :a])
+                states[t, :a] = state[:a]
+                made[:a] += begun[t, :a]
+            lost = np.zeros(len(texts), bool)
+            on, now, more, t = later, state[before], np.zeros(len(later), np.int32), 0
+            while len(on):
+                ended = size[on] <= t
+                if ended.any():  # the two parses did not meet
+                    lost[owner[on[ended & ~last[on]]]] = True
+                    made[on[ended]] += more[ended]
+                    on, now, more = on[~ended], now[~ended], more[~ended]
+                    continue
+                now, starts = self._step(table, now, grid[t, on])
+                more += starts.astype(np.int32) - begun[t, on]
+                met = now == states[t, on]
+                made[on[met]] += more[met]
+                on, now, more, t = on[~met], now[~met], more[~met], t + 1
             out[lang] = np.bincount(owner, made, len(texts))
+            for i in np.flatnonzero(lost).tolist():
+                out[lang, i] = self._whole(table, codes[begins[i]:begins[i + 1]])
         return has, out.T
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         has, n = self.phrases(texts)
-        best = n.argmin(axis=1)
-        least = n[np.arange(len(n)), best].astype(float)
+        cost = n * np.log(np.maximum(self.sizes, 2))
+        best = cost.argmin(axis=1)
+        least = cost[np.arange(len(n)), best]
         if len(self.langs) > 1:
-            second = np.partition(n, 1, axis=1)[:, 1]
+            second = np.partition(cost, 1, axis=1)[:, 1]
             score = 1 - least / np.maximum(second, 1)
         else:
             score = np.ones(len(n))
@@ -223,7 +270,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
                 [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 [*kept, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def rejected(pred: str = "lang_pred") -> Column:
