@@ -11,7 +11,8 @@ text is encoded as the concatenation of its pre-tokens. Each task encodes the
 pre-tokens that it has not met yet, many at a time and multithreaded, and
 keeps their ids in a bounded cache. With ``verify`` every such pre-token is
 also encoded by the ``sentencepiece`` library and decoded again: ``parity``
-and ``lossless`` of a text tell whether all its pre-tokens agree.
+of a text tells whether all its pre-tokens agree, ``lossless`` whether its ids
+decode to the text itself, before normalising.
 
 Defined results: a null text has null ids and no tokens, and counts as equal;
 an empty text has no ids. Texts of any length are handled pre-token by
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held
+from .common import held, tidied
 
 MARK = "▁"
 MAX_MODEL_BYTES = 64 << 20
@@ -193,13 +194,17 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
         """(little-endian 32-bit ids, parity, lossless) of each text."""
         find = self.model.unit.findall
-        units = [find(self.normalise(x)) if x else [] for x in texts]
+        whole = [self.normalise(x) if x else "" for x in texts]
+        units = [find(x) for x in whole]
         self._learn(set(itertools.chain.from_iterable(units)))
         get = self.cache.__getitem__
         ids = [b"".join(map(get, u)) for u in units]
+        # units that decode to themselves decode to the text with its marks as blanks
+        skip = 1 if self.model.dummy_prefix else 0
+        same = [not x or n.replace(MARK, " ")[skip:] == x for x, n in zip(texts, whole)]
         if not (self.bad[0] or self.bad[1]):
-            return [(i, True, True) for i in ids]
-        return [(i, self.bad[0].isdisjoint(u), self.bad[1].isdisjoint(u)) for i, u in zip(ids, units)]
+            return [(i, True, s) for i, s in zip(ids, same)]
+        return [(i, self.bad[0].isdisjoint(u), s and self.bad[1].isdisjoint(u)) for i, s, u in zip(ids, same, units)]
 
 
 def _codec(data: bytes, verify: bool) -> Codec:
@@ -249,7 +254,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", verify: bool = Tru
                     yield part(codec, b.slice(start, i + 1 - start), texts)
                     start, held, texts = i + 1, 0, []
 
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
@@ -269,4 +274,4 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
                 out = pa.array([None if x is None else t for x, t in zip(lists, texts)], pa.string())
                 yield pa.RecordBatch.from_arrays([*s.columns[:-1], out], [*kept, "decoded"])
 
-    return encoded.select(*kept, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return encoded.select(*kept, F.col(ids).alias("_ids")).mapInArrow(tidied(run), schema)
