@@ -18,7 +18,7 @@ no recall.
 Defined results: vectors that are null, zero, or hold null, NaN or infinite
 components take no part, neither as queries nor as candidates, and neither do
 rows without an id or of another dimension than the most common one; of rows
-that repeat an id each one is a candidate; a query never finds its own id; an
+that repeat an id each one is a candidate, and one asks: the least vector; a query never finds its own id; an
 empty table gives no rows.
 """
 
@@ -122,10 +122,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k``
     nearest of ``vectors`` other than itself."""
     spark = vectors.sparkSession
-    data, asked = usable(vectors, vec_id, embedding), usable(queries, vec_id, embedding)
+    data = usable(vectors, vec_id, embedding)
+    asked = usable(queries, vec_id, embedding)
     sizes = data.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim, total = (sizes[0]["d"], sizes[0]["count"]) if sizes else (1, 0)
-    data, asked = data.where(F.size("v") == dim), asked.where(F.size("v") == dim)
+    data = data.where(F.size("v") == dim)
+    asked = asked.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     drawn = data.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(min(SAMPLE, BLOCK_BYTES // (8 * dim)))
     pivots = spread(np.array([r["v"] for r in drawn.collect()], np.float64).reshape(-1, dim))
     blocks = max(1, -(-total // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))))
