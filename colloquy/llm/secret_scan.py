@@ -66,6 +66,12 @@ KEEP_P = 0.001
 FDR = 0.01
 BIN = 0.05  # width of a bin of -log10 p
 MASK = "[SECRET]"
+STEP = 256  # matches whose offsets are added up together
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _spans(text: Column, pattern: str, kind: str, needs: str | None = None) -> Column:
@@ -80,15 +86,28 @@ def _spans(text: Column, pattern: str, kind: str, needs: str | None = None) -> C
     rank = len(KINDS) if kind == RANDOM else KINDS.index(kind)
     span = "struct<start:int,rank:int,kind:string,end:int,value:string>"
     none = F.array().cast(f"array<{span}>")
-    walked = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.array_append(acc["spans"], F.struct(
-                (acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["g"].alias("value"))).alias("spans")),
-        lambda acc: acc["spans"])
-    return F.when(text.rlike(needs or pattern), walked).otherwise(none)
+
+    def walked(some: Column) -> Column:
+        """(length of the text so far, spans) of some matches, from their first gap."""
+        return F.aggregate(
+            some, F.struct(F.lit(0).alias("at"), none.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
+                F.array_append(acc["spans"], F.struct(
+                    (acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+                    (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["g"].alias("value"))).alias("spans")))
+
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"),
+                                                     (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    # in blocks, as each step copies what it appends to
+    blocks = _let(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / STEP)), lambda i: walked(F.slice(p, i * STEP + 1, STEP))))
+    whole = F.aggregate(
+        blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span}>>").alias("all")),
+        lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["all"], moved(x["spans"], acc["at"])).alias("all")),
+        lambda acc: F.flatten(acc["all"]))
+    return F.when(text.rlike(needs or pattern), whole).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -99,14 +118,22 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Runs of encoding characters that no base span touches."""
+    """Runs of encoding characters that no base span touches. One walk over
+    both, by start: a run is open until another starts; a base span that starts
+    in it, or one before it that reaches into it, touches it."""
     runs = _spans(text, CANDIDATE, RANDOM)
-    return F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    span = "struct<start:int,rank:int,kind:string,end:int,value:string>"
+    start = F.struct(F.lit(None).cast(span).alias("open"), F.lit(0).alias("reach"), F.array().cast(f"array<{span}>").alias("free"))
 
+    def step(acc: Column, s: Column) -> Column:
+        closed = F.when(acc["open"].isNull(), acc["free"]).otherwise(F.array_append(acc["free"], acc["open"]))
+        run = F.struct(F.when(s["start"] >= acc["reach"], s).alias("open"), acc["reach"].alias("reach"), closed.alias("free"))
+        base_ = F.struct(F.when(s["start"] >= acc["open"]["end"], acc["open"]).alias("open"), F.greatest(acc["reach"], s["end"]).alias("reach"),
+                         acc["free"].alias("free"))
+        return F.when(s["kind"] == RANDOM, run).otherwise(base_)
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    end = lambda acc: F.when(acc["open"].isNull(), acc["free"]).otherwise(F.array_append(acc["free"], acc["open"]))
+    return F.when(F.size(base) == 0, runs).otherwise(F.aggregate(F.array_sort(F.concat(base, runs)), start, step, end))
 
 
 def _tail(z: Column) -> Column:

@@ -374,6 +374,28 @@ def test_base_spans_against_python(spark):
         assert all(b in r.spans for b in r.base)
 
 
+def test_candidates_are_the_runs_that_no_base_span_touches(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "STEP", 3)
+    pool = ["password=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", " ", "é", "-", "/", "QWERTYUIOPASDFGHJKLZ", "zxcvbnmasdfghjklqwer", "token=", "x"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(300)]
+    table = docs(spark, texts).withColumn("base", secret_scan.base_spans(F.col("text")))
+    some = 0
+    for r in table.withColumn("c", secret_scan.candidates(F.col("text"), F.col("base"))).collect():
+        runs = [(m.start(), m.end()) for m in re.finditer(secret_scan.CANDIDATE, r.text)]
+        free = [(a, b) for a, b in runs if not any(x.start < b and a < x.end for x in r.base)]
+        assert [(x.start, x.end) for x in r.c] == free
+        some += len(runs) > len(free) > 0
+    assert some > 20
+
+
+def test_a_long_list_of_hashes(spark):
+    """A megabyte of lines; the time grows in proportion, so this ends."""
+    line = "".join(random.Random(1).choice("0123456789abcdef") for _ in range(32))
+    r = secret_scan.scan(docs(spark, [(line + "\n") * 30_000])).select(F.size("spans").alias("n"), F.col("spans")[29_999]["start"].alias("s")).first()
+    assert (r.n, r.s) == (30_000, 33 * 29_999)
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     import base64
 
