@@ -177,6 +177,51 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_removed, 0)::BIGINT
 FROM words d LEFT JOIN (
   SELECT doc_id, sum(gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM covered GROUP BY doc_id) c
 USING (doc_id)""",
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) r USING (doc_id)""",
+    # crc32 bit by bit; repeated stretches of eight words propose periods, of which the maximal stretches are kept
+    "op11_periodic_runs": r"""
+WITH base AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, c:
+      list_reduce(range(8)::BIGINT[], lambda t, k: xor(t >> 1, (t & 1) * 3988292384), xor(crc, c)), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM documents),
+parts AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM base),
+turned AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE ws[1:a] || list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1]) END AS ws
+  FROM (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM parts) x),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM turned),
+eight AS (
+  SELECT doc_id, i, CASE WHEN count(*) OVER nx = 8 THEN string_agg(w, ' ') OVER nx END AS f FROM word
+  WINDOW nx AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+periods AS (SELECT DISTINCT x.doc_id, y.i - x.i AS q FROM eight x JOIN eight y ON x.doc_id = y.doc_id AND x.f = y.f AND x.i < y.i),
+same AS (
+  SELECT p.doc_id, p.q, x.i, x.i - row_number() OVER (PARTITION BY p.doc_id, p.q ORDER BY x.i) AS island
+  FROM periods p JOIN word x ON x.doc_id = p.doc_id JOIN word y ON y.doc_id = p.doc_id AND y.i = x.i + p.q AND y.w = x.w),
+kept AS (
+  SELECT doc_id, start, length, min(q) AS period FROM (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM same GROUP BY doc_id, q, island) s
+  WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM kept GROUP BY doc_id),
+gone AS (SELECT DISTINCT k.doc_id, w.i FROM kept k JOIN word w ON w.doc_id = k.doc_id AND w.i >= k.start + k.period AND w.i < k.start + k.length),
+left_ AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+       (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best b USING (doc_id) LEFT JOIN listed l USING (doc_id) LEFT JOIN left_ c USING (doc_id)""",
     "op12_collocations": rf"""
 WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
