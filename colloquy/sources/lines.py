@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SPLIT_COUNT = "spark.sql.files.minPartitionNum"
 CHANGED = "a file changed, or was split anew, while its lines were numbered"
 
 
@@ -23,8 +24,16 @@ def located(text_lines: DataFrame) -> DataFrame:
                              F.col("_metadata.file_block_start").alias("block"))
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix the size of file splits for the session: by default it follows the
+    number of cores, which changes when an executor is lost between two scans."""
+    if spark.conf.get(SPLIT_COUNT, None) is None:
+        spark.conf.set(SPLIT_COUNT, str(spark.sparkContext.defaultParallelism))
+
+
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``located`` lines of all files under ``path``, ended by line feeds alone."""
+    pin_splits(spark)
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
     return located((reader.option("pathGlobFilter", glob) if glob else reader).text(path))
 
