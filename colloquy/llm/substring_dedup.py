@@ -26,7 +26,8 @@ broadcast can hold, so it is cut in shards that meet the text they can match:
 
 Defined results: a null or empty text has no words; fewer words than a window
 are kept; rows without an id are kept whole and are no reference; rows that
-repeat an id don't remove each other's words.
+repeat an id don't remove each other's words. Stretches are named by two 64-bit
+hashes (of their anchor and of their words).
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def remove_repeats(docs: DataFrame, by: str = "doc_id", text: str = "text", wind
                     ["id", "h", "own", "words"])
 
     held = base.where("hs is not null").select("id", "text", "hs").mapInArrow(cut, "id long, h long, own long, words binary")
-    # equal stretches are one (the words tell them apart should hashes ever agree)
+    # equal stretches are one; from the last join on, a stretch is named by its two 64-bit hashes alone
     distinct = saved(held.groupBy("h", "own", "words").agg(F.min("id").alias("first")), "stretches")
     sizes = distinct.groupBy("h").count().where("count > 1")
     shared = distinct.join(sizes, "h")
