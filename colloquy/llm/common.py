@@ -18,6 +18,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -37,6 +38,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids (8 bytes each) that may be sent to every executor, so that long rows stay where they are.
+BROADCAST_IDS = 1_000_000
+
+
+def within(ids: DataFrame) -> DataFrame:
+    """``ids``, broadcast where a count shows that they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 class Workspace:
     """Tables of one computation in a folder of their own under the shared
     checkpoint folder, deleted with the folder when the ``with`` block ends.

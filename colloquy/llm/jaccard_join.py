@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, saved, signed, tidied, word_hashes, Workspace
+from .common import Workspace, gram_hashes, mix, saved, signed, tidied, within, word_hashes
 from .components import connected_components
 
 SLICE = 1000  # sets on one side of a task
@@ -386,10 +386,10 @@ def similar(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int =
         # equal sets are one node
         nodes = made.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("id").alias("node"))
         member = ws.saved(made.where("size > 0").select("id", "size", "k1", "k2").join(nodes, ["size", "k1", "k2"]).select("id", "node", "size"), "member")
-        heads = member.where("id = node").select("id").distinct()
+        copies = member.groupBy("id").agg(F.max(F.col("id") == F.col("node")).alias("head")).where("not head").select("id")
         # groups: nodes that share an element of their prefixes
         one = Window.partitionBy("gram")
-        posted = made.where("size > 0").join(heads, "id", "left_semi").select("id", "size", F.explode("prefix").alias("gram"))
+        posted = made.where("size > 0").join(within(copies), "id", "left_anti").select("id", "size", F.explode("prefix").alias("gram"))
         # without a neighbour of fitting size in the order of sizes there is no partner
         by_size = one.orderBy("size", "id")
         posted = posted.withColumn("below", F.lag("size").over(by_size)).withColumn("above", F.lead("size").over(by_size))
