@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontaminate, jaccard_join, language_id, secret_scan, sentencepiece_codec
-from colloquy.llm.common import saved, ship_package
+from colloquy.llm.common import bounded_batches, saved, ship_package, within
 from colloquy.llm.queries import MODEL
 from colloquy.session import read_table
 
@@ -21,6 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a language: null texts and texts without
     letters (all, where no document has a label)."""
     ship_package(spark)
+    bounded_batches(spark)
     samples = language_id.learn(docs.where(~language_id.is_held_out()))
     told = language_id.identify(docs, samples, keep=True)
     return told.where(~language_id.rejected()).select(docs.columns)
@@ -33,14 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     numbered first, a row goes only if its own text is linked to the one that
     stays, and that is the least by id (null last), then by a hash of its text."""
     ship_package(spark)
+    bounded_batches(spark)
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if again.isEmpty():
-        found = saved(jaccard_join.similar(docs, 5, 80, 100), "near")
+        found = jaccard_join.similar(docs, 5, 80, 100)
         dropped = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
-        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(within(dropped), "doc_id", "left_anti").select(docs.columns)
     # written once, the numbers stay what they are whatever task is run again
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = saved(jaccard_join.similar(rows, 5, 80, 100, by="_row"), "near")
+    found = jaccard_join.similar(rows, 5, 80, 100, by="_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
     several = found.join(found.groupBy("component_id").count().where("count > 1"), "component_id").select(F.col("id").alias("_row"), "component_id")
     several = rows.select("doc_id", "text", "_row").join(several, "_row").select("component_id", "_row", order.alias("o"))
@@ -53,6 +55,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Drops documents that hold a benchmark item up to a fifth of its words
     edited."""
     ship_package(spark)
+    bounded_batches(spark)
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -69,6 +72,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the SentencePiece ids of every text, verified."""
     ship_package(spark)
+    bounded_batches(spark)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(MODEL))
 
 
