@@ -4,20 +4,24 @@ Requests are dealt to batches by their content. The answers of a batch are
 committed to a table before the next batch is sent, and requests whose answer is
 there are not sent again, in this run or a later one: a run stopped between
 batches repeats nothing, a run stopped inside a batch repeats that batch at
-most. Tasks keep a rate of their own and try again, waiting longer each time,
+most. The requests are computed once and written by batch, so a batch reads its
+own rows alone, however many batches there are. Tasks keep a rate of their own and try again, waiting longer each time,
 where the endpoint or the client says that it might help. No speculative
 execution: it would send requests twice.
 """
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir, materialize
 from .notes import CLIENT_ERROR, KEYS, call_endpoint, sendable
 
 # ---------------------------------------------------------------------------
@@ -90,19 +94,20 @@ def answer_requests(requests: DataFrame, make_client: Callable[[], Client], path
     spark = requests.sparkSession
     if spark.conf.get("spark.speculation", "false") == "true":
         raise ValueError("calls under spark.speculation would be sent twice")
-    asked = sendable(requests).withColumn("call_id", call_id(keys)).dropDuplicates(["call_id"])
+    asked = sendable(requests).select(*keys, "gate", "url", "request").withColumn("call_id", call_id(keys))
+    asked = materialize(asked.dropDuplicates(["call_id"]), "asked")
     lasting = ~(F.col("status").between(SERVER_ERRORS.start, SERVER_ERRORS.stop - 1) | (F.col("status") == TOO_MANY))
-
-    def pending() -> DataFrame:
-        known = answers(requests, path, keys)
-        if again:
-            known = known.where(F.coalesce(lasting, F.lit(True)))
-        return asked.join(known.select("call_id"), "call_id", "left_anti")
-
-    n_batches = max(1, -(-pending().count() // per_batch))
-    batch = F.pmod(F.xxhash64("call_id"), F.lit(n_batches))
+    known = answers(requests, path, keys)
+    if again:
+        known = known.where(F.coalesce(lasting, F.lit(True)))
+    pending = asked.join(known.select("call_id"), "call_id", "left_anti")
+    n_batches = max(1, -(-pending.select("call_id").count() // per_batch))
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"batches-{uuid.uuid4().hex}")
+    dealt = pending.withColumn("_batch", F.pmod(F.xxhash64("call_id"), F.lit(n_batches)))
+    dealt.repartition("_batch").write.partitionBy("_batch").parquet(folder)
+    batches = spark.read.schema(dealt.schema).parquet(folder)
     for i in range(n_batches):
-        sent = pending().where(batch == i).repartition(tasks, "call_id")
+        sent = batches.where(F.col("_batch") == i).repartition(tasks, "call_id")
         call_endpoint(sent, make_client, ("call_id", *keys)).select("call_id", *keys, "status", "body").write.mode("append").parquet(path)
         if after_batch is not None:
             after_batch(i)

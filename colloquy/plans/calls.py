@@ -5,6 +5,7 @@ and redaction with many names (D6)."""
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,16 +25,24 @@ from ..streaming.incremental import scratch_dir
 from . import oracle as sql
 from .queries import note_outcomes, q_chat_requests, responses
 
-BUCKETS = 16  # files of recorded answers
+PER_BUCKET = 500  # recorded answers a bucket, on average: what a look-up reads
 
 
-def record(answers: DataFrame, path: str) -> None:
-    """``answers(session_id, status, body)`` for ``replay``, dealt to buckets."""
-    dealt = answers.select("session_id", "status", "body", F.pmod("session_id", F.lit(BUCKETS)).alias("bucket"))
+def bucket_of(session: object, buckets: int) -> int:
+    """In Python what ``record`` does in SQL."""
+    return zlib.crc32(str(session).encode()) % buckets
+
+
+def record(answers: DataFrame, path: str) -> int:
+    """``answers(session_id, status, body)`` for ``replay``, dealt to as many
+    buckets as keep each small; their number."""
+    buckets = max(1, -(-answers.count() // PER_BUCKET))
+    dealt = answers.select("session_id", "status", "body", F.pmod(F.crc32(F.col("session_id").cast("string")), F.lit(buckets)).alias("bucket"))
     dealt.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    return buckets
 
 
-def replay(path: str) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+def replay(path: str, buckets: int) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
     """A client that answers a session's request with what was recorded for it."""
 
     def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -41,11 +50,15 @@ def replay(path: str) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
 
         files, root = store(path)
 
+        def recorded(session: object) -> list[dict]:
+            try:
+                bucket = ds.dataset(f"{root}/bucket={bucket_of(session, buckets)}", filesystem=files, format="parquet")
+            except FileNotFoundError:  # nothing was recorded for any session of the bucket
+                return []
+            return bucket.to_table(["status", "body"], filter=ds.field("session_id") == session).to_pylist()[:1]
+
         def client(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for session in pdf["session_id"].tolist():
-                bucket = ds.dataset(f"{root}/bucket={session % BUCKETS}", filesystem=files, format="parquet")
-                out += bucket.to_table(["status", "body"], filter=ds.field("session_id") == session).to_pylist()[:1]
+            out = [answer for session in pdf["session_id"].tolist() for answer in recorded(session)]
             return pd.DataFrame(out, columns=["status", "body"])
 
         return client
@@ -58,8 +71,8 @@ def q_note_calls(spark: SparkSession, sf: str) -> DataFrame:
     batches, parsed answers."""
     base = scratch_dir(spark, "calls")
     recorded = os.path.join(base, "recorded")
-    record(responses(spark, sf).where("turn = 0"), recorded)
-    client = patient(replay(recorded), tries=2, first_wait=0.0)
+    buckets = record(responses(spark, sf).where("turn = 0"), recorded)
+    client = patient(replay(recorded, buckets), tries=2, first_wait=0.0)
     answered = answer_requests(q_chat_requests(spark, sf), client, os.path.join(base, "answers"), per_batch=500)
     return parse_responses(answered)
 

@@ -9,6 +9,7 @@ import pytest
 from colloquy.operators.calls import answer_requests, patient
 from colloquy.operators.notes import call_endpoint, gate_requests
 from colloquy.operators.settings import resolve_settings
+from colloquy.plans import calls
 from tests.conftest import rows
 
 SCHEMA = "session_id string, template_id string, gate string, url string, request string"
@@ -122,3 +123,30 @@ def test_a_configured_allow_remote_changes_the_gate(spark):
     r = {x.session_id: x for x in st.collect()}
     assert (r[1].min_speakers, r[1].max_speakers, r[2].min_speakers, r[2].max_speakers) == (2, 5, None, None)
     assert r[2].ignored == "transcribe.max_speakers,transcribe.min_speakers"
+
+
+def test_requests_are_computed_once_whatever_the_number_of_batches(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "answers")
+    log.mkdir()
+    built = spark.sparkContext.accumulator(0)
+
+    def build(batches):
+        for pdf in batches:
+            built.add(len(pdf))
+            yield pdf
+
+    asked = requests(spark, 40)
+    got = answer_requests(asked.mapInPandas(build, SCHEMA), logging_client(log), out, per_batch=4, tasks=2)
+    assert got.count() == 40 and len(sent(log)) == 40
+    assert built.value == asked.count()
+
+
+def test_recorded_answers_lie_in_small_buckets(spark, tmp_path):
+    path = str(tmp_path / "recorded")
+    data = [(i * 1024, 200, f"body {i}") for i in range(9000)]
+    buckets = calls.record(spark.createDataFrame(data, "session_id long, status int, body string"), path)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("bucket").count().collect()]
+    assert len(sizes) == buckets == 18 and max(sizes) < 2 * calls.PER_BUCKET
+    client = calls.replay(path, buckets)()
+    out = client(pd.DataFrame({"session_id": [0, 1024, 8999 * 1024, 5]}))
+    assert out["body"].tolist() == ["body 0", "body 1", "body 8999"] and out["status"].tolist() == [200] * 3
