@@ -6,11 +6,16 @@ thousands of names almost none is; so the fold only runs over names that can be.
 
 Every run of word characters in a name stands in a text, where the name matches,
 as a whole word: the name's ends are word boundaries. Replacing names by
-``[NAME]`` makes no new words besides NAME. So a name whose first run of word
-characters is none of the text's words cannot match at any step. Words are
-compared in a form in which all that the pattern calls equal is equal (ASCII
+``[NAME]`` makes no new words besides NAME. So a name of which any run of word
+characters is none of the text's words cannot match at any step. The longest run
+decides which names a session gets, all of them which names a text gets. Words
+are compared in a form in which all that the pattern calls equal is equal (ASCII
 lower case; other letters alike), so no match is lost; names without a word
-character, or whose run is NAME, are always tried.
+character, or whose runs are all NAME, are always tried.
+
+Names that many sessions share are given once, as a list, with the sessions that
+have the list: no row is made for each session and name of its list, only for
+those whose word the session says.
 """
 
 from __future__ import annotations
@@ -44,32 +49,48 @@ def words_of(text: Column) -> Column:
 
 
 def _keyed(names: DataFrame) -> DataFrame:
-    """``names(session_id, ord, name)``, stripped, with ``key``: the word that
-    a text must have, null for any."""
+    """``names(..., name)``, stripped, with ``needs``: the words that a text
+    must have, longest first, and ``key``: the first of them, null for any."""
     named = names.withColumn("name", strip("name")).where("name <> ''")
-    word = comparable(F.regexp_extract("name", f"({WORD_CLASS}+)", 1))
-    return named.withColumn("key", F.when((word != "") & (word != TOKEN_WORD), word))
+    needs = F.filter(words_of(F.col("name")), lambda w: w != TOKEN_WORD)
+    by_length = F.transform(F.array_sort(F.transform(needs, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    return named.withColumn("needs", by_length).withColumn("key", F.get("needs", F.lit(0)))
 
 
-def present_names(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
-    """(session_id, ord, name, key) of the names that may occur in a text of
-    their session."""
-    keyed = _keyed(names).select("session_id", "ord", "name", "key")
-    said = rows.select("session_id", F.explode(words_of(F.col(text))).alias("key")).distinct()
-    return keyed.where("key is not null").join(said, ["session_id", "key"], "left_semi").select(
-        "session_id", "ord", "name", "key").union(keyed.where("key is null"))
+PRESENT = ("session_id", "ord", "name", "key", "needs")
 
 
-def redact_many_names(rows: DataFrame, names: DataFrame, order: str = "seg_idx", text: str = "text", block: int = BLOCK) -> DataFrame:
+def present_names(rows: DataFrame, names: DataFrame, text: str = "text", shared: DataFrame | None = None,
+                  members: DataFrame | None = None) -> DataFrame:
+    """(session_id, ord, name, key, needs) of the names that may occur in a text
+    of their session; ``shared(list_id, ord, name)`` are names of every session
+    that ``members(session_id, list_id)`` says has the list."""
+    keyed = _keyed(names).select(*PRESENT)
+    said = rows.select("session_id", F.explode(words_of(F.col(text))).alias("key")).distinct()
+    own = keyed.where("key is not null").join(said, ["session_id", "key"], "left_semi").select(*PRESENT)
+    own = own.union(keyed.where("key is null"))
+    if shared is None:
+        return own
+    listed, has = _keyed(shared).select("list_id", "ord", "name", "key", "needs"), members.distinct()
+    found = said.join(has, "session_id").join(listed.where("key is not null"), ["list_id", "key"]).select(*PRESENT)
+    always = has.join(listed.where("key is null"), "list_id").select(*PRESENT)
+    return own.union(found).union(always)
+
+
+def redact_many_names(rows: DataFrame, names: DataFrame, order: str = "seg_idx", text: str = "text", block: int = BLOCK,
+                      shared: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """D6 on ``rows(session_id, <order>, <text>, ...)`` with ``names(session_id,
-    ord, name)``: as the fold of all names of the session in the order of ``ord``,
-    by way of those that occur. Names travel by block of a session, so no row is
-    joined by its session alone."""
-    lists = present_names(rows, names, text).groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "name", "key"))).alias("_names"))
+    ord, name)`` and those of the session's lists (see ``present_names``): as the
+    fold of all names of the session in the order of ``ord``, by way of those
+    that occur. Names travel by block of a session, so no row is joined by its
+    session alone."""
+    lists = present_names(rows, names, text, shared, members).groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "name", "needs"))).alias("_names"))
     blocked = rows.withColumn("_nblk", block_of(order, block))
     by_block = blocked.select("session_id", "_nblk").distinct().join(lists, "session_id")
-    told = blocked.join(by_block, ["session_id", "_nblk"], "left").withColumn("_words", words_of(F.col(text)))
-    own = F.filter("_names", lambda n: n["key"].isNull() | F.array_contains("_words", n["key"]))
+    told = blocked.join(by_block, ["session_id", "_nblk"], "left")
+    # a text's words are bound once, not found anew for every name
+    own = F.get(F.transform(F.array(words_of(F.col(text))), lambda words: F.filter(
+        "_names", lambda n: F.forall(n["needs"], lambda w: F.array_contains(words, w)))), F.lit(0))
     redacted = redact_names_dynamic(F.col(text), F.transform(own, lambda n: n["name"]))
     return told.select(*[F.coalesce(redacted, F.col(text)).alias(c) if c == text else F.col(c) for c in rows.columns])

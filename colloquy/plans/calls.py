@@ -82,19 +82,21 @@ def q_observed_report(spark: SparkSession, sf: str) -> DataFrame:
     return write_outcomes(note_outcomes(spark, sf), scratch_dir(spark, "outcomes"))
 
 
-def session_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Names a session is to be rid of: the first word of each of its turns,
-    in turn order, then a tenth of all customers, most of whom no text names."""
+def session_names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names a session is to be rid of: the first word of each of its turns, in
+    turn order, then a tenth of all customers, most of whom no text names. The
+    tenths are lists, and the sessions say which one they have."""
     conv = read_table(spark, sf, "conversations")
     said = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("ord"), F.regexp_extract("text", f"({WORD_CLASS}+)", 1).alias("name"))
-    others = read_table(spark, sf, "customer").select((F.col("c_custkey") % 10).alias("k"), (F.col("c_custkey") + 1000000).alias("ord"), F.col("c_name").alias("name"))
-    sessions = conv.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") % 10).alias("k")).distinct()
-    return said.union(sessions.join(others, "k").select("session_id", "ord", "name"))
+    others = read_table(spark, sf, "customer").select((F.col("c_custkey") % 10).alias("list_id"), (F.col("c_custkey") + 1000000).alias("ord"), F.col("c_name").alias("name"))
+    members = conv.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") % 10).alias("list_id"))
+    return said, others, members
 
 
 def q_redact_many_names(spark: SparkSession, sf: str) -> DataFrame:
     """D6 with hundreds of names a session and more, by those that occur."""
-    return redact_many_names(fx.segments(spark, sf), session_names(spark, sf)).select("session_id", "seg_idx", "text")
+    said, others, members = session_names(spark, sf)
+    return redact_many_names(fx.segments(spark, sf), said, shared=others, members=members).select("session_id", "seg_idx", "text")
 
 
 QUERIES = {"note_calls": q_note_calls, "observed_report": q_observed_report, "redact_many_names": q_redact_many_names}

@@ -40,6 +40,38 @@ def test_only_names_that_occur_are_tried(spark):
     assert {r.text for r in nm.redact_many_names(t, n).collect()} == {f"word{i} said [NAME]" for i in range(50)}
 
 
+def test_names_of_a_list_equal_names_of_each_session(spark):
+    rng = random.Random(6)
+    bits = ["John", "Doe", "name", "Zoë", "--", "#", "customer", "Customer", "12", "0012", "é", "[NAME]", "K", "K", "x_y", "."]
+    some = lambda n: "".join(rng.choice(bits) + rng.choice([" ", "", "-", "#"]) for _ in range(rng.randrange(n)))
+    t = spark.createDataFrame([(s, i, some(14)) for s in range(12) for i in range(20)], ROWS)
+    own = [(s, i, some(3)) for s in range(11) for i in range(5)]
+    lists = [(k, 100 + i, some(5)) for k in range(3) for i in range(40)] + [(None, 1, "John"), (1, None, "Doe"), (1, 5, None)]
+    has = [(s, s % 3) for s in range(12)] + [(4, 1), (5, 0), (None, 1), (6, None)]
+    expanded = own + [(s, o, n) for s, k in sorted(set(has), key=str) for m, o, n in lists if k == m and k is not None and s is not None]
+    want = by_fold(spark, t, spark.createDataFrame(expanded, NAMES))
+    shared, members = spark.createDataFrame(lists, "list_id long, ord long, name string"), spark.createDataFrame(has, "session_id long, list_id long")
+    got = nm.redact_many_names(t, spark.createDataFrame(own, NAMES), shared=shared, members=members)
+    assert sorted(rows(got), key=str) == want and sum("[NAME]" in (r[2] or "") for r in want) > 100
+
+
+def test_a_long_list_of_many_sessions_makes_no_row_for_each_name_of_each_session(spark):
+    # 2,000 sessions with 300,000 names each; all say the word that all the names begin with
+    t = spark.range(2000).selectExpr("id AS session_id", "0L AS seg_idx", "concat('customer ', id, ' met Customer#', lpad(id, 9, '0')) AS text")
+    shared = spark.range(300_000).selectExpr("0L AS list_id", "id AS ord", "concat('Customer#', lpad(id, 9, '0')) AS name")
+    members = spark.range(2000).selectExpr("id AS session_id", "0L AS list_id")
+    none = spark.createDataFrame([], NAMES)
+    assert nm.present_names(t, none, shared=shared, members=members).count() == 2000
+    got = nm.redact_many_names(t, none, shared=shared, members=members)
+    assert got.count() == 2000 == got.where("text = concat('customer ', session_id, ' met [NAME]')").count()
+
+
+def test_a_shared_first_word_brings_no_names(spark):
+    t = spark.createDataFrame([(1, 0, "a customer called about 000000007")], ROWS)
+    n = spark.createDataFrame([(1, i, f"Customer#{i:09d}") for i in range(50)], NAMES)
+    assert [r.name for r in nm.present_names(t, n).collect()] == ["Customer#000000007"]
+
+
 def test_report_of_the_writing_job(spark, tmp_path):
     data = [(1, "ok", None), (2, "ok", None), (3, "failed", "input"), (4, "failed", "summarize"), (5, "failed", "input")]
     outs = spark.createDataFrame(data, "session_id long, status string, stage string")
