@@ -9,6 +9,8 @@ and reported. Booleans only switch on: explicit OR a truthy configured value.
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,18 @@ INT_KEYS = {
 }
 BOOL_KEYS = {"allow_remote": "summarize.allow_remote", "redact": "redact.enabled"}
 NAMES_KEY = ("redact_names", "redact.names")
+# type of a variant, up to its first bracket -> kind
+KINDS = {"STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "DECIMAL": "float", "DOUBLE": "float", "ARRAY": "list",
+         "OBJECT": "dict", "VOID": "null"}
 # ---------------------------------------------------------------------------
 
 
 def json_kind(doc: Column, path: str) -> Column:
     """Kind of the value at ``path``: str, int, float, bool, list, dict,
-    null; SQL NULL when the key is absent or the document is not JSON."""
+    null; SQL NULL when the key is absent or the document is not JSON. The
+    value is looked at once; of a list or an object that is all of it."""
     t = F.schema_of_variant(F.variant_get(doc, "$." + path, "variant"))
-    return (F.when(t == "STRING", "str").when(t == "BIGINT", "int").when(t == "BOOLEAN", "bool")
-            .when(t.startswith("DECIMAL") | t.startswith("DOUBLE"), "float")
-            .when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "dict")
-            .when(t == "VOID", "null"))
+    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*KINDS.items())]), F.regexp_extract(t, "^[A-Z]+", 0))
 
 
 def truthy(doc: Column, path: str) -> Column:

@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsondoc import single_json
+from ..functions.jsondoc import bound, single_json
 from ..operators.scan import running_sum
 from ..operators.settings import json_kind
+from ..session import materialize
 
 ASR_WORD = "struct<word:string,start:double,end:double>"
 
@@ -60,9 +61,14 @@ def _number(v: Column, path: str) -> Column:
     return json_kind(v, path).isin("int", "float")
 
 
+def _all(items: Column, fits) -> Column:
+    """Do all of the array's items fit? Null for no array."""
+    return F.forall(items, lambda x: F.coalesce(fits(x), F.lit(False)))
+
+
 def _each(items: Column, fits) -> Column:
     """Do all of the array's items fit? False for no array."""
-    return F.coalesce(F.forall(items, lambda x: F.coalesce(fits(x), F.lit(False))), F.lit(False))
+    return F.coalesce(_all(items, fits), F.lit(False))
 
 
 def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -70,10 +76,12 @@ def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
     ``reason`` (null if sound) and the parsed ``value``."""
     v = F.col("value")
     word = lambda w: (json_kind(w, "word") == "str") & _number(w, "start") & _number(w, "end")
-    said = lambda s: F.coalesce(json_kind(s, "words"), F.lit("null"))
-    segment = lambda s: (said(s) == "null") | ((said(s) == "list") & _each(F.try_variant_get(s, "$.words", VARIANTS), word))
+    # lists are known by their items: to ask for their kind would walk all that is in them
+    segment = lambda s: F.coalesce(_all(F.try_variant_get(s, "$.words", VARIANTS), word),
+                                   F.coalesce(json_kind(s, "words"), F.lit("null")) == "null")
     track = lambda t: (json_kind(t, "speaker") == "str") & _number(t, "start") & _number(t, "end")
-    kind = F.when(json_kind(v, "segments").isNotNull(), "words").when(json_kind(v, "tracks").isNotNull(), "turns")
+    has = lambda c: F.variant_get(v, f"$.{c}", "variant").isNotNull()
+    kind = F.when(has("segments"), "words").when(has("tracks"), "turns")
     reason = (F.when(v.isNull() | F.try_variant_get(v, "$", "map<string,variant>").isNull(), BAD_JSON)
               .when(F.col("kind").isNull(), BAD_KIND)
               .when(~F.coalesce((json_kind(v, "session_id") == "int") & (json_kind(v, "part") == "int"), F.lit(False)), BAD_SESSION)
@@ -91,26 +99,31 @@ def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 def words_from_documents(parsed: DataFrame) -> DataFrame:
     """The ``words`` table of the sound documents with segments, in the
-    order of part, segment and word."""
+    order of part, segment and word. The documents' words are written once, as
+    numbering them reads them twice."""
     said = F.variant_get("value", "$.segments", f"array<struct<words:array<{ASR_WORD}>>>")
     words = F.flatten(F.transform(said, lambda s: F.coalesce(s["words"], F.array().cast(f"array<{ASR_WORD}>"))))
-    sound = parsed.where("reason is null and kind = 'words'").select(
-        "session_id", F.col("part").alias("seg_pos"), F.explode(F.array(words)).alias("words"))
-    return flatten_words(sound)
+    sound = parsed.where("reason is null and kind = 'words'").select("session_id", F.col("part").alias("seg_pos"), words.alias("words"))
+    return flatten_words(materialize(sound, "words"))
 
 
 def turns_from_documents(parsed: DataFrame) -> DataFrame:
     """The ``turns`` table of the sound documents with tracks, in track
-    order, with ``extra``: a track's other fields as JSON, null if none."""
-    tracks = F.try_variant_get("value", "$.tracks", VARIANTS)
+    order, with ``extra``: a track's other fields as JSON, null if none. The
+    documents' tracks are written once, as the words are."""
+
+    def typed(t: Column) -> Column:
+        others = F.map_filter(F.try_variant_get(t, "$", "map<string,variant>"), lambda k, _: ~k.isin(*TRACK_FIELDS))
+        extra = bound(others, lambda m: F.when(F.size(m) > 0, F.to_json(m)))
+        return F.struct(*(F.variant_get(t, f"$.{c}", kind).alias(c) for c, kind in zip(TRACK_FIELDS, ("string", "double", "double"))),
+                        extra.alias("extra"))
+
+    tracks = F.transform(F.try_variant_get("value", "$.tracks", VARIANTS), typed)
     sound = parsed.where("reason is null and kind = 'turns'").select("session_id", "part", tracks.alias("tracks"))
-    sound = running_sum(sound.withColumn("_n", F.size("tracks").cast("bigint")), ["session_id"], "part", "_n", "_off", exclusive=True)
+    sound = materialize(sound, "tracks").withColumn("_n", F.size("tracks").cast("bigint"))
+    sound = running_sum(sound, ["session_id"], "part", "_n", "_off", exclusive=True)
     each = sound.select("session_id", "_off", F.posexplode("tracks").alias("_p", "_t"))
-    others = F.map_filter(F.try_variant_get("_t", "$", "map<string,variant>"), lambda k, _: ~k.isin(*TRACK_FIELDS))
-    at = each.select("session_id", (F.col("_off") + F.col("_p")).alias("track_pos"), *(
-        F.variant_get("_t", f"$.{c}", t).alias(c) for c, t in zip(TRACK_FIELDS, ("string", "double", "double"))),
-        F.when(F.size(others) > 0, F.to_json(others)).alias("extra"))
-    return turns_from_tracks(at)
+    return turns_from_tracks(each.select("session_id", (F.col("_off") + F.col("_p")).alias("track_pos"), "_t.*"))
 
 
 def rejected_documents(parsed: DataFrame) -> DataFrame:

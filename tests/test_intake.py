@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions.jsondoc import single_json
+from colloquy.operators.settings import json_kind
 from colloquy.sources import asr
 from colloquy.sources.jsonl import parse_lines, read_jsonl, split_lines
 from colloquy.sources.lines import numbered_lines, read_lines
@@ -171,3 +173,28 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="not a file name of its own"):
         write_session_files(twice, out)
     assert files_under(out) == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_parsed_once_for_a_table(spark):
+    parsed = asr.parse_documents(spark.createDataFrame([(d,) for d in DOCS], "doc string"))
+    for table in (asr.words_from_documents(parsed), asr.turns_from_documents(parsed)):
+        assert table.count() == 3 and "parseJson" not in plan(table) and "parseJson" in plan(parsed)
+
+
+def test_a_value_is_looked_at_once_for_its_kind(spark):
+    docs = ['{"a":"x"}', '{"a":1}', '{"a":true}', '{"a":1.5}', '{"a":1e300}', '{"a":[1,"x"]}', '{"a":{"b":[]}}', '{"a":null}', '{"b":1}', "[1]", "{", None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i long, doc string").select("i", F.try_parse_json("doc").alias("v"))
+    kinds = df.select("i", json_kind(F.col("v"), "a").alias("kind"))
+    assert plan(kinds).count("variant_get") == 1
+    assert [r.kind for r in kinds.orderBy("i").collect()] == ["str", "int", "bool", "float", "float", "list", "dict", "null", None, None, None, None]
+
+
+def test_a_text_that_is_one_json_value(spark):
+    texts = {'{"a":1}': True, "[1,2]": True, "1": True, "null": True, '"x"': True, " 1 ": True, "1,2": False, "1],[2": False, "1]": False, "": False,
+             '{"a":1} x': False, "{": False, "1,": False, None: False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", single_json("t").isNotNull().alias("one"))
+    assert dict(rows(df)) == texts and plan(df).count("parseJson") == 1
