@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,12 +66,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_dropped_after = threading.local()
+
+
+@contextmanager
+def dropping_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``materialize`` writes inside, in this thread:
+    what reads them must have ended."""
+    outer, _dropped_after.paths = getattr(_dropped_after, "paths", None), []
+    try:
+        yield
+    finally:
+        written, _dropped_after.paths = _dropped_after.paths, outer
+        for folder in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read
     back: several readers compute it once, each reads only its columns, and a
     lost executor costs no recomputation. Unlike a persisted relation it holds
-    no executor memory; the folder goes with the checkpoint folder."""
+    no executor memory; the folder goes with the checkpoint folder, or with
+    ``dropping_tables``."""
     path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"{tag}-{uuid.uuid4().hex}")
+    if getattr(_dropped_after, "paths", None) is not None:
+        _dropped_after.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,6 +22,7 @@ from ..operators.align import align
 from ..operators.transcript import format_transcript
 from ..sources.asr import parse_documents, rejected_documents, turns_from_documents, words_from_documents
 from ..sources.jsonl import parse_lines
+from ..session import dropping_tables, materialize
 from ..sources.lines import located, numbered_lines
 
 ACCEPTED, REJECTED = "accepted", "rejected"
@@ -54,8 +55,9 @@ def process_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     def run(rows: DataFrame, batch_id: int) -> None:
         lines = numbered_lines(rows)
         lines = lines.where(strip("line") != "")
-        for table, out in zip((ACCEPTED, REJECTED), batch(lines)):
-            write_batch(out, f"{out_dir}/{table}", batch_id)
+        with dropping_tables(rows.sparkSession):
+            for table, out in zip((ACCEPTED, REJECTED), batch(lines)):
+                write_batch(out, f"{out_dir}/{table}", batch_id)
 
     writer = located(reader.load(in_dir)).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if not once:
@@ -67,11 +69,14 @@ def process_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
 def transcribe_batch(names: str | None, redacted: Sequence[str] | None) -> Batch:
     """Documents of recognised words and speaker tracks, one a line, to the
-    transcripts of their sessions (C1): align, name, redact, format."""
+    transcripts of their sessions (C1): align, name, redact, format. A batch is
+    read and parsed once, and so are its turns, which alignment reads many times."""
 
     def run(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-        parsed = parse_documents(lines, "line")
-        segs = align(words_from_documents(parsed), turns_from_documents(parsed).drop("extra"), names=names)
+        parsed = parse_documents(lines, "line").withColumn("line", F.when(F.col("reason").isNotNull(), F.col("line")))
+        parsed = materialize(parsed, "parsed")
+        turns = materialize(turns_from_documents(parsed).drop("extra"), "turns")
+        segs = align(words_from_documents(parsed), turns, names=names)
         segs = segs.withColumn("text", redact_text("text", redacted))
         return format_transcript(segs, timestamps=True), rejected_documents(parsed).withColumn("line", redact_patterns("line")).select(
             "file", "line_no", "reason", "line")

@@ -198,3 +198,29 @@ def test_a_text_that_is_one_json_value(spark):
              '{"a":1} x': False, "{": False, "1,": False, None: False}
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", single_json("t").isNotNull().alias("one"))
     assert dict(rows(df)) == texts and plan(df).count("parseJson") == 1
+
+
+def test_a_batch_is_parsed_once_and_leaves_no_working_table(spark, tmp_path):
+    from colloquy.session import ensure_checkpoint_dir
+    from colloquy.streaming import arrivals
+
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    arriving(src, "a.txt", [1, 2], bad=["{"])
+    arriving(src, "b.txt", [3])
+    plans, batch = [], arrivals.transcribe_batch("Ann, Ben", ["John"])
+
+    def told(lines):
+        assert "parseJson" in plan(asr.parse_documents(lines, "line"))
+        tables = batch(lines)
+        plans.extend(plan(t) for t in tables)
+        return tables
+
+    def working():
+        return {x for x in os.listdir(ensure_checkpoint_dir(spark)) if x.split("-")[0] in ("parsed", "tracks", "turns", "words", "pieces")}
+
+    before = working()
+    arrivals.process_files(spark, src, out, ck, told)
+    assert len(plans) == 2 and not any("parseJson" in p for p in plans)
+    assert working() == before
+    assert [r.transcript for r in arrivals.read_sink(spark, out, arrivals.ACCEPTED, arrivals.TRANSCRIPTS).collect()] == [SAID] * 3
+    assert [r.line for r in arrivals.read_sink(spark, out, arrivals.REJECTED, arrivals.REJECTS).collect()] == ["{"]
