@@ -47,6 +47,14 @@ def within(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join. Without the hint adaptive
+    execution collects every small side in the driver and broadcasts it; in a
+    loop of joins as many hash tables (1 to 4 MB each, however few the rows)
+    stay there until the driver's garbage is collected."""
+    return df.hint("merge")
+
+
 class Workspace:
     """Tables of one computation in a folder of their own under the shared
     checkpoint folder, deleted with the folder when the ``with`` block ends.

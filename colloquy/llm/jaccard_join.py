@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, gram_hashes, mix, saved, signed, tidied, within, word_hashes
+from .common import Workspace, gram_hashes, mix, saved, shuffled, signed, tidied, within, word_hashes
 from .components import connected_components
 
 SLICE = 1000  # sets on one side of a task
@@ -342,18 +342,18 @@ def _distinct(told: DataFrame) -> DataFrame:
     components, one for all groups with the same members."""
     groups = told.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("k"),
                                       F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return told.join(groups.where("lo < hi").groupBy("n", "k").agg(F.min("gram").alias("gram")).select("gram"), "gram")
+    return told.join(shuffled(groups.where("lo < hi").groupBy("n", "k").agg(F.min("gram").alias("gram")).select("gram")), "gram")
 
 
 def _merged(told: DataFrame) -> DataFrame:
     """The groups of ``told(gram, id, ...)``, those with the same least node as
     one if it fits into a slice: texts that share a passage share many grams,
     and their sets then travel once and not once a gram."""
-    least = told.join(told.groupBy("gram").agg(F.min("id").alias("least")), "gram")
+    least = told.join(shuffled(told.groupBy("gram").agg(F.min("id").alias("least"))), "gram")
     united = least.drop("gram").dropDuplicates(["least", "id"])
     sizes = united.groupBy("least").agg(F.count("*").alias("n"))
-    joined = united.join(sizes.where(F.col("n") <= SLICE).select("least"), "least")
-    apart = least.join(sizes.where(F.col("n") > SLICE).select("least"), "least")
+    joined = united.join(shuffled(sizes.where(F.col("n") <= SLICE).select("least")), "least")
+    apart = least.join(shuffled(sizes.where(F.col("n") > SLICE).select("least")), "least")
     rest = [c for c in told.columns if c != "gram"]
     return joined.select(F.xxhash64("least").alias("gram"), *rest).union(apart.select("gram", *rest)).dropDuplicates(["gram", "id"])
 
@@ -364,7 +364,7 @@ def _dealt(told: DataFrame) -> DataFrame:
     all of its rows as others in slice j."""
     counts = told.groupBy("gram", "component").agg(F.count("*").alias("own"))
     main = counts.groupBy("gram").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all"))
-    told = told.join(main, "gram")
+    told = told.join(shuffled(main), "gram")
     rest = [c for c in told.columns if c not in ("gram", "top", "all")]
     ways, ways_in = F.ceil(F.col("all") / SLICE).cast("int"), F.ceil((F.col("all") - F.col("top.own")) / SLICE).cast("int")
     every = lambda x: F.explode(F.sequence(F.lit(0), x - 1))
@@ -415,14 +415,17 @@ def similar(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int =
 
         # groups of several components: once for all groups with the same members
         told = grouped.select("gram", "id", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        told = ws.saved(_merged(_distinct(told)), "open")
+        told = ws.saved(_merged(ws.saved(_distinct(told), "several")), "open")
         rows = ws.saved(join.survivors(ws.saved(_dealt(told).join(sketches, ["id", "size"]), "dealt")), "survivors")
-        left = _distinct(told.drop("size").join(rows, ["gram", "id"]))
+        left = ws.saved(_distinct(ws.saved(told.drop("size").join(shuffled(rows), ["gram", "id"]), "kept")), "left")
         more = ws.saved(_dealt(left), "dealt")
-        links = links.union(ws.saved(join.meet(more, join.sets(more.select("id").distinct())), "links"))
+        links = ws.saved(join.meet(more, join.sets(more.select("id").distinct())), "links")
 
-        # equal sets hang together too
-        whole = connected_components(links.union(member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))), ws.saved)
+        # the components so far stand for their links; equal sets hang together too
+        known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        whole = connected_components(links.union(known).union(member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))), ws.saved)
         sizes = made.groupBy("id").agg(F.max("size").alias("n_shingles"))
-        return saved(sizes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(
+        found = saved(sizes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(
             "id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "similar")
+        join.levels.destroy()  # read by nothing that is left
+        return found

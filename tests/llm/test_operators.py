@@ -1,6 +1,8 @@
 """Small brute-force and edge-case tests of the operators."""
 
+import contextlib
 import hashlib
+import io
 import json
 import random
 import re
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import (chat_tools, decontaminate, jaccard_join, language_id, permutation_index, queries, secret_scan,
+from colloquy.llm import (chat_tools, common, decontaminate, jaccard_join, language_id, permutation_index, queries, secret_scan,
                           sentencepiece_codec, substring_dedup, token_counts, url_filter)
 from colloquy.llm.components import connected_components
 
@@ -529,6 +531,45 @@ def test_components(spark):
     assert got == {x: root(x) for e in links for x in e if e[0] != e[1]}
 
 
+def plan_of(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def keeping(made):
+    """``saved`` that notes what it was given."""
+    def run(df, tag):
+        made.append((tag, plan_of(df)))
+        return common.saved(df, tag)
+    return run
+
+
+def test_components_broadcast_nothing(spark):
+    """Each broadcast of a round is a hash table in the driver."""
+    made, links = [], [(i, i + 1) for i in range(20)] + [(30, 40), (30, 41)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), keeping(made)).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 30: 30, 40: 30, 41: 30}
+    assert len(made) > 2 and not [p for _, p in made if "Broadcast" in p] and all("SortMergeJoin" in p for _, p in made[1:])
+
+
+def test_components_stop_at_stars(spark):
+    """Links that are stars already take no round, others none to confirm the last."""
+    for links, rounds in (([(5, 1), (1, 6), (9, 8), (6, 1), (2, 2)], 0), ([(2, 1), (3, 2)], 1), ([(2, 2)], 0), ([], 0)):
+        made = []
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), keeping(made)).collect()}
+        assert got == ({5: 1, 1: 1, 6: 1, 9: 8, 8: 8} if len(links) > 2 else {1: 1, 2: 1, 3: 1} if len(links) > 1 else {})
+        assert [t for t, _ in made] == ["links"] + ["stars"] * rounds
+
+
+def test_group_steps_broadcast_nothing(spark):
+    rows = [(g, i, i % 3 if g else 0, 5) for g in range(4) for i in range(g, g + 5)]
+    told = common.saved(spark.createDataFrame(rows, "gram long, id long, component long, size long"), "told")
+    for step in (jaccard_join._distinct, jaccard_join._merged, jaccard_join._dealt):
+        assert "Broadcast" not in plan_of(step(told))
+    assert {r.gram for r in jaccard_join._distinct(told).collect()} == {1, 2, 3}
+
+
 # ---- 8: urls ---------------------------------------------------------------
 
 def test_urls_edges(spark):
